@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FIRST = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+_FIRST = "0001-01-01 00:00:00"
 
 
 def _merge_intervals(intervals: Column) -> Column:
@@ -47,7 +47,7 @@ def lifetimes(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
     Equal rows collapse before the shuffle; rows that start in the same month are
     merged first, so the last step sees a key's months, not its rows.
     """
-    s = F.coalesce(F.col(start).cast("timestamp_ntz"), _FIRST)
+    s = F.coalesce(F.col(start).cast("timestamp_ntz"), F.lit(_FIRST).cast("timestamp_ntz"))
     rows = parents.select(F.col(key).alias("key"), s.alias("s"), F.col(end).cast("timestamp_ntz").alias("e")).filter(F.col("key").isNotNull()).distinct()
     living = F.when(F.col("e").isNull() | (F.col("e") > F.col("s")), F.struct("s", "e"))
     month = rows.groupBy("key", F.date_trunc("month", "s").alias("m")).agg(_merge_intervals(F.collect_list(living)).alias("life"), F.min("e").alias("first_end"))
