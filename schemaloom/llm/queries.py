@@ -49,9 +49,9 @@ def p7_collapsed(spark: SparkSession, sf: str) -> DataFrame:
 _P2 = """
 WITH used AS (SELECT DISTINCT query_id AS q, replace(replace(lower(column_id), ' ', '_'), '-', '_') AS c FROM query_column_info WHERE query_id IS NOT NULL AND column_id IS NOT NULL),
 total AS (SELECT count(DISTINCT q) AS n FROM used), each AS (SELECT c, count(*) AS k FROM used GROUP BY c),
-both AS (SELECT x.c AS column_a, y.c AS column_b, count(*) AS n_ab FROM used x JOIN used y ON x.q = y.q AND x.c < y.c GROUP BY ALL HAVING count(*) >= 20)
+together AS (SELECT x.c AS column_a, y.c AS column_b, count(*) AS n_ab FROM used x JOIN used y ON x.q = y.q AND x.c < y.c GROUP BY ALL HAVING count(*) >= 20)
 SELECT column_a, column_b, n_ab, a.k AS n_a, b.k AS n_b, n, round(n_ab * n / (a.k * b.k)::DOUBLE, 6) AS lift
-FROM both JOIN each a ON a.c = column_a JOIN each b ON b.c = column_b, total WHERE n_ab * n >= 5 * a.k * b.k
+FROM together JOIN each a ON a.c = column_a JOIN each b ON b.c = column_b, total WHERE n_ab * n >= 5 * a.k * b.k
 """
 _WORDS = "list_sort(regexp_extract_all(lower(term_name), '[\\p{L}\\p{N}]+'))"
 
