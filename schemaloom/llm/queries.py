@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from schemaloom import ids
 from schemaloom.llm.cooccurrence import cooccurrence
+from schemaloom.llm.mixing import mix, shares
+from schemaloom.llm.neighbours import nearest
 from schemaloom.llm.normal_form import Leaf, Record, collapse, hidden_copies, word_multiset
+from schemaloom.llm.packing import container_report, pack_documents
+from schemaloom.llm.spans import repeated_lines, shared_characters
+
+CAPACITY = 2048
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -46,6 +52,37 @@ def p7_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = [_read(spark, sf, t).select("vec_id", "embedding") for t in ("tag_keys", "domain_nodes")]
+    return nearest(vectors[0].unionByName(vectors[1]), "vec_id", "embedding").select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"))
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of each text or piece, and the unused space of that container."""
+    return pack_documents(_read(spark, sf, "documents").select("doc_id", "text"), capacity=CAPACITY)
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return container_report(p8_pack(spark, sf), CAPACITY)
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The drawn documents with their repeats, in the order of slots."""
+    return mix(_read(spark, sf, "documents").select("doc_id", "source", "text"), _read(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shares(_read(spark, sf, "documents").select("doc_id", "source", "text"), _read(spark, sf, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_characters(_read(spark, sf, "documents").select("doc_id", "text"))
+
+
+def p10_repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines(_read(spark, sf, "documents").select("doc_id", "text"))
+
+
 _P2 = """
 WITH used AS (SELECT DISTINCT query_id AS q, replace(replace(lower(column_id), ' ', '_'), '-', '_') AS c FROM query_column_info WHERE query_id IS NOT NULL AND column_id IS NOT NULL),
 total AS (SELECT count(DISTINCT q) AS n FROM used), each AS (SELECT c, count(*) AS k FROM used GROUP BY c),
@@ -73,7 +110,7 @@ _P7_COLLAPSED = f"SELECT record_table, first_id, n AS copies FROM ({_ROWS}) WHER
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p2_pairs, p7_found, p7_collapsed)}
+    return {q.__name__: q for q in (p2_found, p2_pairs, p5_found, p7_found, p7_collapsed, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
