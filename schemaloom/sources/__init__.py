@@ -1 +1 @@
-"""Part of schemaloom."""
+"""Sources: each gives a GraphBatch of lazily evaluated node and edge frames."""
