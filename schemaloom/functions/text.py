@@ -18,9 +18,10 @@ _WORD = "[a-z0-9]+"
 
 
 def sanitize(text: Column | str) -> Column:
-    """Reserved characters become blanks, outer blanks go, nothing left is NULL."""
+    """Reserved characters become blanks, outer white space goes, nothing left is NULL."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.nullif(F.trim(F.regexp_replace(c, "[" + re.escape(RESERVED) + "]", " ")), F.lit(""))
+    blanked = F.regexp_replace(c, "[" + re.escape(RESERVED) + "]", " ")
+    return F.nullif(F.regexp_replace(blanked, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def sanitize_text(text: str | None) -> str | None:
@@ -48,7 +49,8 @@ def bm25(nodes: DataFrame, node_id: str, fields: list[str], query: str, *, keep:
     if not words:
         return nodes.select(node_id, *keep, F.lit(0.0).alias("score")).limit(0)
     counted = nodes.select(node_id, *keep, *[tokens(f).alias(f"t_{i}") for i, f in enumerate(fields)])
-    tf = {(i, w): F.size(F.filter(f"t_{i}", lambda x, w=w: x == w)) for i in range(len(fields)) for w in words}
+    occurs = lambda i, w: F.size(F.filter(f"t_{i}", lambda x: x == w))
+    tf = {(i, w): occurs(i, w) for i in range(len(fields)) for w in words}
     stats = counted.agg(
         *[F.count(f"t_{i}").alias(f"n_{i}") for i in range(len(fields))],
         *[F.avg(F.size(f"t_{i}")).alias(f"dl_{i}") for i in range(len(fields))],

@@ -22,7 +22,7 @@ from schemaloom.store import GraphBatch
 
 # Platform and service by dialect.
 DIALECTS = {"bigquery": ("GCP", "BIGQUERY"), "snowflake": ("SNOWFLAKE", "SNOWFLAKE")}
-_REWRITES = [(r"\bSAFE_CAST\s*\(", "TRY_CAST("), (r"\bINT64\b", "BIGINT"), (r"\bFLOAT64\b", "DOUBLE"), (r"\bBYTES\b", "BINARY"), (r"\bNUMBER\b(?=\s*[),])", "DECIMAL")]
+_REWRITES = [(r"\bSAFE_CAST\s*\(", "TRY_CAST("), (r"\bINT64\b", "BIGINT"), (r"\bFLOAT64\b", "DOUBLE"), (r"\bBYTES\b", "BINARY"), (r"\bNUMBER\b(?=\s*[),])", "DECIMAL"), (r"::\s*NUMBER\b", "::DECIMAL")]
 
 
 @dataclass
@@ -116,7 +116,7 @@ class _Walker:
 
 def parse(spark: SparkSession, text: str) -> Parsed:
     """Raises what the parser raises."""
-    plain = re.sub(r"(\w+|\)|\"[^\"]*\")::(\w+)", r"CAST(\1 AS \2)", text)
+    plain = text
     for pattern, put in _REWRITES:
         plain = re.sub(pattern, put, plain, flags=re.IGNORECASE)
     parsed = Parsed()

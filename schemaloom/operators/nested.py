@@ -106,8 +106,12 @@ def _lists(schema: Any, steps: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
 
 
 def merged_schema(values: DataFrame, column: str = "value") -> Any:
-    """The merged schema of all rows: one distributed aggregate, a single text to the driver."""
-    text = values.agg(F.schema_of_variant_agg(column)).first()[0]
+    """The merged schema of all objects: one distributed aggregate, a single text to the driver.
+
+    Values that are no objects have no members, and would turn the merge into VARIANT.
+    """
+    is_object = F.schema_of_variant(column).startswith("OBJECT")
+    text = values.agg(F.schema_of_variant_agg(F.when(is_object, F.col(column)))).first()[0]
     return parse_type(text)
 
 

@@ -143,10 +143,10 @@ def merge_overwrite(spark, sf):
     return upsert.merge(*_snapshots(spark, sf), ["o_orderkey"], overwrite=True)
 
 
-@_query("SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey")
+@_query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")
 def merge_first_wins(spark, sf):
     rows = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    return upsert.merge(rows.filter("l_orderkey < 0"), rows, ["l_orderkey"], order=["l_linenumber"])
+    return upsert.merge(rows.filter("l_orderkey < 0"), rows, ["l_orderkey"], order=["l_linenumber", "l_partkey"])
 
 
 @_query("SELECT c_custkey AS src_id, c_nationkey AS dst_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
@@ -476,7 +476,7 @@ def metric_hybrid_terms(spark, sf):
     return _metric_rows(se.GraphSearch(domain_graph(spark, sf)).metrics("terms", se.Request(text=_SEGMENT, vector=_probe(spark, sf), k=40, domain="Asia")))
 
 
-@_query("SELECT doc_id, nullif(trim(regexp_replace(text, '[+\\-&|!(){}\\[\\]^\"~*?:\\\\]', ' ', 'g')), '') AS clean FROM documents")
+@_query("SELECT doc_id, nullif(regexp_replace(regexp_replace(text, '[+\\-&|!(){}\\[\\]^\"~*?:\\\\]', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS clean FROM documents")
 def lucene_sanitize(spark, sf):
     return read(spark, sf, "documents").select("doc_id", tx.sanitize("text").alias("clean"))
 
@@ -570,3 +570,98 @@ _gold("gold_left_join_count", "SELECT c_custkey, count(o_orderkey) AS n_orders F
 _gold("gold_date_range", "SELECT count(*) AS n FROM {orders} WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
 _gold("gold_top3", "SELECT c_custkey, round(sum(o_totalprice), 2) AS spent FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY sum(o_totalprice) DESC, c_custkey LIMIT 3")
 _gold("gold_top1_category", "SELECT p_type, sum(l_quantity) AS quantity FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_type ORDER BY sum(l_quantity) DESC, p_type LIMIT 1")
+
+
+# ---------------------------------------------------------------- lineage and semantic models
+
+_TEXTS = [
+    "SELECT a.order_id, b.name FROM shop.sales.orders AS a JOIN shop.sales.customers AS b ON a.customer_id = b.id WHERE a.total > 10",
+    "WITH big AS (SELECT customer_id FROM `shop.sales.orders` o WHERE o.total > 100) SELECT c.name FROM shop.sales.customers c JOIN big ON c.id = big.customer_id",
+    "SELECT x.id FROM shop.sales.items x WHERE x.id IN (SELECT y.item_id FROM shop.sales.lines y WHERE y.qty::int > 2)",
+    "SELEC nothing FROM",
+]
+
+
+def _lineage(spark, which: str) -> DataFrame:
+    import warnings
+
+    from schemaloom.lineage import lineage_frames
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return lineage_frames(spark.createDataFrame([(t,) for t in _TEXTS], "query string"))[which]
+
+
+@_query("SELECT * FROM (VALUES ('shop.sales.orders', 'orders', 2), ('shop.sales.customers', 'customers', 2), ('shop.sales.items', 'items', 1), ('shop.sales.lines', 'lines', 1)) t(table_id, table_name, n_queries)")
+def lineage_tables(spark, sf):
+    return _lineage(spark, "table_info").groupBy("table_id", "table_name").agg(F.count_distinct("query_id").alias("n_queries"))
+
+
+@_query("SELECT 'shop.sales.' || c AS column_id FROM (VALUES ('orders.order_id'), ('customers.name'), ('orders.customer_id'), ('customers.id'), ('orders.total'), ('items.id'), ('lines.item_id'), ('lines.qty')) t(c)")
+def lineage_columns(spark, sf):
+    return _lineage(spark, "column_info").select("column_id").distinct()
+
+
+@_query("SELECT 'shop.sales.customers.id' AS left_column_id, 'shop.sales.orders.customer_id' AS right_column_id")
+def lineage_joins(spark, sf):
+    return _lineage(spark, "references_info").select("left_column_id", "right_column_id")
+
+
+@_query("SELECT 'big' AS cte_name, 'SELECT customer_id FROM `shop.sales.orders` o WHERE o.total > 100' AS definition")
+def lineage_ctes(spark, sf):
+    return _lineage(spark, "cte_info").select("cte_name", "definition")
+
+
+_MODEL = {
+    "version": "0.1.1",
+    "semantic_model": [
+        {
+            "name": "Retail Sales",
+            "description": "Orders and who placed them",
+            "ai_context": {"synonyms": ["shop"], "instructions": "none"},
+            "datasets": [
+                {"name": "orders", "source": "shop.sales.orders", "primary_key": ["id"], "unique_keys": [["number", "year"]], "ai_context": {"synonyms": ["purchases", "sales"]}, "fields": [{"name": "id"}, {"name": "customer_id", "description": "who", "expression": {"dialects": [{"dialect": "ANSI_SQL", "expression": "customer_id"}]}}, {"name": "placed_at", "dimension": {"is_time": True}, "label": "Placed"}]},
+                {"name": "recent", "source": "SELECT * FROM shop.sales.orders WHERE placed_at > now()", "fields": [{"name": "id", "ai_context": "the same id"}]},
+                {"name": "customers", "source": "shop.sales.customers", "fields": [{"name": "id"}], "custom_extensions": [{"vendor_name": "acme", "data": '{"tier": 1}'}]},
+            ],
+            "relationships": [{"name": "placed by", "from": "orders", "to": "customers", "from_columns": ["customer_id"], "to_columns": ["id"]}],
+            "metrics": [{"name": "revenue", "expression": {"dialects": [{"dialect": "ANSI_SQL", "expression": "SUM(total)"}, {"dialect": "SPARK", "expression": "sum(total)"}]}, "ai_context": {"synonyms": ["turnover"]}}],
+        }
+    ],
+}
+
+
+@_query("""SELECT * FROM (VALUES ('dataset', 'customers', 1), ('dataset', 'orders', 3), ('dataset', 'recent', 1), ('relationship', 'placed by', 1), ('metric', 'revenue', 2), ('fix point', 'Retail Sales', 1)) t(kind, name, n)""")
+def osi_roundtrip(spark, sf):
+    from schemaloom.sources import osi
+    from schemaloom.store import GraphStore
+
+    docs = [_MODEL]
+    for _ in range(2):
+        g = GraphStore(spark)
+        g.ingest(osi.model_batch(spark, docs[-1]))
+        docs.append(osi.export(g, "Retail Sales"))
+    m = docs[1]["semantic_model"][0]
+    rows = [("dataset", d["name"], len(d["fields"])) for d in m["datasets"]] + [("relationship", r["name"], len(r["from_columns"])) for r in m["relationships"]]
+    rows += [("metric", x["name"], len(x["expression"]["dialects"])) for x in m["metrics"]] + [("fix point", m["name"], int(docs[1] == docs[2]))]
+    return spark.createDataFrame(rows, "kind string, name string, n bigint")
+
+
+@_query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_words FROM documents WHERE text IS NOT NULL AND text <> ''")
+def embedding_candidates(spark, sf):
+    from schemaloom.enrichment import candidates
+
+    d = read(spark, sf, "documents").select("doc_id", F.col("text").alias("description"), F.lit(None).cast("array<float>").alias("embedding"))
+    return candidates(d).select("doc_id", F.size(tx.tokens("description")).cast("bigint").alias("n_words"))
+
+
+@_query("""SELECT catalog_name || '.' || tbl AS table_id FROM (SELECT DISTINCT lower(replace(replace(json_extract_string(t, '$.catalog_name'), ' ', '_'), '-', '_')) AS catalog_name,
+lower(replace(replace(json_extract_string(t, '$.schema_name') || '.' || json_extract_string(t, '$.name'), ' ', '_'), '-', '_')) AS tbl FROM (
+SELECT unnest(CASE WHEN json_type(ts) = 'ARRAY' THEN json_extract(ts, '$[*]') WHEN json_type(ts) = 'OBJECT' THEN [ts] END) AS t FROM (
+SELECT CASE WHEN json_type(ts) = 'VARCHAR' AND json_valid(json_extract_string(ts, '$')) THEN json_extract_string(ts, '$')::JSON ELSE ts END AS ts FROM (
+SELECT json_extract(p, '$.tables') AS ts FROM (SELECT CASE WHEN json_type(payload::JSON) = 'VARCHAR' AND json_valid(json_extract_string(payload::JSON, '$')) THEN json_extract_string(payload::JSON, '$')::JSON ELSE payload::JSON END AS p
+FROM unity_pages WHERE json_valid(payload))) WHERE ts IS NOT NULL) WHERE ts IS NOT NULL)) WHERE catalog_name || '.' || tbl IS NOT NULL""")
+def unity_tables(spark, sf):
+    from schemaloom.sources.catalog_json import unity_pages
+
+    return unity_pages(read(spark, sf, "unity_pages")).nodes["Table"].select(F.col("id").alias("table_id"))

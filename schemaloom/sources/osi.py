@@ -12,6 +12,7 @@ import re
 import urllib.request
 import warnings
 from collections import defaultdict
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -82,8 +83,8 @@ class _Rows:
         self.nodes: dict[str, list[dict]] = defaultdict(list)
         self.edges: dict[str, list[dict]] = defaultdict(list)
 
-    def node(self, label: str, node_id: str, labels: tuple[str, ...] = (), **properties) -> str:
-        self.nodes[label].append({"id": node_id, "labels": list(labels), **properties})
+    def node(self, kind: str, node_id: str, labels: tuple[str, ...] = (), /, **properties) -> str:
+        self.nodes[kind].append({"id": node_id, "labels": list(labels), **properties})
         return node_id
 
     def edge(self, source: str, kind: str, target: str, src: str, dst: str) -> None:
@@ -199,12 +200,10 @@ def model_batch(spark: SparkSession, doc: dict[str, Any]) -> GraphBatch:
 def _by_source(store: GraphStore, kinds: list[str], label: str, record) -> dict[str, list]:
     """Children of a model's nodes on the driver; a model is a document's size."""
     out: dict[str, list] = defaultdict(list)
-    nodes = store.nodes(label)
-    for kind in kinds:
-        e = store.edges(kind)
-        for r in e.join(nodes, F.col("dst_id") == F.col("id")).select("src_id", "id", *record).orderBy("src_id", "id").collect():
-            out[r.src_id].append(r)
-    return out
+    edges = reduce(lambda a, b: a.unionByName(b), [store.edges(k).select("src_id", "dst_id") for k in kinds])
+    for r in edges.join(store.nodes(label), F.col("dst_id") == F.col("id")).select("src_id", "id", *record).collect():
+        out[r.src_id].append(r)
+    return {k: sorted(v, key=lambda r: r.id) for k, v in out.items()}
 
 
 def export(store: GraphStore, model: str) -> dict[str, Any]:
@@ -264,7 +263,10 @@ def export(store: GraphStore, model: str) -> dict[str, Any]:
         put(out, "fields", own)
         extensions_of(out, s.id)
         m["datasets"].append(out)
-    ends = {k: {r.src_id: r.id for kind in ("Table", "Query") for rs in _by_source(store, [f"Join-{k}-{kind}"], kind, ["name"]).values() for r in rs} for k in ("HAS_SOURCE_TABLE", "HAS_TARGET_TABLE")}
+    both = reduce(lambda a, b: a.unionByName(b), [store.edges(f"Join-{k}-{t}").withColumn("kind", F.lit(k)) for k in ("HAS_SOURCE_TABLE", "HAS_TARGET_TABLE") for t in ("Table", "Query")])
+    ends: dict[str, dict[str, str]] = {"HAS_SOURCE_TABLE": {}, "HAS_TARGET_TABLE": {}}
+    for r in both.collect():
+        ends[r.kind][r.src_id] = r.dst_id
     rels = []
     for j in store.nodes("Join").orderBy("id").collect():
         if ends["HAS_SOURCE_TABLE"].get(j.id) in names:

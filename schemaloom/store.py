@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.errors import ConfigError, LoadError
-from schemaloom.operators.upsert import existing_endpoints, merge, merge_labels
+from schemaloom.operators.upsert import existing_endpoints, first_per_key, merge, merge_labels
 from schemaloom.schemas import conform, edge_kind, node_kind
 
 
@@ -64,9 +64,11 @@ class GraphStore:
         batch = rows.select("id", *[F.col(p).cast(kind.properties[p]).alias(p) for p in written])
         if labels or "labels" in rows.columns:
             batch = rows.select("id", *[F.col(p).cast(kind.properties[p]).alias(p) for p in written], (F.col("labels") if "labels" in rows.columns else F.array(*map(F.lit, labels))).cast("array<string>").alias("labels"))
-        stored = self.nodes(label)
         plain = batch.drop("labels")
-        merged = merge(stored, plain, [key], overwrite=overwrite)
+        if label in self._nodes:
+            merged = merge(self._nodes[label], plain, [key], overwrite=overwrite)
+        else:  # nothing stored yet: no join
+            merged = conform(first_per_key(plain, [key]), kind.schema)
         if "labels" in batch.columns:
             merged = merge_labels(merged, batch, key)
         self._nodes[label] = merged
@@ -79,7 +81,8 @@ class GraphStore:
             named = targets.select(F.col(target_key).alias("k_"), F.col("id").alias("i_"))
             rows = rows.join(named, F.col("dst_id") == F.col("k_")).withColumn("dst_id", F.col("i_")).drop("k_", "i_")
         rows = existing_endpoints(conform(rows, kind.schema), self.nodes(kind.source), targets)
-        self._edges[name] = merge(self.edges(name), rows, ["src_id", "dst_id"], overwrite=overwrite)
+        ends = ["src_id", "dst_id"]
+        self._edges[name] = merge(self._edges[name], rows, ends, overwrite=overwrite) if name in self._edges else first_per_key(rows, ends)
 
     def ingest(self, batch: GraphBatch, *, overwrite: bool = False) -> None:
         for label, rows in batch.nodes.items():

@@ -1 +1 @@
-"""Part of schemaloom."""
+"""Structured Streaming forms of the operators (an extension)."""
