@@ -162,8 +162,11 @@ def _solve(items: DataFrame, capacity: int, shards: int) -> DataFrame:
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)))
     whole = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("row", "size"))).alias("items"))
     state = whole.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.row").alias("rows"), F.col("items.size").cast("array<int>").alias("sizes"), F.array().cast("array<array<int>>").alias("packings"), F.lit(False).alias("done"))
+    # a number of its own, since the rows are small and adaptive execution would put all islands into one task
+    islands = shards * ISLANDS
+    tasks = min(islands, max(items.sparkSession.sparkContext.defaultParallelism, islands // 40))
     for epoch in range(EPOCHS):
-        state = materialize(state.repartition("shard", "island").mapInPandas(_islands(capacity, epoch), _STATE), "islands")
+        state = materialize(state.repartition(tasks, "shard", "island").mapInPandas(_islands(capacity, epoch), _STATE), "islands")
         if epoch < EPOCHS - 1:
             elites = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.element_at("packings", 1).alias("elite"))
             settled = state.groupBy("shard").agg(F.max("done").alias("settled"))
