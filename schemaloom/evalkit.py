@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemaloom.lineage import parse
+from schemaloom.lineage import can_be_analysed, parse
 
 # The gates of the report.
 TOKEN_REDUCTION, RECALL_FLOOR, ACCURACY_DELTA = 0.50, 0.90, 0.05
@@ -96,11 +96,7 @@ def positional_match(a: DataFrame, b: DataFrame, order_a: list[str], order_b: li
 
 def is_valid(spark: SparkSession, sql: str) -> bool:
     """Whether a query can be analysed; nothing runs."""
-    try:
-        spark.sql(f"EXPLAIN {sql}").collect()
-    except Exception:
-        return False
-    return "AnalysisException" not in spark.sql(f"EXPLAIN {sql}").first()[0]
+    return can_be_analysed(spark, sql)
 
 
 def token_reduction(context: Column, full: Column) -> Column:

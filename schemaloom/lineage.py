@@ -124,6 +124,17 @@ def parse(spark: SparkSession, text: str) -> Parsed:
     return parsed
 
 
+def can_be_analysed(spark: SparkSession, text: str) -> bool:
+    """Whether a statement parses and resolves; commands are not run."""
+    state = spark._jsparkSession.sessionState()
+    skip = spark.sparkContext._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
+    try:
+        state.executePlan(state.sqlParser().parsePlan(text), skip).assertAnalyzed()
+    except Exception:
+        return False
+    return True
+
+
 def lineage(spark: SparkSession, text: str, query_id: str, *, dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved") -> dict[str, list[dict]] | None:
     """Tables, columns, references and CTEs of one query; None if it cannot be read.
 

@@ -105,6 +105,14 @@ def _lists(schema: Any, steps: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
     return [steps] if steps and is_list else []
 
 
+def _wanted_steps(schema: Any, path: str, wanted: set[str]) -> list[tuple[str, ...]]:
+    """The next steps of the wanted paths that pass through ``path``, as far as any record has them."""
+    start = f"{path}." if path else ""
+    nexts = {w[len(start) :].split(".")[0] for w in wanted if w.startswith(start) and len(w) > len(start)}
+    there = {n for n, _ in schema[1]} if isinstance(schema, tuple) and schema[0] == "struct" else set()
+    return [(n,) for n in sorted(nexts & there)]
+
+
 def merged_schema(values: DataFrame, column: str = "value") -> Any:
     """The merged schema of all objects: one distributed aggregate, a single text to the driver.
 
@@ -129,16 +137,16 @@ def explode_level(rows: DataFrame, keys: list[str], path: str, ordinal: str) ->
 def flatten(df: DataFrame, key: str, text: str, *, wanted: set[str] | None = None) -> dict[str, Level]:
     """All levels by path; the root is ``""``, a child e.g. ``tables.columns``.
 
-    ``wanted`` keeps only the named list paths and those above them.
+    ``wanted`` keeps only the named list paths and those above them; every step of such a
+    path is taken for a list, even where all records have a bare object or a text there.
     """
     levels: dict[str, Level] = {}
 
     def visit(path: str, rows: DataFrame, keys: list[str]) -> Level:
         level = levels[path] = Level(path, merged_schema(rows), rows, keys)
-        for steps in _lists(level.schema):
+        below_here = _lists(level.schema) if wanted is None else _wanted_steps(level.schema, path, wanted)
+        for steps in below_here:
             name = ".".join(([path] if path else []) + list(steps))
-            if wanted is not None and not any(w == name or w.startswith(name + ".") for w in wanted):
-                continue
             ordinal = f"pos_{len(keys) - 1}"
             below = explode_level(rows, keys, "$" + "".join(f"['{x}']" for x in steps), ordinal)
             level.children[name] = visit(name, below, [*keys, ordinal])

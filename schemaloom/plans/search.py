@@ -160,5 +160,7 @@ class GraphSearch:
         """The best way the graph allows: terms, hybrid, vector, text, or none."""
         have = self.store.indexes()
         vector, text = (label, "VECTOR") in have, (label, "FULLTEXT") in have
+        if label not in ("Table", "Column", "Metric"):  # schemas are found by vector only
+            return "vector" if vector else None
         tagged = vector and text and ("BusinessTerm", "FULLTEXT") in have
         return "terms" if tagged else "hybrid" if vector and text else "vector" if vector else "text" if text else None

@@ -58,6 +58,13 @@ def test_flatten_infers_and_links(spark):
     assert rows(levels["items.tags"].table()) == [(0, 0, 0, "p"), (0, 0, 1, "q")]
 
 
+def test_wanted_paths_that_are_never_lists(spark):
+    only = {"tables": {"columns": json.dumps({"name": "x", "type_text": "struct<a:int>"})}}
+    pages = spark.createDataFrame([(1, json.dumps(only))], PAGES)
+    audit = spark.createDataFrame([(1, json.dumps({"authorizationInfo": {"permission": "p"}}), ""), (2, json.dumps({"authorizationInfo": {"permission": "q"}}), "")], AUDIT)
+    assert rows(nested_rows(audit, pages)) == [("column", 1, 0, 0, "x"), ("field", 1, 0, 0, "x.a"), ("permission", 1, -1, 0, "p"), ("permission", 2, -1, 0, "q")]
+
+
 def test_empty_tables(spark):
     out = nested_rows(spark.createDataFrame([], AUDIT), spark.createDataFrame([], PAGES))
     assert out.count() == 0 and out.columns == ["record_kind", "record_id", "parent_pos", "child_pos", "child_path"]
