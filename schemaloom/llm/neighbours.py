@@ -40,9 +40,9 @@ from schemaloom.materialize import materialize
 
 SAMPLE = 20_000
 #: Rows per cell aimed at, and the most cells; both bound the codebook that is sent to the tasks.
-CELL_ROWS, MAX_CELLS = 160, 1024
-PROBES = 16
-SHORTLIST = 32
+CELL_ROWS, MAX_CELLS = 80, 1024
+PROBES = 32
+SHORTLIST = 48
 BLOCK = 4096
 ETA = 3.0
 SUB = 4
@@ -141,42 +141,57 @@ def _unit(raw: pd.Series, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rerank(qi: np.ndarray, xi: np.ndarray, q: pd.DataFrame, x: pd.DataFrame, qu: np.ndarray, xu: np.ndarray, k: int, by_row: bool) -> pd.DataFrame:
-    """Exact similarities of pairs (qi, xi); keeps each asker's k best."""
-    score = np.round(np.einsum("ij,ij->i", qu[qi], xu[xi]), 9)
-    asks, finds = (q["id"].to_numpy()[qi], x["id"].to_numpy()[xi]) if not by_row else (x["id"].to_numpy()[xi], q["id"].to_numpy()[qi])
-    out = pd.DataFrame({"id": asks, "other": finds, "score": score})
-    out = out[out["id"] != out["other"]].sort_values(["id", "score", "other"], ascending=[True, False, True])
-    return out.groupby("id", sort=False).head(k)
+def _rerank(asking: np.ndarray, found: np.ndarray, best: np.ndarray, ask_ids: np.ndarray, found_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact similarities of each asker's shortlist: (places, scores) of its k best, -inf for itself and beyond.
+
+    ``found_ids`` ascend, so a stable sort of ascending places breaks ties by the smaller id.
+    """
+    best = np.sort(best, axis=1)
+    score = np.empty(best.shape)
+    step = max(1, 3_000_000 // (best.shape[1] * asking.shape[1]))
+    for s in range(0, len(best), step):
+        score[s : s + step] = np.einsum("qsd,qd->qs", found[best[s : s + step]], asking[s : s + step])
+    score = np.round(score, 9)
+    score[found_ids[best] == ask_ids[:, None]] = -np.inf
+    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
 
 
 def _search_block(model: Model, d: int, k: int):
-    empty = pd.DataFrame({"id": np.array([], np.int64), "other": np.array([], np.int64), "score": np.array([], np.float64)})
+    def answer(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"id": np.repeat(ids, score.shape[1]), "other": others.ravel(), "score": score.ravel()})
+        return out[np.isfinite(out["score"].to_numpy())]
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return empty
-        x = x.rename(columns={"x_id": "id", "x_raw": "raw", "x_probes": "probes"})
-        qu, xu = _unit(q["raw"], d), _unit(x["raw"], d)
+            return pd.DataFrame({"id": np.array([], np.int64), "other": np.array([], np.int64), "score": np.array([], np.float64)})
+        q, x = q.sort_values("id"), x.sort_values("x_id")
+        qi, xi = q["id"].to_numpy(), x["x_id"].to_numpy()
+        qu, xu = _unit(q["raw"], d), _unit(x["x_raw"], d)
         codes = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
         centre = model.centres[key[0]]
-        found, short = [], min(SHORTLIST, len(x))
-        upward: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, 4_000_000 // len(x))
+        best, top = [], np.full((len(x), 0), -np.inf, np.float32)
+        at = np.zeros((len(x), 0), np.int64)
+        step = max(1, 2_000_000 // len(x))
         for s in range(0, len(q), step):
             scores = scan(qu[s : s + step].astype(np.float32), centre, codes, model.words)
-            best = _best(scores, short)
-            qi = np.repeat(np.arange(s, s + len(best)), short)
-            found.append(_rerank(qi, best.ravel(), q, x, qu, xu, k, False))
+            best.append(_best(scores, min(SHORTLIST, len(x))))
+            # the scanned rows' best queries so far
             back = _best(scores.T, min(SHORTLIST, scores.shape[0]))
-            upward.append((back.ravel() + s, np.repeat(np.arange(len(x)), back.shape[1]), back))
-        qi, xi = np.concatenate([u[0] for u in upward]), np.concatenate([u[1] for u in upward])
-        back = _rerank(qi, xi, q, x, qu, xu, k, True)
-        probed = dict(zip(x["id"], x["probes"], strict=True))
-        home = dict(zip(q["id"], q["home"], strict=True))
+            at = np.concatenate([at, back + s], 1)
+            top = np.concatenate([top, np.take_along_axis(scores.T, back, 1)], 1)
+            if at.shape[1] > SHORTLIST:
+                keep = _best(top, SHORTLIST)
+                at, top = np.take_along_axis(at, keep, 1), np.take_along_axis(top, keep, 1)
+        places, score = _rerank(qu, xu, np.concatenate(best), qi, xi, k)
+        found = answer(qi, xi[places], score)
+        places, score = _rerank(xu, qu, at, xi, qi, k)
         # a row that scans the query's cell itself finds the pair there
-        seen = np.fromiter((home[o] in probed[i] for i, o in zip(back["id"], back["other"], strict=True)), bool, len(back))
-        return pd.concat([*found, back[~seen]], ignore_index=True)
+        probes = np.zeros((len(x), len(model.centres)), bool)
+        lists = x["x_probes"].to_numpy()
+        probes[np.repeat(np.arange(len(x)), [len(p) for p in lists]), np.concatenate(lists)] = True
+        score[np.take_along_axis(probes, q["home"].to_numpy()[places], 1)] = -np.inf
+        return pd.concat([found, answer(xi, qi[places], score)], ignore_index=True)
 
     return search
 
