@@ -43,11 +43,11 @@ def latest_links(df: DataFrame, node: str, parent: str, time: str) -> DataFrame:
 
 def _place_rest(parts):
     """Peel the remaining nodes (id, parent, size) of one task; size holds what was peeled below, the node included."""
-    pdf = pd.concat(list(parts), ignore_index=True)
-    n = len(pdf)
-    if not n:
-        yield pd.DataFrame({"id": [], "root": [], "depth": [], "path": [], "size": []})
+    held = [p for p in parts if len(p)]
+    if not held:
         return
+    pdf = pd.concat(held, ignore_index=True)
+    n = len(pdf)
     ids = pdf["id"].to_numpy(object)
     at = pd.Index(ids).get_indexer(pdf["parent"].where(pdf["parent"].notna(), None).to_numpy(object))
     size = pdf["size"].to_numpy(np.int64).copy()
