@@ -48,24 +48,33 @@ def bm25(nodes: DataFrame, node_id: str, fields: list[str], query: str, *, keep:
     words = query_words(query)
     if not words:
         return nodes.select(node_id, *keep, F.lit(0.0).alias("score")).limit(0)
-    counted = nodes.select(node_id, *keep, *[tokens(f).alias(f"t_{i}") for i, f in enumerate(fields)])
-    occurs = lambda i, w: F.size(F.filter(f"t_{i}", lambda x: x == w))
-    tf = {(i, w): occurs(i, w) for i in range(len(fields)) for w in words}
-    stats = counted.agg(
-        *[F.count(f"t_{i}").alias(f"n_{i}") for i in range(len(fields))],
-        *[F.avg(F.size(f"t_{i}")).alias(f"dl_{i}") for i in range(len(fields))],
-        *[F.count_if(F.array_contains(f"t_{i}", w)).alias(f"df_{i}_{k}") for i in range(len(fields)) for k, w in enumerate(words)],
+    # counts by pattern, so that no array of words is ever built; a word must occur as a text before it is counted
+    lower = [F.lower(F.col(f)) for f in fields]
+    whole = lambda i, w: F.when(F.contains(lower[i], F.lit(w)), F.regexp_count(lower[i], F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0)
+    count = lambda rows: rows.select(
+        node_id, *keep,
+        *[F.regexp_count(x, F.lit(_WORD)).alias(f"l_{i}") for i, x in enumerate(lower)],
+        *[F.when(lower[i].isNotNull(), whole(i, w)).alias(f"tf_{i}_{k}") for i in range(len(fields)) for k, w in enumerate(words)],
+    )
+    stats = count(nodes).agg(
+        *[F.count(f"l_{i}").alias(f"n_{i}") for i in range(len(fields))],
+        *[F.avg(f"l_{i}").alias(f"dl_{i}") for i in range(len(fields))],
+        *[F.count_if(F.col(f"tf_{i}_{k}") > 0).alias(f"df_{i}_{k}") for i in range(len(fields)) for k in range(len(words))],
     ).first()
     score = F.lit(0.0)
     for i in range(len(fields)):
         n, mean = stats[f"n_{i}"], stats[f"dl_{i}"] or 1.0
-        long = F.lit(1 - B) + F.size(f"t_{i}") * F.lit(B / mean)
-        for k, w in enumerate(words):
+        long = F.lit(1 - B) + F.col(f"l_{i}") * F.lit(B / mean)
+        for k in range(len(words)):
             df = stats[f"df_{i}_{k}"]
             idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
-            c = tf[i, w]
+            c = F.col(f"tf_{i}_{k}")
             score = score + F.coalesce(F.when(c > 0, idf * c * (K1 + 1) / (c + F.lit(K1) * long)), F.lit(0.0))
-    return counted.select(node_id, *keep, score.alias("score")).filter("score > 0")
+    possible = F.lit(False)
+    for x in lower:
+        for w in words:
+            possible = possible | F.coalesce(F.contains(x, F.lit(w)), F.lit(False))
+    return count(nodes.filter(possible)).select(node_id, *keep, score.alias("score")).filter("score > 0")
 
 
 def postings(nodes: DataFrame, node_id: str, fields: list[str]) -> DataFrame:
