@@ -1,21 +1,20 @@
-"""Most similar vectors for every vector: score-aware quantisation, four-bit table scans, exact reranking.
+"""Most similar vectors for every vector: the nearest cells of a coarse codebook, each searched exactly.
 
 Vectors are compared by cosine, so they are scaled to length one and the search is
 for the largest inner product.
 
 * A coarse codebook (spherical k-means) cuts the collection into cells.
-* The residual to the cell's centre is coded by product quantisation with 16
-  codewords, four bits, for each run of four numbers.  Codes and codewords are
-  chosen for the anisotropic loss: the part of the error parallel to the vector
-  counts ``ETA`` times the orthogonal part, since it is what moves large inner
-  products.
-* A query scans the cells whose centres are nearest to it.  Its scores come from
-  lookup tables, two four-bit codes at a time; the best ``SHORTLIST`` of a block
-  are reranked exactly with the original numbers.
+* A query scans the cells whose centres are nearest to it, and every row of such a
+  cell gets its exact similarity: no row of a scanned cell is left out.
 * A scan serves both sides: each scanned row also keeps its best queries, so a
   pair is found if either vector scans the other's cell.
 
-The codebooks are fitted on at most ``SAMPLE`` rows, chosen by hash; every row is
+``fit_words``, ``assign_codes`` and ``scan`` are the anisotropic four-bit codes (the
+part of the error parallel to the vector counts ``ETA`` times the orthogonal part).
+``nearest`` does not shortlist by them: their error exceeds the differences between
+a cell's rows, so a shortlist loses neighbours, and all of them where codes are equal.
+
+The codebook is fitted on at most ``SAMPLE`` rows, chosen by hash; every row is
 indexed and every row is a query.  Rows of a cell are dealt into blocks of
 ``BLOCK`` rows and so are the queries that scan it, so a dense cell becomes many
 equal tasks.  Bit-identical directions are searched once and expanded afterwards,
@@ -29,8 +28,6 @@ table gives none.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,20 +39,13 @@ SAMPLE = 20_000
 #: Rows per cell aimed at, and the most cells; both bound the codebook that is sent to the tasks.
 CELL_ROWS, MAX_CELLS = 80, 1024
 PROBES = 32
-SHORTLIST = 48
 BLOCK = 4096
+#: Places in a block that a key can tell apart; far above the rows dealt into one.
+SCALE = 1 << 31
 ETA = 3.0
 SUB = 4
 
 
-@dataclass
-class Model:
-    """Centres (cells x d) and codewords (d / 4 x 16 x 4)."""
-
-    centres: np.ndarray
-    words: np.ndarray
-
-
 def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
@@ -109,14 +99,13 @@ def fit_words(x: np.ndarray, residual: np.ndarray, rng: np.random.Generator, rou
     return words
 
 
-def fit(x: np.ndarray, n: int, seed: int = 0) -> Model:
-    """Codebooks from a sample ``x`` of unit vectors for a collection of ``n``."""
+def fit(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Cell centres from a sample ``x`` of unit vectors for a collection of ``n``; centres that (nearly) coincide are one."""
     rng = np.random.default_rng(seed)
     cells = int(min(MAX_CELLS, max(1, n // CELL_ROWS), max(1, len(x) // 8)))
     centres = spherical_kmeans(x, cells, rng)
-    few = x[rng.choice(len(x), min(len(x), 6000), replace=False)]
-    residual = few - centres[(few @ centres.T).argmax(1)]
-    return Model(centres.astype(np.float32), fit_words(few, residual, rng).astype(np.float32))
+    again = np.tril(centres @ centres.T >= 1 - 1e-6, -1).any(1)
+    return centres[~again].astype(np.float32)
 
 
 def scan(q: np.ndarray, cell: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -141,26 +130,21 @@ def _unit(raw: pd.Series, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _rerank(asking: np.ndarray, found: np.ndarray, best: np.ndarray, ask_ids: np.ndarray, found_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Exact similarities of each asker's shortlist: (places, scores) of its k best, -inf for itself and beyond.
+def _top(keys: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest keys of each row, descending."""
+    if k < keys.shape[1]:
+        keys = -np.partition(-keys, k - 1, axis=1)[:, :k]
+    return -np.sort(-keys, axis=1)
+
 
-    ``found_ids`` ascend, so a stable sort of ascending places breaks ties by the smaller id.
-    """
-    best = np.sort(best, axis=1)
-    score = np.empty(best.shape)
-    step = max(1, 3_000_000 // (best.shape[1] * asking.shape[1]))
-    for s in range(0, len(best), step):
-        score[s : s + step] = np.einsum("qsd,qd->qs", found[best[s : s + step]], asking[s : s + step])
-    score = np.round(score, 9)
-    score[found_ids[best] == ask_ids[:, None]] = -np.inf
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
+#: Key of a pair that is none.
+_NONE = -(1 << 62)
 
 
-def _search_block(model: Model, d: int, k: int):
-    def answer(ids: np.ndarray, others: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame({"id": np.repeat(ids, score.shape[1]), "other": others.ravel(), "score": score.ravel()})
-        return out[np.isfinite(out["score"].to_numpy())]
+def _search_block(centres: int, d: int, k: int):
+    def answer(ids: np.ndarray, others: np.ndarray, keys: np.ndarray, fine: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"id": np.repeat(ids, keys.shape[1]), "other": others.ravel(), "score": (keys // SCALE / 1e9).ravel()})
+        return out[fine.ravel()]
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -168,48 +152,44 @@ def _search_block(model: Model, d: int, k: int):
         q, x = q.sort_values("id"), x.sort_values("x_id")
         qi, xi = q["id"].to_numpy(), x["x_id"].to_numpy()
         qu, xu = _unit(q["raw"], d), _unit(x["x_raw"], d)
-        codes = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-        centre = model.centres[key[0]]
-        best, top = [], np.full((len(x), 0), -np.inf, np.float32)
-        at = np.zeros((len(x), 0), np.int64)
+        # a key orders pairs by similarity in units of 1e-9, then by the smaller id: ids ascend, so the smaller place
+        q_place, x_place = SCALE - 1 - np.arange(len(q)), SCALE - 1 - np.arange(len(x))
+        best, at = [], np.full((len(x), 0), _NONE)
         step = max(1, 2_000_000 // len(x))
         for s in range(0, len(q), step):
-            scores = scan(qu[s : s + step].astype(np.float32), centre, codes, model.words)
-            best.append(_best(scores, min(SHORTLIST, len(x))))
+            score = np.rint(qu[s : s + step] @ xu.T * 1e9).astype(np.int64) * SCALE
+            score[qi[s : s + step, None] == xi] = _NONE
+            best.append(_top(score + x_place, k))
             # the scanned rows' best queries so far
-            back = _best(scores.T, min(SHORTLIST, scores.shape[0]))
-            at = np.concatenate([at, back + s], 1)
-            top = np.concatenate([top, np.take_along_axis(scores.T, back, 1)], 1)
-            if at.shape[1] > SHORTLIST:
-                keep = _best(top, SHORTLIST)
-                at, top = np.take_along_axis(at, keep, 1), np.take_along_axis(top, keep, 1)
-        places, score = _rerank(qu, xu, np.concatenate(best), qi, xi, k)
-        found = answer(qi, xi[places], score)
-        places, score = _rerank(xu, qu, at, xi, qi, k)
+            at = _top(np.concatenate([at, score.T + q_place[s : s + step]], 1), k)
+        best = np.concatenate(best)
+        found = answer(qi, xi[SCALE - 1 - best % SCALE], best, best > _NONE + SCALE)
         # a row that scans the query's cell itself finds the pair there
-        probes = np.zeros((len(x), len(model.centres)), bool)
+        places = SCALE - 1 - at % SCALE
+        probes = np.zeros((len(x), centres), bool)
         lists = x["x_probes"].to_numpy()
         probes[np.repeat(np.arange(len(x)), [len(p) for p in lists]), np.concatenate(lists)] = True
-        score[np.take_along_axis(probes, q["home"].to_numpy()[places], 1)] = -np.inf
-        return pd.concat([found, answer(xi, qi[places], score)], ignore_index=True)
+        own = np.take_along_axis(probes, q["home"].to_numpy()[places], 1)
+        return pd.concat([found, answer(xi, qi[places], at, (at > _NONE + SCALE) & ~own)], ignore_index=True)
 
     return search
 
 
-def _encode(model: Model, d: int):
-    probes = min(PROBES, len(model.centres))
+def _encode(centres: np.ndarray, d: int):
+    probes = min(PROBES, len(centres))
 
     def encode(parts):
         import hashlib
 
         for pdf in parts:
             x = _unit(pdf["raw"], d)
-            near = x.astype(np.float32) @ model.centres.T
+            near = x.astype(np.float32) @ centres.T
             order = _best(near, probes)
             home = near.argmax(1)
-            codes = assign_codes(x, x - model.centres[home], model.words).astype(np.uint8)
+            # among equally near centres the probes may be others
+            order[~(order == home[:, None]).any(1), 0] = home[~(order == home[:, None]).any(1)]
             digest = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in x + 0.0]
-            yield pd.DataFrame({"id": pdf["id"], "raw": pdf["raw"], "digest": digest, "home": home.astype(np.int32), "code": [c.tobytes() for c in codes], "probes": [sorted(int(c) for c in p) for p in order]})
+            yield pd.DataFrame({"id": pdf["id"], "raw": pdf["raw"], "digest": digest, "home": home.astype(np.int32), "probes": [sorted(int(c) for c in p) for p in order]})
 
     return encode
 
@@ -237,8 +217,8 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, *, k: int = 5, d: int =
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("id").limit(SAMPLE).toPandas()
     if not len(sample):
         sample = rows.orderBy("id").limit(1).toPandas()
-    model = fit(_unit(sample["raw"], d), n)
-    coded = materialize(rows.mapInPandas(_encode(model, d), "id bigint, raw binary, digest binary, home int, code binary, probes array<int>"), "coded")
+    centres = fit(_unit(sample["raw"], d), n)
+    coded = materialize(rows.mapInPandas(_encode(centres, d), "id bigint, raw binary, digest binary, home int, probes array<int>"), "coded")
     first = Window.partitionBy("digest").orderBy("id")
     twins = coded.select("digest", "id", F.row_number().over(first).alias("rn")).filter(F.col("rn") <= k + 1).groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     lead = twins.select(F.element_at("ids", 1).alias("id"), "ids")
@@ -249,10 +229,10 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, *, k: int = 5, d: int =
     # one row per cell, at most MAX_CELLS
     blocks = F.broadcast(sizes.join(asked, "cell").select("cell", F.ceil(F.col("x_rows") / BLOCK).cast("int").alias("xb"), F.ceil(F.col("q_rows") / BLOCK).cast("int").alias("qb")))
     deal = lambda b, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(b)).cast("int")
-    x = leads.select(F.col("home").alias("cell"), "id", "raw", "code", "probes").join(blocks, "cell").withColumn("x_block", deal("xb", 11)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
+    x = leads.select(F.col("home").alias("cell"), "id", "raw", "probes").join(blocks, "cell").withColumn("x_block", deal("xb", 11)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
     q = leads.select(F.explode("probes").alias("cell"), "id", "raw", "home").join(blocks, "cell").withColumn("q_block", deal("qb", 13)).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("xb") - 1)))
     keys = ["cell", "x_block", "q_block"]
-    pairs = q.select(*keys, "id", "raw", "home").groupBy(*keys).cogroup(x.select(*keys, F.col("id").alias("x_id"), F.col("raw").alias("x_raw"), "code", F.col("probes").alias("x_probes")).groupBy(*keys)).applyInPandas(_search_block(model, d, k), "id bigint, other bigint, score double")
+    pairs = q.select(*keys, "id", "raw", "home").groupBy(*keys).cogroup(x.select(*keys, F.col("id").alias("x_id"), F.col("raw").alias("x_raw"), F.col("probes").alias("x_probes")).groupBy(*keys)).applyInPandas(_search_block(len(centres), d, k), "id bigint, other bigint, score double")
 
     # each found direction stands for its k + 1 smallest ids, each asking direction for all its rows
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")

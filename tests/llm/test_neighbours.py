@@ -78,3 +78,18 @@ def test_codes_minimise_the_anisotropic_loss():
     near = np.stack([((x.reshape(-1, 16, 4)[:, j, None] - words[j]) ** 2).sum(2).argmin(1) for j in range(16)], 1)
     assert loss(nb.assign_codes(x, x, words)) <= loss(near)
     assert loss(near) < (x**2).sum()
+
+
+def test_scaled_copies_and_near_duplicates(spark):
+    rng = np.random.default_rng(6)
+    rows = clustered(400, rng)
+    one, two = rng.normal(size=64), rng.normal(size=64)
+    ids = rng.permutation(2000) + 1000
+    rows += [(int(i), (one * rng.uniform(0.01, 100)).astype(np.float32)) for i in ids[:1000]]
+    rows += [(int(i), two + rng.normal(size=64) * 1e-4) for i in ids[1000:]]
+    want, found = brute(rows, 5), got(spark, rows)
+    assert len(found) == len(want)
+    copies = {int(i) for i in ids[:1000]}
+    assert {p for p in found if p[0] in copies} == {p for p in want if p[0] in copies}
+    near = {int(i) for i in ids[1000:]}
+    assert len({p for p in found & want if p[0] in near}) / 5000 >= 0.99
