@@ -2,21 +2,29 @@
 
 The only module that reaches into the session's JVM objects.  A query text is
 parsed to an unresolved plan (no catalogue is needed) and walked once on the
-driver; equal texts are parsed once.  Texts the parser cannot read are skipped
-with a warning that names the error's type and nothing of the text.
+driver.  A text may hold several statements; each counts by itself, and equal
+statements are parsed once.  What the parser cannot read is skipped with a warning
+that names the error's type and nothing of the text.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
+import uuid
 import warnings
 from dataclasses import dataclass, field
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import ids
 from schemaloom.errors import ConfigError, SchemaloomWarning
+from schemaloom.materialize import materialize, shared_dir
 from schemaloom.sources.rows import edges_of, nodes_of
 from schemaloom.store import GraphBatch
 
@@ -25,6 +33,19 @@ DIALECTS = {"bigquery": ("GCP", "BIGQUERY"), "snowflake": ("SNOWFLAKE", "SNOWFLA
 _REWRITES = [(r"\bSAFE_CAST\s*\(", "TRY_CAST("), (r"\bINT64\b", "BIGINT"), (r"\bFLOAT64\b", "DOUBLE"), (r"\bBYTES\b", "BINARY"), (r"\bNUMBER\b(?=\s*[),])", "DECIMAL"), (r"::\s*NUMBER\b", "::DECIMAL")]
 
 
+#: Parsed rows of one kind that the driver holds before it writes them out.
+BATCH_ROWS = 20_000
+_PIECES = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;", re.DOTALL)
+_LEADING = re.compile(r"(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*", re.DOTALL)
+
+
+def statements(text: str) -> list[str]:
+    """The statements of a text, without the comments before them; quotes and comments hide semicolons."""
+    ends = [m.start() for m in _PIECES.finditer(text) if m.group() == ";"]
+    cut = [text[a:b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(text)])]
+    return [x for c in cut if (x := c[_LEADING.match(c).end() :].rstrip())]
+
+
 @dataclass
 class Parsed:
     """What a query text names; tables are (parts, alias)."""
@@ -114,13 +135,92 @@ class _Walker:
         return ".".join(parts[-2:])
 
 
-def parse(spark: SparkSession, text: str) -> Parsed:
-    """Raises what the parser raises."""
+#: Kinds of plans that only the walker reads, and names that stand in JSON as they are.
+_NESTED = re.compile(r"\.(?:UnresolvedWith|Exists|ListQuery|\w*Subquery)\"")
+_NAMES = re.compile(r"\[[\w$]+(?:, [\w$]+)*\]")
+
+
+class _Unclear(Exception):
+    pass
+
+
+def _kind(node: dict) -> str:
+    return node["class"].rsplit(".", 1)[-1]
+
+
+def _names(listed: str) -> list[str]:
+    if not _NAMES.fullmatch(listed):
+        raise _Unclear
+    return listed[1:-1].split(", ")
+
+
+def _read_json(plan, walker: _Walker) -> None:
+    """What the walker would find, from one JSON text of the plan; conditions alone are fetched for their source."""
+    text = plan.toJSON()
+    if _NESTED.search(text):
+        raise _Unclear
+    nodes, out = json.loads(text), walker.out
+    place = 0
+
+    def attributes(value) -> None:
+        for x in value if isinstance(value, list) else ():
+            if isinstance(x, list):
+                attributes(x)
+            elif isinstance(x, dict) and x.get("class", "").endswith(".UnresolvedAttribute"):
+                parts = _names(x["nameParts"])
+                out.columns.append((parts[-2] if len(parts) > 1 else None, parts[-1]))
+
+    def leaf(at: int) -> str:
+        while _kind(nodes[at]) == "SubqueryAlias":
+            at += 1
+        return ".".join(_names(nodes[at]["multipartIdentifier"])[-2:]) if _kind(nodes[at]) == "UnresolvedRelation" else ""
+
+    def after(at: int) -> int:
+        end = at + 1
+        for _ in range(nodes[at]["num-children"]):
+            end = after(end)
+        return end
+
+    def visit(alias: str | None) -> None:
+        nonlocal place
+        at, node = place, nodes[place]
+        kind = _kind(node)
+        if kind == "UnresolvedRelation":
+            out.tables.append((_names(node["multipartIdentifier"]), alias))
+        elif kind == "Join" and node.get("condition"):
+            c = plan.apply(at).condition().get()
+            source = walker.source(c)
+            out.joins.append((leaf(after(at + 1)), source or c.sql()))
+            flat = node["condition"]
+            if [_kind(x) for x in flat] == ["EqualTo", "UnresolvedAttribute", "UnresolvedAttribute"]:
+                a, b = (_names(x["nameParts"]) for x in flat[1:])
+                out.equalities.append(((a[-2] if len(a) > 1 else None, a[-1]), (b[-2] if len(b) > 1 else None, b[-1]), source, True))
+            else:
+                walker.conjuncts(c, source, True)
+        for k, value in node.items():
+            if k not in ("class", "num-children"):
+                attributes(value)
+        place += 1
+        for _ in range(node["num-children"]):
+            visit(node["identifier"]["name"] if kind == "SubqueryAlias" else None)
+
+    visit(None)
+
+
+def parse(spark: SparkSession, text: str, *, walk: bool = False) -> Parsed:
+    """Raises what the parser raises.  ``walk`` reads every plan node by node, which is slower and gives the same."""
     plain = text
     for pattern, put in _REWRITES:
         plain = re.sub(pattern, put, plain, flags=re.IGNORECASE)
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(plain)
     parsed = Parsed()
-    _Walker(plain, parsed).plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(plain))
+    try:
+        if walk:
+            raise _Unclear
+        _read_json(plan, _Walker(plain, parsed))
+    except (_Unclear, KeyError, TypeError):
+        parsed = Parsed()
+        _Walker(plain, parsed).plan(plan)
     return parsed
 
 
@@ -198,16 +298,47 @@ _SHAPES = {
 }
 
 
+def _split(parts):
+    for pdf in parts:
+        rows = [(q, hashlib.sha256(x.encode()).hexdigest(), x) for q, t in zip(pdf["query_id"], pdf["text"]) for x in dict.fromkeys(statements(t))]
+        yield pd.DataFrame(rows, columns=["query_id", "statement_id", "text"])
+
+
 def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved") -> dict[str, DataFrame]:
-    """Frames of all distinct texts.  Parsing is the driver's; texts stream to it one partition at a time."""
+    """Frames of all statements of all distinct texts.
+
+    Parsing is the driver's: distinct statements stream to it one partition at a time, and
+    what they name goes out in files of at most about ``BATCH_ROWS`` rows.
+    """
     spark = queries.sparkSession
     distinct = queries.filter(F.col(text).isNotNull()).select(ids.query_id(F.col(text)).alias("query_id"), F.col(text).alias("text")).dropDuplicates(["query_id"])
+    said = materialize(distinct.mapInPandas(_split, "query_id string, statement_id string, text string"), "statements")
+    once = materialize(said.select("statement_id", "text").dropDuplicates(["statement_id"]), "once")
+    folder = os.path.join(shared_dir(spark), f"lineage-{uuid.uuid4().hex}")
     rows: dict[str, list[dict]] = {k: [] for k in _SHAPES}
-    for r in distinct.toLocalIterator():
-        got = lineage(spark, r.text, r.query_id, dialect=dialect, default_database=default_database, default_schema=default_schema, mode=mode)
+
+    def write(kind: str) -> None:
+        names = [c.split()[0] for c in _SHAPES[kind].split(", ")]
+        table = pa.table({c: pa.array([r[c] for r in rows[kind]], pa.string()) for c in names})
+        spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(f"{folder}/{kind}")
+        rows[kind] = []
+
+    for r in once.toLocalIterator():
+        got = lineage(spark, r.text, r.statement_id, dialect=dialect, default_database=default_database, default_schema=default_schema, mode=mode)
         for k, v in (got or {}).items():
             rows[k] += v
-    frames = {k: spark.createDataFrame([tuple(x[c.split()[0]] for c in shape.split(", ")) for x in rows[k]], shape) for k, shape in _SHAPES.items()}
+            if len(rows[k]) >= BATCH_ROWS:
+                write(k)
+    for k in _SHAPES:
+        write(k)
+    users = said.select("query_id", "statement_id")
+    frames = {}
+    for k, shape in _SHAPES.items():
+        found = spark.read.schema(shape).parquet(f"{folder}/{k}").withColumnRenamed("query_id", "statement_id").join(users, "statement_id")
+        if k == "cte_info":
+            # the id begins with the statement's 64 digits
+            found = found.withColumn("cte_id", F.concat("query_id", F.expr("substr(cte_id, 65)")))
+        frames[k] = found.select(*[c.split()[0] for c in shape.split(", ")])
     return frames | {"query_info": distinct.withColumnRenamed("text", "content")}
 
 

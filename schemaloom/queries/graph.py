@@ -612,6 +612,38 @@ def lineage_ctes(spark, sf):
     return _lineage(spark, "cte_info").select("cte_name", "definition")
 
 
+def _document_lineage(spark, sf: str, which: str) -> DataFrame:
+    """Lineage of all texts of documents that are or hold queries; two-part names belong to one database."""
+    import warnings
+
+    from schemaloom.lineage import lineage_frames
+
+    texts = read(spark, sf, "documents").filter((F.col("source") == "query_history") | F.col("text").rlike(r"(?i)\bselect\b")).select(F.col("text").alias("query"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return lineage_frames(texts, default_database="warehouse", default_schema="main")[which]
+
+
+@_query()
+def lineage_document_tables(spark, sf):
+    return _document_lineage(spark, sf, "table_info").groupBy("table_id").agg(F.min("table_name").alias("table_name"), F.count_distinct("query_id").alias("n_queries"))
+
+
+@_query()
+def lineage_document_columns(spark, sf):
+    return _document_lineage(spark, sf, "column_info").select("column_id").distinct()
+
+
+@_query()
+def lineage_document_joins(spark, sf):
+    return _document_lineage(spark, sf, "references_info").groupBy("left_column_id", "right_column_id").agg(F.count_distinct("query_id").alias("n_queries"))
+
+
+@_query()
+def lineage_document_ctes(spark, sf):
+    return _document_lineage(spark, sf, "cte_info").select("query_id", "cte_name", "definition").distinct()
+
+
 _MODEL = {
     "version": "0.1.1",
     "semantic_model": [

@@ -319,3 +319,32 @@ def test_scores(spark):
     assert tuple(evalkit.execution_match(a, b).first()) == (True, 3, 3, 3)
     assert tuple(evalkit.execution_match(a, b.limit(2)).first())[0] is False
     assert ids.normalize("a") is not None
+
+
+def test_lineage_of_documents(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(lineage, "BATCH_ROWS", 1)
+    one = "SELECT a.x FROM core.t AS a JOIN ops.u AS b ON a.k = b.k"
+    two = f"-- first; note\n{one};\n\nWITH w AS (SELECT c.z FROM core.v AS c) SELECT w.z FROM w WHERE w.z <> ';';\nSELEC nothing"
+    rows = [(1, one, "query_history"), (2, two, "query_history"), (3, two, "query_history"), (4, "Prose; " + one, "wiki"), (5, "no query", "tickets"), (6, None, "query_history")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: sorted(map(tuple, entry.queries()[f"lineage_document_{name}"](spark, str(tmp_path)).collect()))
+    assert got("tables") == [("warehouse.core.t", "t", 3), ("warehouse.core.v", "v", 1), ("warehouse.ops.u", "u", 3)]
+    assert got("columns") == [(f"warehouse.{c}",) for c in ("core.t.k", "core.t.x", "core.v.z", "ops.u.k")]
+    assert got("joins") == [("warehouse.ops.u.k", "warehouse.core.t.k", 3)]
+    assert [r[1:] for r in got("ctes")] == [("w", "SELECT c.z FROM core.v AS c")]
+
+
+def test_both_ways_to_read_a_plan_agree(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("source = 'query_history' AND text IS NOT NULL").collect()]
+    texts += ["SELECT a.x, sum(b.`y z`) FROM p.q.a JOIN q.b ON a.x = b.y AND a.z = b.w LEFT JOIN c AS d ON d.k = a.k OR d.j > b.j GROUP BY a.x", "SELECT x FROM a JOIN (SELECT b.y FROM b) AS s ON a.x = s.y"]
+    read = 0
+    for one in [s for t in texts for s in lineage.statements(t)]:
+        try:
+            walked = lineage.parse(spark, one, walk=True)
+        except Exception:
+            continue
+        assert lineage.parse(spark, one) == walked
+        read += 1
+    assert read > 20
