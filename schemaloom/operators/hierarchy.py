@@ -1,8 +1,8 @@
 """Parent-child links to full hierarchies.
 
 Leaves are peeled bottom-up: in each round every node without remaining children
-sends its subtree size to its parent and leaves the graph.  What can never be
-peeled are the circles.  In reverse order of peeling the nodes then receive root,
+sends its subtree size, or in ``descendants`` its list, to its parent and leaves the
+graph.  What can never be peeled are the circles.  In reverse order of peeling the nodes then receive root,
 depth and path from their parents.
 
 Rounds are joins and pre-aggregated sums, so a parent with a third of all nodes
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from schemaloom.materialize import discard, materialize
 
 LOCAL_ROWS = 200_000
-_PLACED = "id string, root string, depth int, path string, size bigint"
+_PLACED = "id string, parent string, root string, depth int, path string, size bigint"
+_PAIRS = "ancestor string, descendant string, distance int"
+#: Pairs that the task of :func:`_pairs_of_rest` holds before it passes them on.
+PAIR_ROWS = 200_000
 
 
 def latest_links(df: DataFrame, node: str, parent: str, time: str) -> DataFrame:
@@ -78,7 +81,7 @@ def _place_rest(parts):
             p = at[i]
             root[i] = root[p]
             depth[i], path[i] = (-1, "") if depth[p] < 0 else (depth[p] + 1, f"{path[p]}/{ids[i]}")
-    yield pd.DataFrame({"id": ids, "root": root, "depth": depth, "path": path, "size": size})
+    yield pd.DataFrame({"id": ids, "parent": pdf["parent"], "root": root, "depth": depth, "path": path, "size": size})
 
 
 def _circles(rest: DataFrame) -> DataFrame:
@@ -93,13 +96,13 @@ def _circles(rest: DataFrame) -> DataFrame:
         low_before = total
         other = step.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("low").alias("low2"))
         step = step.join(other, F.col("far") == F.col("k")).select("id", F.col("far2").alias("far"), F.least("low", "low2").alias("low"))
-    sized = step.join(rest.select("id", "size"), "id")
+    sized = step.join(rest.select("id", "parent", "size"), "id")
     totals = sized.groupBy("low").agg(F.sum("size").alias("total"))
-    return sized.join(totals, "low").select("id", F.col("low").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.col("total").alias("size"))
+    return sized.join(totals, "low").select("id", "parent", F.col("low").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.col("total").alias("size"))
 
 
 def hierarchy(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """One row per node of ``links`` (id, parent): id, root, depth, path, size (itself included)."""
+    """One row per node of ``links`` (id, parent): id, parent, root, depth, path, size (itself included)."""
     rest = materialize(links.select("id", "parent", F.lit(1).cast("bigint").alias("size")), "links")
     peeled: list[DataFrame] = []
     left, before = rest.count(), None
@@ -124,6 +127,7 @@ def hierarchy(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
         inside = F.col("depth") >= 0
         placed_now = down.select(
             "id",
+            "parent",
             F.coalesce("root", "id").alias("root"),
             F.when(F.col("k").isNull(), 0).when(inside, F.col("depth") + 1).otherwise(-1).alias("depth"),
             F.when(F.col("k").isNull(), F.col("id")).when(inside, F.concat("path", F.lit("/"), "id")).otherwise("").alias("path"),
@@ -135,10 +139,106 @@ def hierarchy(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
     return placed
 
 
-def descendants(placed: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of every pair on one path; a row per pair, never a list per node."""
-    steps = placed.filter("depth > 0").select(F.col("id").alias("descendant"), "depth", F.posexplode(F.split("path", "/")).alias("at", "ancestor"))
-    return steps.filter("at < depth").select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+def _pairs_of_rest(parts):
+    """The pairs (ancestor, descendant, distance) among the remaining nodes (id, parent) of one task, circles included."""
+    held = [p for p in parts if len(p)]
+    if not held:
+        return
+    pdf = pd.concat(held, ignore_index=True)
+    n = len(pdf)
+    ids = pdf["id"].to_numpy(object)
+    at = pd.Index(ids).get_indexer(pdf["parent"].where(pdf["parent"].notna(), None).to_numpy(object))
+    open_children = np.bincount(at[at >= 0], minlength=n)
+    order, gone = [], np.zeros(n, bool)
+    level = np.flatnonzero(open_children == 0)
+    while len(level):
+        order.append(level)
+        gone[level] = True
+        up = level[at[level] >= 0]
+        np.subtract.at(open_children, at[up], 1)
+        above = np.unique(at[up])
+        level = above[open_children[above] == 0]
+    # how many others the climb of each node meets
+    climb = np.zeros(n, np.int64)
+    seen = gone.copy()
+    for i in np.flatnonzero(~gone):
+        if seen[i]:
+            continue
+        circle = [i]
+        while at[circle[-1]] != i:
+            circle.append(at[circle[-1]])
+        climb[circle], seen[circle] = len(circle) - 1, True
+    for level in reversed(order):
+        inner = level[at[level] >= 0]
+        climb[inner] = climb[at[inner]] + 1
+    below, node, distance, ready, rows = np.arange(n), np.arange(n), 0, [], 0
+    while True:
+        distance += 1
+        on = climb[below] >= distance
+        below, node = below[on], at[node[on]]
+        if len(below):
+            # a few rows at a time, whatever the number of nodes
+            for k in range(0, len(below), PAIR_ROWS):
+                ready.append((node[k : k + PAIR_ROWS], below[k : k + PAIR_ROWS], distance))
+                rows += len(ready[-1][0])
+                if rows >= PAIR_ROWS:
+                    yield _pair_frame(ids, ready)
+                    ready, rows = [], 0
+        else:
+            break
+    if ready:
+        yield _pair_frame(ids, ready)
+
+
+def _pair_frame(ids: np.ndarray, ready: list) -> pd.DataFrame:
+    above, below = (np.concatenate([r[k] for r in ready]) for k in (0, 1))
+    return pd.DataFrame({"ancestor": ids[above], "descendant": ids[below], "distance": np.repeat([r[2] for r in ready], [len(r[0]) for r in ready]).astype(np.int32)})
+
+
+def _pairs_of_circles(rest: DataFrame) -> DataFrame:
+    """The pairs among the members of every circle, by doubling how far each looks."""
+    step = rest.select("id", F.col("parent").alias("far"))
+    met = rest.select("id", F.col("id").alias("other"), F.lit(0).alias("distance"))
+    length, before, count = 1, None, 0
+    while count != before:
+        further = step.join(met.withColumnRenamed("id", "far"), "far").select("id", "other", (F.col("distance") + length).alias("distance"))
+        met = materialize(met.unionByName(further).groupBy("id", "other").agg(F.min("distance").alias("distance")), "circle-pairs")
+        step = materialize(step.join(step.select(F.col("id").alias("far"), F.col("far").alias("far2")), "far").select("id", F.col("far2").alias("far")), "circle-steps")
+        before, count, length = count, met.count(), length * 2
+    return met.filter("id <> other").select(F.col("other").alias("ancestor"), F.col("id").alias("descendant"), F.col("distance").cast("int").alias("distance"))
+
+
+def descendants(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(ancestor, descendant, distance) of all nodes of ``links`` (id, parent); a row per pair, never a list per node.
+
+    A node's descendants are the other nodes whose climb meets it, so members of a circle
+    are each other's, and what hangs below a circle is below each of its members.  Each
+    round the leaves, whose pairs are then complete, send them to their parents.
+    """
+    rest = materialize(links.select("id", "parent"), "links")
+    known = materialize(links.sparkSession.createDataFrame([], _PAIRS), "pairs")
+    whole: list[DataFrame] = []
+    left, before = rest.count(), None
+    while left > local_rows and left != before:
+        parents = rest.select(F.col("parent").alias("id")).filter("id is not null").distinct()
+        leaves = materialize(rest.join(parents, "id", "left_anti"), "leaves")
+        done = materialize(known.join(leaves.select(F.col("id").alias("ancestor"), "parent"), "ancestor"), "pairs")
+        whole.append(done.drop("parent"))
+        sent = done.select(F.col("parent").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
+        sent = sent.unionByName(leaves.select(F.col("parent").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("distance")))
+        open_ = known.join(leaves.select(F.col("id").alias("ancestor")), "ancestor", "left_anti")
+        old, known = known, materialize(open_.unionByName(sent.filter("ancestor is not null")), "pairs")
+        discard(old)
+        old, rest = rest, materialize(rest.join(leaves, "id", "left_anti"), "rest")
+        discard(old)
+        before, left = left, rest.count()
+    inner = materialize(rest.coalesce(1).mapInPandas(_pairs_of_rest, _PAIRS) if left <= local_rows else _pairs_of_circles(rest), "pairs")
+    via = known.select(F.col("ancestor").alias("via"), F.col("descendant").alias("below"), F.col("distance").alias("first"))
+    further = inner.join(via, F.col("descendant") == F.col("via")).select("ancestor", F.col("below").alias("descendant"), (F.col("distance") + F.col("first")).alias("distance"))
+    found = inner.unionByName(known).unionByName(further)
+    for part in whole:
+        found = found.unionByName(part.select("ancestor", "descendant", "distance"))
+    return found
 
 
 def department_tree(departments: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -151,3 +251,9 @@ def department_tree(departments: DataFrame, *, local_rows: int = LOCAL_ROWS) ->
         F.col("path").alias("full_path"),
         (F.col("size") - 1).cast("bigint").alias("n_descendants"),
     )
+
+
+def department_descendants(departments: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """A row for each department and each of its descendants."""
+    links = latest_links(departments, "department_id", "parent_department_id", "created_at")
+    return descendants(links, local_rows=local_rows).select(F.col("ancestor").alias("department_id"), F.col("descendant").alias("descendant_id"), "distance")

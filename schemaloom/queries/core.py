@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from schemaloom import ids
 from schemaloom.functions.term_rule import term_key
 from schemaloom.operators.delivery import accept_batch, surplus_deliveries
-from schemaloom.operators.hierarchy import department_tree
+from schemaloom.operators.hierarchy import department_descendants, department_tree
 from schemaloom.operators.nested import nested_rows
 from schemaloom.operators.orphans import orphan_counts, orphan_references
 
@@ -53,6 +53,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return department_tree(_read(spark, sf, "departments"))
 
 
+def p4_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    return department_descendants(_read(spark, sf, "departments"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return surplus_deliveries(_read(spark, sf, "audit_log"))
 
@@ -104,7 +108,7 @@ _P6 = f"SELECT kept_id, delivery_id AS dropped_id FROM audit_log JOIN ({_KEPT})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p3_found, p3_counts, p4_found, p6_found, p6_accepted)}
+    return {q.__name__: q for q in (p1_found, p3_found, p3_counts, p4_found, p4_descendants, p6_found, p6_accepted)}
 
 
 def oracle_sql() -> dict[str, str]:

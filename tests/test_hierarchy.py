@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from schemaloom.operators import hierarchy as hierarchy_module
 from schemaloom.operators.hierarchy import department_tree, descendants, hierarchy, latest_links
 
 COLS = "department_id string, parent_department_id string, created_at timestamp, path string, size int"
@@ -59,3 +60,22 @@ def test_descendants_and_empty(spark):
     placed = hierarchy(latest_links(df, "department_id", "parent_department_id", "created_at"))
     assert sorted(map(tuple, descendants(placed).collect())) == [("A", "B", 1), ("A", "C", 2), ("B", "C", 1)]
     assert department_tree(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("local_rows", [0, 6, 200_000])
+def test_descendants_of_circles_and_slashes(spark, local_rows, monkeypatch):
+    monkeypatch.setattr(hierarchy_module, "PAIR_ROWS", 3)
+    links = {"A": "B", "B": "A", "C": "B", "D": "C", "S": "S", "T": "S", "X": None, "X/Y": "X", "Z": "X/Y", "Q": "Z", "C1": "C2", "C2": "C3", "C3": "C1", "H": "C2", "H/2": "H"}
+    want = set()
+    for n in links:
+        x, steps, seen = links[n], 1, {n}
+        while x is not None and x not in seen:
+            want.add((x, n, steps))
+            seen.add(x)
+            x, steps = links[x], steps + 1
+    df = frame(spark, [(n, p, 1) for n, p in links.items()])
+    pairs = [tuple(r) for r in hierarchy_module.department_descendants(df, local_rows=local_rows).collect()]
+    assert sorted(pairs) == sorted(want)
+    assert {("C", "D", 1), ("A", "C", 2), ("B", "A", 1), ("X/Y", "Q", 2)} <= want
+    counts = {r.department_id: r.n_descendants for r in department_tree(df, local_rows=local_rows).collect()}
+    assert counts == {n: sum(a == n for a, _, _ in pairs) for n in links}
