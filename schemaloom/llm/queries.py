@@ -22,13 +22,22 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns that queries use together, at least 20 times and 5 times as often as chance."""
+def _pairs(spark: SparkSession, sf: str, **thresholds) -> DataFrame:
     usage = _read(spark, sf, "query_column_info").select("query_id", ids.normalize("column_id").alias("column_id"))
-    pairs = cooccurrence(usage, "query_id", "column_id", min_count=20, min_lift=5)
+    pairs = cooccurrence(usage, "query_id", "column_id", **thresholds)
     return pairs.select(F.col("item_a").alias("column_a"), F.col("item_b").alias("column_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
+def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that queries use together, at least 20 times and 5 times as often as chance."""
+    return _pairs(spark, sf, min_count=20, min_lift=5)
+
+
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns that any query uses together."""
+    return _pairs(spark, sf)
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pairs(spark, sf).select("column_a", "column_b")
 
@@ -110,7 +119,7 @@ _P7_COLLAPSED = f"SELECT record_table, first_id, n AS copies FROM ({_ROWS}) WHER
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p2_pairs, p5_found, p7_found, p7_collapsed, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_repeated_lines)}
+    return {q.__name__: q for q in (p2_found, p2_pairs, p2_counts, p5_found, p7_found, p7_collapsed, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:

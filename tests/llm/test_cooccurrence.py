@@ -55,3 +55,12 @@ def test_wide_records_are_cut(spark, monkeypatch):
 def test_empty(spark):
     assert co.cooccurrence(frame(spark, []), "q", "c", min_lift=5).count() == 0
     assert co.cooccurrence(frame(spark, [(None, "a"), ("q", None), ("q", "a")]), "q", "c").count() == 0
+
+
+def test_query_of_all_pairs(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(f"q{i}", c) for i in range(30) for c in (["Hot"] + (["a b"] if i % 10 == 0 else []) + (["c"] if i == 7 else []))]
+    spark.createDataFrame(rows, "query_id string, column_id string").write.parquet(f"{tmp_path}/query_column_info.parquet")
+    got = sorted(map(tuple, entry.queries()["p2_counts"](spark, str(tmp_path)).collect()))
+    assert got == [("a_b", "hot", 3, 3, 30, 30, 1.0), ("c", "hot", 1, 1, 30, 30, 1.0)]
