@@ -24,7 +24,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """References and parents of both kinds under one key; a tag keeps columns and terms apart."""
+    """References and parents of both kinds under one key; a tag keeps columns and terms apart.
+
+    A term name whose glossary or category is NULL is a reference that no term can match.
+    """
     full = lambda side: F.concat(F.lit("c:"), ids.column_id(*[f"{side}{x}_name" for x in ("database", "schema", "table", "column")]))
     term = F.concat(F.lit("t:"), F.to_json(F.array("glossary_name", "category_name", term_key("term_name"))))
     term = F.when(F.col("term_name").isNotNull() & F.col("glossary_name").isNotNull() & F.col("category_name").isNotNull(), term)
@@ -36,7 +39,7 @@ def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     refs = (
         row("column_references_info", "reference_id", full("target_"), "extracted_at")
         .unionByName(row("query_column_info", "usage_id", F.concat(F.lit("c:"), ids.normalize("column_id")), "logged_at"))
-        .unionByName(row("column_term_info", "link_id", term, "tagged_at"))
+        .unionByName(row("column_term_info", "link_id", F.when(F.col("term_name").isNotNull(), F.coalesce(term, F.lit("t:"))), "tagged_at"))
     )
     return refs, parents
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from schemaloom.operators.orphans import lifetimes, orphan_counts, orphan_references
 
 T = [dt.datetime(2025, m, 1) for m in range(1, 13)]
@@ -48,3 +50,18 @@ def test_empty_and_counts(spark):
     r = spark.createDataFrame([("t", 1, "a", T[0], ""), ("t", 2, "b", T[0], ""), ("t", 3, "b", None, "")], REFS)
     p = spark.createDataFrame([("a", T[0], None, 1)], PARENTS)
     assert sorted((x.ref_month or "", x.n_refs, x.n_missing) for x in orphan_counts(r, p).collect()) == [("", 1, 1), ("2025-01", 2, 1)]
+
+
+def test_terms_without_glossary_or_category_are_missing(spark, sf, tmp_path):
+    import os
+
+    import __spark_entry__ as entry
+
+    for t in ("column_info", "column_references_info", "query_column_info", "business_term_info"):
+        os.symlink(f"{sf}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    links = spark.read.parquet(f"{sf}/column_term_info.parquet")
+    time = dt.datetime(2025, 3, 1)
+    rows = [(1, None, "c", "Some Term", time), (2, "g", None, "Some Term", time), (3, None, None, None, time)]
+    links.unionByName(spark.createDataFrame(rows, "link_id bigint, glossary_name string, category_name string, term_name string, tagged_at timestamp").withColumn("link_id", F.col("link_id") + 10**9), allowMissingColumns=True).write.parquet(f"{tmp_path}/column_term_info.parquet")
+    found = entry.queries()["p3_found"](spark, str(tmp_path)).filter(f"ref_id > {10**9}")
+    assert sorted(map(tuple, found.collect())) == [("column_term_info", 10**9 + k, "2025-03", "missing") for k in (1, 2)]
