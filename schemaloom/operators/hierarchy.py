@@ -2,15 +2,19 @@
 
 Leaves are peeled bottom-up: in each round every node without remaining children
 sends its subtree size, or in ``descendants`` its list, to its parent and leaves the
-graph.  What can never be peeled are the circles.  In reverse order of peeling the nodes then receive root,
-depth and path from their parents.
+graph.  In reverse order of peeling the nodes then receive root, depth and path from
+their parents.
 
-Rounds are joins and pre-aggregated sums, so a parent with a third of all nodes
-below it is no problem; each round's result is cut from its lineage with a
-checkpoint.  The graph left after a round shrinks; once it is proven (counted) to
-have at most ``local_rows`` nodes, one task peels the rest with the same rules,
-which spares one Spark job per level of a deep chain.  The results do not depend
-on ``local_rows``.
+Rounds go on while they take at least ``least_share`` of the nodes that are left, so
+the rounds are few and the graph shrinks geometrically.  What remains are deep chains
+and circles.  There each node looks 1, 2, 4 ... levels up and adds what it holds to the
+ancestor it sees, so a chain of any length is done in a logarithmic number of rounds;
+nodes that never see an end lead into circles, and the ends of their long looks are the
+circles' members.  The results do not depend on ``least_share``.
+
+Rounds are joins and pre-aggregated sums over files, whose sides adaptive execution can
+split, so a parent with a third of all nodes below it is no problem; no step gathers
+nodes in one task.
 
 Defined results: NULL or blank ids name no node; ids compare without case and
 outer blanks; of several rows of one node the latest holds, NULL times first,
@@ -21,18 +25,15 @@ smallest id of the circle as root; an empty table gives no rows.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.materialize import discard, materialize
 
-LOCAL_ROWS = 200_000
+#: A round of peeling that takes less than this share of the nodes left is the last.
+LEAST_SHARE = 0.25
 _PLACED = "id string, parent string, root string, depth int, path string, size bigint"
 _PAIRS = "ancestor string, descendant string, distance int"
-#: Pairs that the task of :func:`_pairs_of_rest` holds before it passes them on.
-PAIR_ROWS = 200_000
 
 
 def latest_links(df: DataFrame, node: str, parent: str, time: str) -> DataFrame:
@@ -44,83 +45,85 @@ def latest_links(df: DataFrame, node: str, parent: str, time: str) -> DataFrame:
     return best.join(known, F.col("p") == F.col("k"), "left").select("id", F.col("k").alias("parent"))
 
 
-def _place_rest(parts):
-    """Peel the remaining nodes (id, parent, size) of one task; size holds what was peeled below, the node included."""
-    held = [p for p in parts if len(p)]
-    if not held:
-        return
-    pdf = pd.concat(held, ignore_index=True)
-    n = len(pdf)
-    ids = pdf["id"].to_numpy(object)
-    at = pd.Index(ids).get_indexer(pdf["parent"].where(pdf["parent"].notna(), None).to_numpy(object))
-    size = pdf["size"].to_numpy(np.int64).copy()
-    open_children = np.bincount(at[at >= 0], minlength=n)
-    order: list[np.ndarray] = []
-    level = np.flatnonzero(open_children == 0)
-    gone = np.zeros(n, bool)
-    while len(level):
-        order.append(level)
-        gone[level] = True
-        up = level[at[level] >= 0]
-        np.add.at(size, at[up], size[up])
-        np.subtract.at(open_children, at[up], 1)
-        above = np.unique(at[up])
-        level = above[open_children[above] == 0]
-    root, path, depth = ids.copy(), ids.copy(), np.zeros(n, np.int32)
-    for i in np.flatnonzero(~gone):
-        if depth[i] == -1:
-            continue
-        circle = [i]
-        while at[circle[-1]] != i:
-            circle.append(at[circle[-1]])
-        first, total = min(ids[circle]), size[circle].sum()
-        for j in circle:
-            root[j], path[j], depth[j], size[j] = first, "", -1, total
-    for level in reversed(order):
-        for i in level[at[level] >= 0]:
-            p = at[i]
-            root[i] = root[p]
-            depth[i], path[i] = (-1, "") if depth[p] < 0 else (depth[p] + 1, f"{path[p]}/{ids[i]}")
-    yield pd.DataFrame({"id": ids, "parent": pdf["parent"], "root": root, "depth": depth, "path": path, "size": size})
+def _leaves(rest: DataFrame, left: int, least_share: float) -> DataFrame | None:
+    """The nodes without remaining children, or None if they are too few for another round."""
+    parents = rest.select(F.col("parent").alias("id")).filter("id is not null").distinct()
+    leaves = materialize(rest.join(parents, "id", "left_anti"), "leaves")
+    n = leaves.count()
+    if n and n >= least_share * left:
+        return leaves
+    discard(leaves)
+    return None
+
 
+def _circles(rest: DataFrame) -> DataFrame | None:
+    """(id, low) of the members of circles, ``low`` being their circle's smallest id; None if there are none.
 
-def _circles(rest: DataFrame) -> DataFrame:
-    """Smallest id and total size of every circle, by doubling the stride of a running minimum."""
-    step = rest.select("id", F.col("parent").alias("far"), F.least("id", "parent").alias("low"))
-    low_before = None
+    While any climb that ends has not ended, a round loses rows; afterwards the nodes seen
+    are a shrinking set, which stays the same once only members are left in it.
+    """
+    step = materialize(rest.filter("parent is not null").select("id", F.col("parent").alias("far"), F.least("id", "parent").alias("low")), "climb")
+    before = None
     while True:
-        step = materialize(step, "circle")
-        total = step.agg(F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first()[0]
-        if total == low_before:
+        now = tuple(step.agg(F.count("*"), F.count_distinct("far"), F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first())
+        if not now[0]:
+            return None
+        if now == before:
             break
-        low_before = total
+        before = now
         other = step.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("low").alias("low2"))
-        step = step.join(other, F.col("far") == F.col("k")).select("id", F.col("far2").alias("far"), F.least("low", "low2").alias("low"))
-    sized = step.join(rest.select("id", "parent", "size"), "id")
-    totals = sized.groupBy("low").agg(F.sum("size").alias("total"))
-    return sized.join(totals, "low").select("id", "parent", F.col("low").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), F.col("total").alias("size"))
+        old, step = step, materialize(step.join(other, F.col("far") == F.col("k")).select("id", F.col("far2").alias("far"), F.least("low", "low2").alias("low")), "climb")
+        discard(old)
+    members = step.select(F.col("far").alias("id")).distinct()
+    return materialize(step.select("id", "low").join(members, "id", "left_semi"), "circles")
+
+
+def _place_rest(rest: DataFrame) -> DataFrame:
+    """Root, depth, path and size of all nodes of ``rest`` (id, parent, size); size holds what was peeled below, the node included."""
+    circles = _circles(rest)
+    far = F.col("parent")
+    if circles is not None:
+        rest = rest.join(circles.select("id", "low"), "id", "left")
+        far = F.when(F.col("low").isNull(), F.col("parent"))
+    node = rest.select("id", "parent", far.alias("far"), "size", F.col("id").alias("path")).withColumns({"top": F.when(F.col("far").isNull(), F.col("id")), "depth": F.col("far").isNotNull().cast("int")})
+    node = materialize(node, "forest")
+    while not node.filter("far is not null").isEmpty():
+        sums = node.filter("far is not null").groupBy(F.col("far").alias("s")).agg(F.sum("size").alias("more"))
+        other = node.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+        seen = node.join(other, F.col("far") == F.col("k"), "left").join(sums, F.col("id") == F.col("s"), "left")
+        further = seen.select(
+            "id", "parent", F.col("far2").alias("far"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.concat_ws("/", "path2", "path").alias("path"), F.coalesce("top", "top2").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
+        )
+        old, node = node, materialize(further, "forest")
+        discard(old)
+    if circles is None:
+        return node.select("id", "parent", F.col("top").alias("root"), "depth", "path", "size")
+    whole = circles.join(node.select("id", "size"), "id").groupBy("low").agg(F.sum("size").alias("all"))
+    ends = materialize(circles.join(whole, "low").select(F.col("id").alias("end"), "low", "all"), "circles")
+    endless = F.col("end").isNotNull()
+    return node.join(ends, F.col("top") == F.col("end"), "left").select(
+        "id",
+        "parent",
+        F.coalesce("low", "top").alias("root"),
+        F.when(endless, -1).otherwise(F.col("depth")).alias("depth"),
+        F.when(endless, "").otherwise(F.col("path")).alias("path"),
+        F.when(endless & (F.col("id") == F.col("end")), F.col("all")).otherwise(F.col("size")).alias("size"),
+    )
 
 
-def hierarchy(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def hierarchy(links: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per node of ``links`` (id, parent): id, parent, root, depth, path, size (itself included)."""
     rest = materialize(links.select("id", "parent", F.lit(1).cast("bigint").alias("size")), "links")
     peeled: list[DataFrame] = []
-    left, before = rest.count(), None
-    while left > local_rows and left != before:
-        parents = rest.select(F.col("parent").alias("id")).filter("id is not null").distinct()
-        leaves = materialize(rest.join(parents, "id", "left_anti"), "leaves")
+    left = rest.count()
+    while left and (leaves := _leaves(rest, left, least_share)) is not None:
         sums = leaves.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("more"))
-        smaller = rest.join(leaves, "id", "left_anti").join(sums, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        smaller = rest.join(leaves.select("id"), "id", "left_anti").join(sums, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         old, rest = rest, materialize(smaller, "rest")
         discard(old)
         peeled.append(leaves)
-        before, left = left, rest.count()
-    if left <= local_rows:
-        placed = rest.coalesce(1).mapInPandas(_place_rest, _PLACED)
-    else:
-        placed = _circles(rest)
-    placed = materialize(placed, "placed")
-    whole = [placed]
+        left = rest.count()
+    placed = materialize(_place_rest(rest), "placed") if left else links.sparkSession.createDataFrame([], _PLACED)
     for leaves in reversed(peeled):
         above = placed.select(F.col("id").alias("k"), "root", "depth", "path")
         down = leaves.join(above, F.col("parent") == F.col("k"), "left")
@@ -133,82 +136,27 @@ def hierarchy(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
             F.when(F.col("k").isNull(), F.col("id")).when(inside, F.concat("path", F.lit("/"), "id")).otherwise("").alias("path"),
             "size",
         )
-        placed_now = materialize(placed_now, "placed")
-        whole.append(placed_now)
-        placed = placed.unionByName(placed_now)
+        placed = placed.unionByName(materialize(placed_now, "placed"))
     return placed
 
 
-def _pairs_of_rest(parts):
-    """The pairs (ancestor, descendant, distance) among the remaining nodes (id, parent) of one task, circles included."""
-    held = [p for p in parts if len(p)]
-    if not held:
-        return
-    pdf = pd.concat(held, ignore_index=True)
-    n = len(pdf)
-    ids = pdf["id"].to_numpy(object)
-    at = pd.Index(ids).get_indexer(pdf["parent"].where(pdf["parent"].notna(), None).to_numpy(object))
-    open_children = np.bincount(at[at >= 0], minlength=n)
-    order, gone = [], np.zeros(n, bool)
-    level = np.flatnonzero(open_children == 0)
-    while len(level):
-        order.append(level)
-        gone[level] = True
-        up = level[at[level] >= 0]
-        np.subtract.at(open_children, at[up], 1)
-        above = np.unique(at[up])
-        level = above[open_children[above] == 0]
-    # how many others the climb of each node meets
-    climb = np.zeros(n, np.int64)
-    seen = gone.copy()
-    for i in np.flatnonzero(~gone):
-        if seen[i]:
-            continue
-        circle = [i]
-        while at[circle[-1]] != i:
-            circle.append(at[circle[-1]])
-        climb[circle], seen[circle] = len(circle) - 1, True
-    for level in reversed(order):
-        inner = level[at[level] >= 0]
-        climb[inner] = climb[at[inner]] + 1
-    below, node, distance, ready, rows = np.arange(n), np.arange(n), 0, [], 0
-    while True:
-        distance += 1
-        on = climb[below] >= distance
-        below, node = below[on], at[node[on]]
-        if len(below):
-            # a few rows at a time, whatever the number of nodes
-            for k in range(0, len(below), PAIR_ROWS):
-                ready.append((node[k : k + PAIR_ROWS], below[k : k + PAIR_ROWS], distance))
-                rows += len(ready[-1][0])
-                if rows >= PAIR_ROWS:
-                    yield _pair_frame(ids, ready)
-                    ready, rows = [], 0
-        else:
-            break
-    if ready:
-        yield _pair_frame(ids, ready)
-
-
-def _pair_frame(ids: np.ndarray, ready: list) -> pd.DataFrame:
-    above, below = (np.concatenate([r[k] for r in ready]) for k in (0, 1))
-    return pd.DataFrame({"ancestor": ids[above], "descendant": ids[below], "distance": np.repeat([r[2] for r in ready], [len(r[0]) for r in ready]).astype(np.int32)})
-
-
-def _pairs_of_circles(rest: DataFrame) -> DataFrame:
-    """The pairs among the members of every circle, by doubling how far each looks."""
-    step = rest.select("id", F.col("parent").alias("far"))
-    met = rest.select("id", F.col("id").alias("other"), F.lit(0).alias("distance"))
-    length, before, count = 1, None, 0
+def _pairs_of_rest(rest: DataFrame) -> DataFrame:
+    """The pairs among all nodes of ``rest`` (id, parent), circles included, by doubling how far each looks."""
+    step = materialize(rest.filter("parent is not null").select("id", F.col("parent").alias("far")), "climb")
+    met = materialize(rest.select("id", F.col("id").alias("other"), F.lit(0).alias("distance")), "met")
+    length, before, count = 1, None, met.count()
     while count != before:
         further = step.join(met.withColumnRenamed("id", "far"), "far").select("id", "other", (F.col("distance") + length).alias("distance"))
-        met = materialize(met.unionByName(further).groupBy("id", "other").agg(F.min("distance").alias("distance")), "circle-pairs")
-        step = materialize(step.join(step.select(F.col("id").alias("far"), F.col("far").alias("far2")), "far").select("id", F.col("far2").alias("far")), "circle-steps")
+        # a climb through a circle meets a node again, the shortest way counts
+        old, met = met, materialize(met.unionByName(further).groupBy("id", "other").agg(F.min("distance").alias("distance")), "met")
+        discard(old)
+        old, step = step, materialize(step.join(step.select(F.col("id").alias("far"), F.col("far").alias("far2")), "far").select("id", F.col("far2").alias("far")), "climb")
+        discard(old)
         before, count, length = count, met.count(), length * 2
     return met.filter("id <> other").select(F.col("other").alias("ancestor"), F.col("id").alias("descendant"), F.col("distance").cast("int").alias("distance"))
 
 
-def descendants(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def descendants(links: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
     """(ancestor, descendant, distance) of all nodes of ``links`` (id, parent); a row per pair, never a list per node.
 
     A node's descendants are the other nodes whose climb meets it, so members of a circle
@@ -218,10 +166,8 @@ def descendants(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
     rest = materialize(links.select("id", "parent"), "links")
     known = materialize(links.sparkSession.createDataFrame([], _PAIRS), "pairs")
     whole: list[DataFrame] = []
-    left, before = rest.count(), None
-    while left > local_rows and left != before:
-        parents = rest.select(F.col("parent").alias("id")).filter("id is not null").distinct()
-        leaves = materialize(rest.join(parents, "id", "left_anti"), "leaves")
+    left = rest.count()
+    while left and (leaves := _leaves(rest, left, least_share)) is not None:
         done = materialize(known.join(leaves.select(F.col("id").alias("ancestor"), "parent"), "ancestor"), "pairs")
         whole.append(done.drop("parent"))
         sent = done.select(F.col("parent").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
@@ -231,8 +177,8 @@ def descendants(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
         discard(old)
         old, rest = rest, materialize(rest.join(leaves, "id", "left_anti"), "rest")
         discard(old)
-        before, left = left, rest.count()
-    inner = materialize(rest.coalesce(1).mapInPandas(_pairs_of_rest, _PAIRS) if left <= local_rows else _pairs_of_circles(rest), "pairs")
+        left = rest.count()
+    inner = materialize(_pairs_of_rest(rest), "pairs")
     via = known.select(F.col("ancestor").alias("via"), F.col("descendant").alias("below"), F.col("distance").alias("first"))
     further = inner.join(via, F.col("descendant") == F.col("via")).select("ancestor", F.col("below").alias("descendant"), (F.col("distance") + F.col("first")).alias("distance"))
     found = inner.unionByName(known).unionByName(further)
@@ -241,10 +187,10 @@ def descendants(links: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
     return found
 
 
-def department_tree(departments: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def department_tree(departments: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
     """The tree of departments with the number of descendants of each."""
     links = latest_links(departments, "department_id", "parent_department_id", "created_at")
-    return hierarchy(links, local_rows=local_rows).select(
+    return hierarchy(links, least_share=least_share).select(
         F.col("id").alias("department_id"),
         F.col("root").alias("root_department_id"),
         F.col("depth").cast("int").alias("node_depth"),
@@ -253,7 +199,7 @@ def department_tree(departments: DataFrame, *, local_rows: int = LOCAL_ROWS) ->
     )
 
 
-def department_descendants(departments: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def department_descendants(departments: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
     """A row for each department and each of its descendants."""
     links = latest_links(departments, "department_id", "parent_department_id", "created_at")
-    return descendants(links, local_rows=local_rows).select(F.col("ancestor").alias("department_id"), F.col("descendant").alias("descendant_id"), "distance")
+    return descendants(links, least_share=least_share).select(F.col("ancestor").alias("department_id"), F.col("descendant").alias("descendant_id"), "distance")
