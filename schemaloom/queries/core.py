@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import ids
 from schemaloom.functions.term_rule import term_key
-from schemaloom.operators.delivery import accept_batch, surplus_deliveries
+from schemaloom.operators.delivery import accepted_messages, surplus_deliveries
 from schemaloom.operators.hierarchy import department_descendants, department_tree
 from schemaloom.operators.nested import nested_rows
 from schemaloom.operators.orphans import orphan_counts, orphan_references
@@ -65,7 +65,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_accepted(spark: SparkSession, sf: str) -> DataFrame:
-    return accept_batch(_read(spark, sf, "audit_log").select("delivery_id", "insert_id", "log_name"))["accepted"]
+    return accepted_messages(_read(spark, sf, "audit_log"))
 
 
 _NORM = "replace(replace(lower({0}), ' ', '_'), '-', '_')"
@@ -75,7 +75,7 @@ _REFS = f"""
 refs AS (
   SELECT 'column_references_info' AS ref_table, reference_id AS ref_id, 'c:' || {_full("target_")} AS key, extracted_at AS t FROM column_references_info
   UNION ALL SELECT 'query_column_info', usage_id, 'c:' || {_NORM.format("column_id")}, logged_at FROM query_column_info
-  UNION ALL SELECT 'column_term_info', link_id, CASE WHEN term_name IS NOT NULL AND glossary_name IS NOT NULL AND category_name IS NOT NULL THEN 't:' || {_TERM} END, tagged_at FROM column_term_info),
+  UNION ALL SELECT 'column_term_info', link_id, CASE WHEN glossary_name IS NOT NULL AND category_name IS NOT NULL AND term_name IS NOT NULL THEN 't:' || {_TERM} WHEN term_name IS NOT NULL THEN 't:' END, tagged_at FROM column_term_info),
 parents AS (
   SELECT 'c:' || {_full("")} AS key, created_at AS s, dropped_at AS e FROM column_info
   UNION ALL SELECT CASE WHEN term_name IS NOT NULL AND glossary_name IS NOT NULL AND category_name IS NOT NULL THEN 't:' || {_TERM} END, created_at, retired_at FROM business_term_info),

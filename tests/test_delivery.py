@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from schemaloom.operators.delivery import accept_batch, surplus_deliveries
+from schemaloom.operators.delivery import Acceptance, accept_batch, accepted_messages, surplus_deliveries
 from schemaloom.streaming.delivery import accept_stream, cover
 
 COLS = "delivery_id bigint, insert_id string, log_name string, kept_id string, number int, producer string"
@@ -50,6 +50,33 @@ def test_batches_keep_one_copy(spark):
     assert all(x[:3] != y[:3] or x[4] + 1 < y[3] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_stored_ranges_decide(spark):
+    rows = [(i, f"m{(i * 7) % 90:03d}", "l") for i in range(1, 181)] + [(200 + i, f"m{i:03d}", "l") for i in range(120)] + [(400, "plain", "l"), (401, "plain", "l"), (None, "m500", "l")]
+    state = Acceptance(spark).walk(frame(spark, rows), 4)
+    assert [(r.producer, r.lo, r.hi) for r in state.ranges.orderBy("lo").collect()] == [("m#3", 0, 119), ("m#3", 500, 500)]
+    assert [r.insert_id for r in state.seen.collect()] == ["plain"]
+    accepted = state.accepted().collect()
+    assert len(accepted) == 122 and {r.insert_id for r in accepted} == {a for _, a, _ in rows}
+    assert {r.insert_id: r.copies for r in accepted}["m005"] == 3
+    # what later steps had again was told by a range, not by a group of all rows
+    covered = sum(d.filter("known and producer is not null").count() for d in state.decided)
+    assert covered > 80
+    assert len(state.decided) == 4 and all(d.inputFiles() for d in state.decided)
+
+
+def test_surplus_and_acceptance_agree_for_any_number_of_steps(spark):
+    rows = sample(200, 4)
+    want = None
+    for steps in (1, 3, 1000):
+        if steps == 1000:
+            rows = rows[:12]
+            want = None
+        got = sorted(map(tuple, surplus_deliveries(frame(spark, rows), steps=steps).collect()))
+        counted = sum(r.copies - 1 for r in accepted_messages(frame(spark, rows), steps=steps).collect())
+        assert counted == len(got) and (want is None or got == want)
+        want = got
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40)))
 def test_ranges_cover_exactly(numbers):
