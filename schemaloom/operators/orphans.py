@@ -9,9 +9,9 @@ alive at its time.  The plan has two parts:
    and the references are joined back once, on the key, to one row per key.
 
 Both the distinct and the lifetimes pre-aggregate before their shuffle, so a key
-that holds a third of all references is one row per map task in part 1, and in
-part 2 is the large side of a join whose other side is unique, which adaptive
-execution splits.
+that holds a third of all references is one row per map task in part 1.  For part 2
+what is known of each key is written to files first: then both sides of the join are
+plain shuffles, which is what lets adaptive execution split the hot key's references.
 
 Defined results: a NULL key is no reference; a NULL reference time is alive in no
 interval, so such a row is ``late`` (or ``missing``) with a NULL month; a parent
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.materialize import materialize
+
 _FIRST = "0001-01-01 00:00:00"
 
 
@@ -67,7 +69,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     t = F.col("ref_time")
     alive = F.exists("life", lambda x: (x["s"] <= t) & (x["e"].isNull() | (x["e"] > t)))
     kind = F.when(F.col("missing"), "missing").when(F.coalesce(F.col("first_end") <= t, F.lit(False)), "deleted").otherwise("late")
-    joined = refs.join(missing.unionByName(known), "key")
+    joined = refs.join(materialize(missing.unionByName(known), "lifetimes"), "key")
     return joined.filter(F.col("missing") | ~F.coalesce(alive, F.lit(False))).select("ref_table", "ref_id", F.date_format("ref_time", "yyyy-MM").alias("ref_month"), kind.alias("orphan_kind"))
 
 
