@@ -1,7 +1,7 @@
 """Type texts such as ``STRUCT<a: INT, `b c`: ARRAY<STRUCT<d:date>>>``.
 
-Nested types have no bounded depth, so the scan is a recursive descent in
-Python, run once per distinct text of an Arrow batch.
+Nested types have no bounded depth, so the scan keeps its own stack of open types
+instead of recursing.  It runs in Python, once per distinct text of a worker.
 """
 
 from __future__ import annotations
@@ -14,9 +14,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_RECORDS = ("struct", "object", "row", "record")
+
+
+class _Open:
+    """A nested type whose end is not reached yet."""
+
+    def __init__(self, record: bool, word: str):
+        self.record, self.word, self.members, self.name, self.start = record, word, [], "", -1
+
+    def take(self, member: Any, keep_nameless: bool) -> None:
+        if not self.record:
+            self.members.append(member)
+        elif self.name or keep_nameless:
+            self.members.append((self.name, member))
+
+
 class _Scanner:
-    def __init__(self, text: str):
-        self.s, self.i = text, 0
+    def __init__(self, text: str, exact: bool = False):
+        self.s, self.i, self.exact = text, 0, exact
 
     def peek(self) -> str:
         return self.s[self.i] if self.i < len(self.s) else ""
@@ -35,7 +51,9 @@ class _Scanner:
                 if self.s[self.i] == "`":
                     if self.s[self.i + 1 : self.i + 2] != "`":
                         break
-                    self.i += 1  # a doubled quote is a quote in the name, and dropped as any other
+                    self.i += 1
+                    if self.exact:
+                        out.append("`")
                 else:
                     out.append(self.s[self.i])
                 self.i += 1
@@ -58,57 +76,71 @@ class _Scanner:
                     self.i += 2 if self.peek() == "\\" else 1
                 self.i += 1
 
-    def type(self) -> Any:
-        """``("struct", [(name, type)…])``, ``("nest", [type…])`` or the plain type's name."""
+    def word(self) -> str:
+        """A type's name; leaves the scanner at what follows it."""
         self.blanks()
         start = self.i
         while self.peek() and self.peek() not in "<>(),:" and not self.peek().isspace():
             self.i += 1
         word = self.s[start : self.i]
         self.blanks()
-        if self.peek() != "<":
-            self.rest()
-            return word
-        self.i += 1
-        members: list[Any] = []
-        record = word.lower() in ("struct", "object", "row", "record")
-        while self.peek() and self.peek() != ">":
-            before = self.i
-            if record:
-                n = self.name()
-                self.blanks()
-                if self.peek() == ":":
-                    self.i += 1
-                t = self.type()
-                if n:
-                    members.append((n, t))
-            else:
-                members.append(self.type())
-            if self.peek() == ",":
+        return word
+
+    def type(self) -> Any:
+        """``("struct", [(name, type)…])``, ``("nest", [type…])`` or the plain type's name."""
+        open_types: list[_Open] = []
+        while True:
+            value: Any = self.word()
+            opens = self.peek() == "<"
+            if opens:
                 self.i += 1
-            elif self.i == before:
+                open_types.append(_Open(value.lower() in _RECORDS, value.lower()))
+            else:
+                self.rest()
+            while open_types:
+                top = open_types[-1]
+                if not opens:
+                    top.take(value, self.exact)
+                    if self.peek() == "," or self.i == top.start:
+                        self.i += 1
+                opens = False
+                self.blanks()
+                if self.peek() and self.peek() != ">":
+                    top.start = self.i
+                    if top.record:
+                        top.name = self.name()
+                        self.blanks()
+                        if self.peek() == ":":
+                            self.i += 1
+                    break
                 self.i += 1
-            self.blanks()
-        self.i += 1
-        self.rest()
-        return ("struct" if record else word.lower(), members)
+                self.rest()
+                open_types.pop()
+                value = ("struct" if top.record else top.word, top.members)
+            else:
+                return value
 
 
-def parse_type(text: str) -> Any:
-    """The tree of a type text; unbalanced texts give the part that can be read."""
-    return _Scanner(text).type()
+def parse_type(text: str, *, exact: bool = False) -> Any:
+    """The tree of a type text; unbalanced texts give the part that can be read.
 
+    Back quotes in names are dropped and nameless members left out, unless ``exact``
+    asks for all names as they are.
+    """
+    return _Scanner(text, exact).type()
 
-def _paths(t: Any, prefix: str, out: list[str]) -> None:
-    if isinstance(t, tuple):
-        kind, members = t
-        for m in members:
-            if kind == "struct":
-                path = f"{prefix}.{m[0]}" if prefix else m[0]
-                out.append(path)
-                _paths(m[1], path, out)
-            else:
-                _paths(m, prefix, out)
+
+def _paths(t: Any) -> list[str]:
+    out: list[str] = []
+    todo: list[tuple[str, Any, bool]] = [("", t, False)]
+    while todo:
+        path, t, named = todo.pop()
+        if named:
+            out.append(path)
+        if isinstance(t, tuple):
+            kind, members = t
+            todo += [(f"{path}.{m[0]}" if path else m[0], m[1], True) if kind == "struct" else (path, m, False) for m in reversed(members)]
+    return out
 
 
 @lru_cache(maxsize=4096)
@@ -116,9 +148,7 @@ def member_paths(text: str) -> tuple[str, ...]:
     """Dotted paths of all struct members at any level; arrays and maps add no step."""
     if "<" not in text:
         return ()
-    out: list[str] = []
-    _paths(parse_type(text), "", out)
-    return tuple(out)
+    return tuple(_paths(parse_type(text)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
