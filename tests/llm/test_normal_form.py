@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from schemaloom.llm.normal_form import Leaf, Multiset, Record, collapse, digest, folded, hidden_copies, word_multiset
+from schemaloom.llm.normal_form import Each, Leaf, Multiset, Record, collapse, digest, folded, hidden_copies, map_entries, word_multiset
 
 COLS = "id bigint, g string, t string, digest string, tree string"
 
@@ -40,3 +40,32 @@ def test_hot_group_and_long_texts(spark):
     rows = [(i, "a", long if i % 3 == 0 else f"t{i}") for i in range(60)]
     got = hidden_copies(frame(spark, rows), "id", node()).collect()
     assert sorted(r.copy_id for r in got) == list(range(3, 60, 3)) and {r.first_id for r in got} == {0}
+
+
+def test_nested_records_maps_and_order(spark):
+    kind = "id bigint, items array<struct<n:string,tags:array<string>>>, m map<string,string>, steps array<string>"
+    rows = [
+        (1, [("A b", ["x", "Y"]), ("c", [])], {"k": "v", "l": "w"}, ["p", "q"]),
+        (2, [("C", []), ("a  B.", ["y", "x"])], {"l": "W", "k": "v!"}, ["P", "q"]),
+        (3, [("C", []), ("a  B.", ["y", "x"])], {"l": "W", "k": "v!"}, ["q", "p"]),
+        (4, [("C", []), ("a  B.", ["y", "x", "x"])], {"l": "W", "k": "v!"}, ["p", "q"]),
+        (5, [("C", []), (None, ["y"])], {"l": "W"}, ["p", "q"]),
+        (6, [("C", []), (None, ["y"])], {"l": "W"}, ["p", "q"]),
+        (7, None, {}, []),
+        (8, [], {}, []),
+        (9, [], {}, []),
+        (10, [("c", [None])], {}, []),
+        (11, [("c", [None])], {}, []),
+    ]
+    item = lambda x: Record((("n", folded(x["n"])), ("tags", Each(x["tags"], folded))))
+    tree = Record((("items", Each(F.col("items"), item)), ("m", map_entries(F.col("m"), folded)), ("steps", Each(F.col("steps"), folded, ordered=True))))
+    assert sorted(map(tuple, hidden_copies(spark.createDataFrame(rows, kind), "id", tree).collect())) == [(1, 2), (8, 9)]
+
+
+def test_equal_digests_of_different_trees_are_told_apart(spark, monkeypatch):
+    from schemaloom.llm import normal_form
+
+    monkeypatch.setattr(normal_form, "digest", lambda node: F.lit("d"))
+    assert sorted(map(tuple, hidden_copies(frame(spark, ROWS), "id", node()).collect())) == [(1, 3), (1, 7), (10, 11)]
+    got = dict(map(tuple, collapse(frame(spark, ROWS), "id", node()).collect()))
+    assert got == {1: 3, 2: 1, 4: 1, 5: 1, 6: 1, 8: 1, 9: 1, 10: 2, 12: 1}

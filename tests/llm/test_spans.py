@@ -13,7 +13,8 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in texts], COLS)
 
 
-def brute(texts):
+def brute(texts, length=L):
+    L = length  # noqa: N806
     seen, several = {}, set()
     for i, t in texts:
         for j in range(len(t or "") - L + 1):
@@ -61,6 +62,45 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert got == brute(texts)
 
 
+@pytest.mark.parametrize("length", [8, 50, 400, 700])
+def test_other_lengths(spark, length):
+    texts = corpus(3, 30) + DIRTY + [(300, "x" * 10 + "p" * 350 + "q" * 350 + "y"), (301, "zz" + "p" * 350 + "q" * 350)]
+    texts = [(i, t[:1500] if t else t) for i, t in texts]
+    got = {r.doc_id: r.shared_chars for r in sp.shared_characters(frame(spark, texts), length=length).collect()}
+    assert got == brute(texts, length) and got[301] == 700
+
+
+def test_lengths_out_of_range(spark):
+    for length in (7, 60_001):
+        with pytest.raises(ValueError):
+            sp.shared_characters(frame(spark, []), length=length)
+
+
+def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
+    import pandas as pd
+
+    real = sp._digest
+    monkeypatch.setattr(sp, "_digest", lambda *a: real(*a) % 3)
+    rng = Random(9)
+    gram = "".join(rng.choice("abc") for _ in range(64))
+    texts = ["".join(rng.choice("xyz") for _ in range(60)) + gram + "".join(rng.choice("xyz") for _ in range(60)) for _ in range(12)]
+    texts += [texts[0][:140] + "?" * 44, "!" * 30 + texts[1][30:]]
+    rows = pd.DataFrame({"anchor": 5, "seg": range(len(texts)), "low": range(len(texts)), "high": range(len(texts)), "n": 184 - 100 + 1, "off": 60, "text": texts})
+    found = sp._shared_windows(rows, 100)
+    seen = {}
+    for i, t in enumerate(texts):
+        for j in range(85):
+            seen.setdefault((j, t[j : j + 100]), set()).add(i)
+    want = {(i, j) for (j, _), who in seen.items() if len(who) > 1 for i in who}
+    assert {(a, b) for a, b in zip(found["seg"], found["j"], strict=True)} == want and want
+
+    kinds = spark.createDataFrame([(1, 7, 1, 0, "a", 1, 2), (1, 7, 1, 0, "b", 3, 3), (2, 8, 1, 0, "c", 1, 4)], "anchor bigint, seg bigint, n int, off int, text string, low bigint, high bigint")
+    found = spark.createDataFrame([(1, 7, d, t) for d, t in ((1, "a"), (2, "a"), (3, "b"))] + [(2, 8, 1, "c"), (2, 8, 4, "c")], "anchor bigint, seg bigint, doc bigint, text string")
+    found, kinds = sp._told_apart(found, kinds)
+    assert kinds.select("seg").distinct().count() == 3
+    assert sorted((r.doc, r.text) for r in found.join(kinds.select("anchor", "seg"), ["anchor", "seg"]).collect()) == [(1, "a"), (1, "c"), (2, "a"), (3, "b"), (4, "c")]
+
+
 def test_long_texts_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(sp, "STRETCH", 700)
     texts = corpus(2, 12)
