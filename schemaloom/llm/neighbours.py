@@ -1,24 +1,27 @@
-"""Most similar vectors for every vector: the nearest cells of a coarse codebook, each searched exactly.
+"""Most similar vectors for every vector: cells of a coarse codebook, scanned by four-bit codes, then reranked exactly.
 
 Vectors are compared by cosine, so they are scaled to length one and the search is
 for the largest inner product.
 
-* A coarse codebook (spherical k-means) cuts the collection into cells.
-* A query scans the cells whose centres are nearest to it, and every row of such a
-  cell gets its exact similarity: no row of a scanned cell is left out.
+* A coarse codebook (spherical k-means, in two steps) cuts the collection into cells of
+  about ``CELL_ROWS`` rows; the number of cells grows with the collection.
+* Each row has codes of four bits for every ``SUB`` numbers of its residual, fitted with
+  the anisotropic loss: the part of the error parallel to the vector, which is what
+  falsifies the largest inner products, counts ``ETA`` times the orthogonal part.
+* A query scans the codes of the ``PROBES`` cells nearest to it.  A row is a candidate
+  if its scanned score reaches the k-th best of the cell less ``MARGIN`` standard errors
+  of that row's code.  There is no number of candidates: rows that the codes cannot tell
+  apart, such as a thousand near-duplicates, all are candidates.
+* Candidates get their exact similarity, and the best of them are the answer.
 * A scan serves both sides: each scanned row also keeps its best queries, so a
   pair is found if either vector scans the other's cell.
 
-``fit_words``, ``assign_codes`` and ``scan`` are the anisotropic four-bit codes (the
-part of the error parallel to the vector counts ``ETA`` times the orthogonal part).
-``nearest`` does not shortlist by them: their error exceeds the differences between
-a cell's rows, so a shortlist loses neighbours, and all of them where codes are equal.
-
-The codebook is fitted on at most ``SAMPLE`` rows, chosen by hash; every row is
-indexed and every row is a query.  Rows of a cell are dealt into blocks of
-``BLOCK`` rows and so are the queries that scan it, so a dense cell becomes many
-equal tasks.  Bit-identical directions are searched once and expanded afterwards,
-so a third of all rows being one vector costs one row.
+The codebooks are fitted on at most ``SAMPLE`` rows, chosen by hash; every row is
+indexed and every row is a query.  The centres are broadcast; ``CENTRE_BYTES`` bounds
+them, which is reached beyond forty million vectors; from there on cells grow.  Rows of
+a cell are dealt into blocks of ``BLOCK`` rows and so are the queries that scan it, so a
+dense cell becomes many equal tasks.  Bit-identical directions are searched once and
+expanded afterwards, so a third of all rows being one vector costs one row.
 
 Defined results: NULL vectors, wrong lengths, NULL, NaN or infinite numbers and
 zero vectors take no part on either side; similarities are rounded to 9 decimals,
@@ -30,20 +33,24 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaloom.materialize import materialize
 
-SAMPLE = 20_000
-#: Rows per cell aimed at, and the most cells; both bound the codebook that is sent to the tasks.
-CELL_ROWS, MAX_CELLS = 80, 1024
+#: Rows that codebooks are fitted on: ``PER_CENTRE`` for a centre, at least ``LEAST_SAMPLE``, at most ``SAMPLE``.
+LEAST_SAMPLE, SAMPLE, PER_CENTRE = 20_000, 400_000, 8
+CELL_ROWS = 160
+#: Bytes of all centres together.
+CENTRE_BYTES = 1 << 26
 PROBES = 32
 BLOCK = 4096
-#: Places in a block that a key can tell apart; far above the rows dealt into one.
-SCALE = 1 << 31
 ETA = 3.0
-SUB = 4
+#: Numbers that share one code of four bits.
+SUB = 2
+MARGIN = 2.0
+#: Rows of the sample that the codewords are fitted on.
+CODE_SAMPLE = 6_000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -99,26 +106,45 @@ def fit_words(x: np.ndarray, residual: np.ndarray, rng: np.random.Generator, rou
     return words
 
 
-def fit(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Cell centres from a sample ``x`` of unit vectors for a collection of ``n``; centres that (nearly) coincide are one."""
+def cell_count(n: int, d: int) -> int:
+    """Cells for ``n`` vectors of ``d`` numbers: in proportion, as far as ``CENTRE_BYTES`` go."""
+    return int(max(1, min(n // CELL_ROWS, CENTRE_BYTES // (4 * d))))
+
+
+def fit(x: np.ndarray, cells: int, seed: int = 0) -> np.ndarray:
+    """Centres of about so many cells from a sample ``x`` of unit vectors: k-means of groups, then within them.
+
+    Centres that (nearly) coincide are one.
+    """
     rng = np.random.default_rng(seed)
-    cells = int(min(MAX_CELLS, max(1, n // CELL_ROWS), max(1, len(x) // 8)))
-    centres = spherical_kmeans(x, cells, rng)
-    again = np.tril(centres @ centres.T >= 1 - 1e-6, -1).any(1)
-    return centres[~again].astype(np.float32)
+    cells = min(cells, max(1, len(x) // PER_CENTRE))
+    groups = spherical_kmeans(x, max(1, round(cells**0.5)), rng)
+    label = (x @ groups.T).argmax(1)
+    parts = []
+    for g in range(len(groups)):
+        own = x[label == g]
+        if len(own):
+            centres = spherical_kmeans(own, max(1, min(len(own), round(cells * len(own) / len(x)))), rng)
+            parts.append(centres[~np.tril(centres @ centres.T >= 1 - 1e-6, -1).any(1)])
+    return np.concatenate(parts).astype(np.float32)
+
 
+def pack_codes(codes: np.ndarray) -> np.ndarray:
+    """Two codes to a byte; an odd last one alone."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], 1)
+    return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
-def scan(q: np.ndarray, cell: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Scores of queries (rows) against coded rows: the centre's product plus one table entry per two codes."""
-    m = len(words)
-    scores = np.repeat((q @ cell)[:, None], len(codes), 1)
-    tables = np.einsum("qms,mcs->qmc", q.reshape(len(q), m, SUB), words)
-    for j in range(0, m - 1, 2):
-        pair = (tables[:, j, :, None] + tables[:, j + 1, None, :]).reshape(len(q), 256)
-        scores += np.take(pair, codes[:, j].astype(np.intp) * 16 + codes[:, j + 1], axis=1)
-    if m % 2:
-        scores += np.take(tables[:, -1], codes[:, -1], axis=1)
-    return scores
+
+def unpack_codes(packed: np.ndarray, m: int) -> np.ndarray:
+    codes = np.empty((len(packed), 2 * packed.shape[1]), np.intp)
+    codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
+    return codes[:, :m]
+
+
+def decode(codes: np.ndarray, centre: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The coded rows: their centre plus a word for every code."""
+    return centre + words[np.arange(len(words)), codes].reshape(len(codes), -1)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -130,66 +156,81 @@ def _unit(raw: pd.Series, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _top(keys: np.ndarray, k: int) -> np.ndarray:
-    """The k greatest keys of each row, descending."""
-    if k < keys.shape[1]:
-        keys = -np.partition(-keys, k - 1, axis=1)[:, :k]
-    return -np.sort(-keys, axis=1)
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest of each row, or the least if there are fewer."""
+    k = min(k, scores.shape[1])
+    return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+
+
+def _first_k(owner: np.ndarray, score: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best pairs of each owner: by score, then the smaller id."""
+    order = np.lexsort((other, -score, owner))
+    own = owner[order]
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.array([], np.int64)
+    rank = np.arange(len(own)) - np.repeat(start, np.diff(np.r_[start, len(own)]))
+    return order[rank < k]
 
 
-#: Key of a pair that is none.
-_NONE = -(1 << 62)
+def candidates(q: np.ndarray, x: np.ndarray, coded: np.ndarray, k: int, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places that the scan cannot rule out of either side's k best; ``same`` marks pairs of one vector.
 
+    The product with the decoded rows is the sum of the table entries that a scan of
+    codes looks up; a matrix product is the fast way to have them all.
+    """
+    scores = (q.astype(np.float32) @ coded.T.astype(np.float32)).astype(np.float32)
+    scores[same] = -4
+    # the error of a product with a unit vector, as far as its direction is not the error's
+    margin = (MARGIN * np.linalg.norm(x - coded, axis=1) / np.sqrt(x.shape[1])).astype(np.float32)
+    hit = scores >= _kth(scores, k)[:, None] - margin
+    hit |= scores >= _kth(scores.T, k) - margin
+    hit[same] = False
+    return np.nonzero(hit)
 
-def _search_block(centres: int, d: int, k: int):
-    def answer(ids: np.ndarray, others: np.ndarray, keys: np.ndarray, fine: np.ndarray) -> pd.DataFrame:
-        out = pd.DataFrame({"id": np.repeat(ids, keys.shape[1]), "other": others.ravel(), "score": (keys // SCALE / 1e9).ravel()})
-        return out[fine.ravel()]
+
+def _search_block(d: int, k: int, books):
+    empty = {"id": np.array([], np.int64), "other": np.array([], np.int64), "score": np.array([], np.float64)}
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"id": np.array([], np.int64), "other": np.array([], np.int64), "score": np.array([], np.float64)})
-        q, x = q.sort_values("id"), x.sort_values("x_id")
+            return pd.DataFrame(empty)
+        centres, words = books.value
         qi, xi = q["id"].to_numpy(), x["x_id"].to_numpy()
         qu, xu = _unit(q["raw"], d), _unit(x["x_raw"], d)
-        # a key orders pairs by similarity in units of 1e-9, then by the smaller id: ids ascend, so the smaller place
-        q_place, x_place = SCALE - 1 - np.arange(len(q)), SCALE - 1 - np.arange(len(x))
-        best, at = [], np.full((len(x), 0), _NONE)
+        packed = np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(len(x), -1)
+        coded = decode(unpack_codes(packed, len(words)), centres[key[0]], words)
+        found = []
         step = max(1, 2_000_000 // len(x))
         for s in range(0, len(q), step):
-            score = np.rint(qu[s : s + step] @ xu.T * 1e9).astype(np.int64) * SCALE
-            score[qi[s : s + step, None] == xi] = _NONE
-            best.append(_top(score + x_place, k))
-            # the scanned rows' best queries so far
-            at = _top(np.concatenate([at, score.T + q_place[s : s + step]], 1), k)
-        best = np.concatenate(best)
-        found = answer(qi, xi[SCALE - 1 - best % SCALE], best, best > _NONE + SCALE)
-        # a row that scans the query's cell itself finds the pair there
-        places = SCALE - 1 - at % SCALE
-        probes = np.zeros((len(x), centres), bool)
-        lists = x["x_probes"].to_numpy()
-        probes[np.repeat(np.arange(len(x)), [len(p) for p in lists]), np.concatenate(lists)] = True
-        own = np.take_along_axis(probes, q["home"].to_numpy()[places], 1)
-        return pd.concat([found, answer(xi, qi[places], at, (at > _NONE + SCALE) & ~own)], ignore_index=True)
+            i, j = candidates(qu[s : s + step], xu, coded, k, qi[s : s + step, None] == xi)
+            # one product of all costs less than one for each candidate
+            found.append((i + s, j, np.rint((qu[s : s + step] @ xu.T)[i, j] * 1e9)))
+        i, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        asked, scanned = _first_k(qi[i], score, xi[j], k), _first_k(xi[j], score, qi[i], k)
+        ids = np.concatenate([qi[i[asked]], xi[j[scanned]]])
+        others = np.concatenate([xi[j[asked]], qi[i[scanned]]])
+        return pd.DataFrame({"id": ids, "other": others, "score": np.concatenate([score[asked], score[scanned]]) / 1e9})
 
     return search
 
 
-def _encode(centres: np.ndarray, d: int):
-    probes = min(PROBES, len(centres))
-
+def _encode(d: int, books):
     def encode(parts):
         import hashlib
 
+        centres, words = books.value
+        probes = min(PROBES, len(centres))
         for pdf in parts:
+            if not len(pdf):
+                continue
             x = _unit(pdf["raw"], d)
             near = x.astype(np.float32) @ centres.T
             order = _best(near, probes)
             home = near.argmax(1)
             # among equally near centres the probes may be others
             order[~(order == home[:, None]).any(1), 0] = home[~(order == home[:, None]).any(1)]
+            codes = pack_codes(assign_codes(x, x - centres[home], words))
             digest = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in x + 0.0]
-            yield pd.DataFrame({"id": pdf["id"], "raw": pdf["raw"], "digest": digest, "home": home.astype(np.int32), "probes": [sorted(int(c) for c in p) for p in order]})
+            yield pd.DataFrame({"id": pdf["id"], "raw": pdf["raw"], "codes": [c.tobytes() for c in codes], "digest": digest, "home": home.astype(np.int32), "probes": [sorted(int(c) for c in p) for p in order]})
 
     return encode
 
@@ -213,12 +254,17 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, *, k: int = 5, d: int =
     nothing = df.sparkSession.createDataFrame([], "id bigint, other bigint, score double")
     if n < 2:
         return nothing
-    share = min(1.0, SAMPLE / n)
+    wanted = min(SAMPLE, max(LEAST_SAMPLE, PER_CENTRE * cell_count(n, d)))
+    share = min(1.0, wanted / n)
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("id").limit(SAMPLE).toPandas()
     if not len(sample):
         sample = rows.orderBy("id").limit(1).toPandas()
-    centres = fit(_unit(sample["raw"], d), n)
-    coded = materialize(rows.mapInPandas(_encode(centres, d), "id bigint, raw binary, digest binary, home int, probes array<int>"), "coded")
+    x = _unit(sample["raw"], d)
+    centres = fit(x, cell_count(n, d))
+    few = x[np.random.default_rng(1).permutation(len(x))[:CODE_SAMPLE]]
+    words = fit_words(few, few - centres[(few.astype(np.float32) @ centres.T).argmax(1)], np.random.default_rng(0)).astype(np.float32)
+    books = df.sparkSession.sparkContext.broadcast((centres, words))
+    coded = materialize(rows.mapInPandas(_encode(d, books), "id bigint, raw binary, codes binary, digest binary, home int, probes array<int>"), "coded")
     first = Window.partitionBy("digest").orderBy("id")
     twins = coded.select("digest", "id", F.row_number().over(first).alias("rn")).filter(F.col("rn") <= k + 1).groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     lead = twins.select(F.element_at("ids", 1).alias("id"), "ids")
@@ -226,17 +272,18 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, *, k: int = 5, d: int =
 
     sizes = leads.groupBy(F.col("home").alias("cell")).count().withColumnRenamed("count", "x_rows")
     asked = leads.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.count("*").alias("q_rows"))
-    # one row per cell, at most MAX_CELLS
+    # one row per cell, bounded as the centres are
     blocks = F.broadcast(sizes.join(asked, "cell").select("cell", F.ceil(F.col("x_rows") / BLOCK).cast("int").alias("xb"), F.ceil(F.col("q_rows") / BLOCK).cast("int").alias("qb")))
     deal = lambda b, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(b)).cast("int")
-    x = leads.select(F.col("home").alias("cell"), "id", "raw", "probes").join(blocks, "cell").withColumn("x_block", deal("xb", 11)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-    q = leads.select(F.explode("probes").alias("cell"), "id", "raw", "home").join(blocks, "cell").withColumn("q_block", deal("qb", 13)).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("xb") - 1)))
+    x = leads.select(F.col("home").alias("cell"), "id", "raw", "codes").join(blocks, "cell").withColumn("x_block", deal("xb", 11)).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
+    q = leads.select(F.explode("probes").alias("cell"), "id", "raw").join(blocks, "cell").withColumn("q_block", deal("qb", 13)).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("xb") - 1)))
     keys = ["cell", "x_block", "q_block"]
-    pairs = q.select(*keys, "id", "raw", "home").groupBy(*keys).cogroup(x.select(*keys, F.col("id").alias("x_id"), F.col("raw").alias("x_raw"), F.col("probes").alias("x_probes")).groupBy(*keys)).applyInPandas(_search_block(len(centres), d, k), "id bigint, other bigint, score double")
+    pairs = q.select(*keys, "id", "raw").groupBy(*keys).cogroup(x.select(*keys, F.col("id").alias("x_id"), F.col("raw").alias("x_raw"), "codes").groupBy(*keys)).applyInPandas(_search_block(d, k, books), "id bigint, other bigint, score double")
 
-    # each found direction stands for its k + 1 smallest ids, each asking direction for all its rows
+    # a pair may be found from both sides; each found direction stands for its k + 1 smallest ids, each asking direction for all its rows
     best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    top = pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
+    once = pairs.repartition("id").groupBy("id", "other").agg(F.max("score").alias("score"))
+    top = once.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
     others = top.join(lead.select(F.col("id").alias("other"), "ids"), "other").select("id", F.explode("ids").alias("other"), "score")
     itself = lead.filter(F.size("ids") > 1).select("id", F.explode("ids").alias("other"), F.lit(1.0).alias("score"))
     known = others.unionByName(itself).withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
@@ -244,3 +291,38 @@ def nearest(df: DataFrame, vec_id: str, embedding: str, *, k: int = 5, d: int =
     members = coded.join(twins, "digest").select(F.col("id").alias("member"), F.element_at("ids", 1).alias("id"))
     told = members.join(answers, "id").select(F.col("member").alias("id"), F.explode("found").alias("f")).select("id", "f.other", "f.score").filter("id <> other")
     return told.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
+
+
+def exact_nearest(df: DataFrame, vec_id: str, embedding: str, queries: Column, *, k: int = 5, d: int = 64) -> DataFrame:
+    """(id, other, score): the true answer for the rows that ``queries`` (a condition on ``id``) names, against all rows in blocks."""
+    rows = materialize(usable(df, vec_id, embedding, d), "vectors")
+    asking = rows.filter(queries)
+    xb, qb = max(1, -(-rows.count() // BLOCK)), max(1, -(-asking.count() // BLOCK))
+    deal = lambda b, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    q = asking.select("id", "raw", deal(qb, 13).alias("q_block"), every(xb).alias("x_block"))
+    x = rows.select(F.col("id").alias("x_id"), F.col("raw").alias("x_raw"), deal(xb, 11).alias("x_block")).withColumn("q_block", every(qb))
+
+    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        qi, xi = q["id"].to_numpy(), x["x_id"].to_numpy()
+        found = []
+        if len(q) and len(x):
+            xu = _unit(x["x_raw"], d)
+            for s in range(0, len(q), 256):
+                score = np.rint(_unit(q["raw"].iloc[s : s + 256], d) @ xu.T * 1e9)
+                score[qi[s : s + 256, None] == xi] = -4e9
+                i, j = np.nonzero(score >= np.maximum(_kth(score, k), -3e9)[:, None])
+                keep = _first_k(qi[s + i], score[i, j], xi[j], k)
+                found.append(pd.DataFrame({"id": qi[s + i[keep]], "other": xi[j[keep]], "score": score[i[keep], j[keep]] / 1e9}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"id": np.array([], np.int64), "other": np.array([], np.int64), "score": np.array([], np.float64)})
+
+    pairs = q.groupBy("q_block", "x_block").cogroup(x.groupBy("q_block", "x_block")).applyInPandas(compare, "id bigint, other bigint, score double")
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "other")
+    return pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
+
+
+def recall(df: DataFrame, vec_id: str, embedding: str, queries: Column, *, k: int = 5, d: int = 64) -> DataFrame:
+    """One row (queries, wanted, found): pairs of the true answer for the named queries, and those of them that :func:`nearest` has."""
+    true = exact_nearest(df, vec_id, embedding, queries, k=k, d=d).select("id", "other")
+    found = nearest(df, vec_id, embedding, k=k, d=d).filter(queries).select("id", "other", F.lit(1).alias("hit"))
+    return true.join(found, ["id", "other"], "left").agg(F.count_distinct("id").alias("queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"))

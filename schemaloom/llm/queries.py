@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from schemaloom import ids
 from schemaloom.llm.cooccurrence import cooccurrence
 from schemaloom.llm.mixing import mix, shares
-from schemaloom.llm.neighbours import nearest
+from schemaloom.llm.neighbours import nearest, recall
 from schemaloom.llm.normal_form import Leaf, Record, collapse, hidden_copies, word_multiset
 from schemaloom.llm.packing import container_report, pack_documents
 from schemaloom.llm.spans import repeated_lines, shared_characters
@@ -61,9 +61,19 @@ def p7_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionByName(second)
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    one, two = (_read(spark, sf, t).select("vec_id", "embedding") for t in ("tag_keys", "domain_nodes"))
+    return one.unionByName(two)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = [_read(spark, sf, t).select("vec_id", "embedding") for t in ("tag_keys", "domain_nodes")]
-    return nearest(vectors[0].unionByName(vectors[1]), "vec_id", "embedding").select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"))
+    return nearest(_vectors(spark, sf), "vec_id", "embedding").select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"))
+
+
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the rows whose id is divisible by 50 get at least 0.9 of their true neighbours among all rows."""
+    r = recall(_vectors(spark, sf), "vec_id", "embedding", F.pmod("id", F.lit(50)) == 0)
+    return r.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,6 +128,11 @@ _P7 = f"SELECT record_table, first_id, id AS copy_id FROM ({_ROWS}) WHERE id > f
 _P7_COLLAPSED = f"SELECT record_table, first_id, n AS copies FROM ({_ROWS}) WHERE id = first_id UNION ALL " + " UNION ALL ".join(_sql_singles(*t) for t in _TABLES)
 
 
+_P5_RECALL = """
+WITH v AS (SELECT vec_id, embedding FROM tag_keys UNION ALL SELECT vec_id, embedding FROM domain_nodes),
+u AS (SELECT vec_id FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+SELECT count(*) AS queries, count(*) * least(5, (SELECT count(*) - 1 FROM u)) AS wanted, true AS enough FROM u WHERE vec_id % 50 = 0
+"""
 _P10_LINES = """
 WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cut),
@@ -128,8 +143,8 @@ SELECT doc_id, line_no, start, start + length(line) AS stop, kept_doc_id, kept_l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p2_pairs, p2_counts, p5_found, p7_found, p7_collapsed, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_repeated_lines)}
+    return {q.__name__: q for q in (p2_found, p2_pairs, p2_counts, p5_found, p5_recall, p7_found, p7_collapsed, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": f"SELECT column_a, column_b FROM ({_P2})", "p2_pairs": _P2, "p7_found": _P7, "p7_collapsed": _P7_COLLAPSED, "p10_repeated_lines": _P10_LINES}
+    return {"p2_found": f"SELECT column_a, column_b FROM ({_P2})", "p2_pairs": _P2, "p5_recall": _P5_RECALL, "p7_found": _P7, "p7_collapsed": _P7_COLLAPSED, "p10_repeated_lines": _P10_LINES}

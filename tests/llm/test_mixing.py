@@ -7,22 +7,43 @@ DOCS = "doc_id bigint, source string, text string, at int, slot string"
 TARGETS = "source string, target_share double, max_repeats int"
 
 
-def test_period_keeps_every_source_within_a_block():
-    for weights in ([15, 15, 20, 12, 10, 10, 10, 5], [1], [1, 99], [3, 3, 3, 1], [7, 5, 1, 1, 1]):
+def test_a_frame_keeps_every_source_within_a_block():
+    for weights in ([15, 15, 20, 12, 10, 10, 10, 5], [1], [1, 99], [3, 3, 3, 1], [7, 5, 1, 1, 1], [0, 4, 1]):
         total = sum(weights)
-        period = mx.pfair_period(weights)
-        assert sorted(s for *_, s in period) == list(range(total))
+        order = mx.pfair_order(tuple(weights))
+        assert len(order) == total
         done = [0] * len(weights)
-        for source, block, slot in period:
+        for slot, (source, block) in enumerate(order):
             assert block == done[source]
             done[source] += 1
             for s, w in enumerate(weights):
                 assert abs(done[s] - Fraction(w * (slot + 1), total)) < 1
 
 
-def test_weights():
-    assert mx.integer_weights([0.15, 0.2, 0.05]) == [3, 4, 1]
-    assert sum(mx.integer_weights([0.123456789, 0.3, 0.2])) == mx.MAX_PERIOD
+def test_weights_are_exact():
+    assert mx.exact_weights([0.15, 0.2, 0.05]) == [Fraction(3, 8), Fraction(1, 2), Fraction(1, 8)]
+    assert mx.frame_slots(mx.exact_weights([0.15, 0.2, 0.05])) == 8
+    assert mx.exact_weights([0.00001, 0.99999]) == [Fraction(1, 100_000), Fraction(99_999, 100_000)]
+
+
+def test_frames_follow_shares_that_no_period_holds(spark, monkeypatch):
+    monkeypatch.setattr(mx, "FRAME", 50)
+    shares = [0.00123, 0.31415926, 0.6, 0.08461074]
+    weights = mx.exact_weights(shares)
+    monkeypatch.setattr(mx, "frame_slots", lambda w, most=50: 50)
+    slots = 50
+    before = [mx.blocks_before(weights, k, slots) for k in range(60)]
+    assert all(x <= y for one, two in zip(before, before[1:], strict=False) for x, y in zip(one, two, strict=True))
+    done, slot = [0] * 4, 0
+    for k in range(59):
+        assert sum(before[k]) == slot and done == before[k]
+        for s, i in mx.pfair_order(tuple(b - a for a, b in zip(before[k], before[k + 1], strict=True))):
+            assert before[k][s] + i == done[s]
+            done[s] += 1
+            slot += 1
+            assert all(abs(d - w * slot) <= Fraction(3, 2) + w * 2 for d, w in zip(done, weights, strict=True))
+    rows = mx.schedule(spark, list("abcd"), weights, 7).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and len({(r.source, r.block) for r in rows}) == len(rows)
 
 
 def frames(spark, seed=1):

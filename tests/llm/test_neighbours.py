@@ -56,13 +56,49 @@ def test_recall_with_many_cells_and_blocks(spark, monkeypatch):
     assert len(found & want) / len(want) >= 0.9
 
 
-def test_scan_equals_decoded_product():
+def test_codes_round_trip_and_decode():
     rng = np.random.default_rng(3)
-    words = rng.normal(size=(16, 16, 4)).astype(np.float32)
-    codes = rng.integers(0, 16, size=(20, 16)).astype(np.uint8)
-    centre, q = rng.normal(size=64).astype(np.float32), rng.normal(size=(5, 64)).astype(np.float32)
-    decoded = centre + words[np.arange(16), codes].reshape(20, 64)
-    assert np.allclose(nb.scan(q, centre, codes, words), q @ decoded.T, atol=1e-3)
+    for m in (32, 7):
+        codes = rng.integers(0, 16, size=(20, m))
+        assert (nb.unpack_codes(nb.pack_codes(codes), m) == codes).all()
+    words = rng.normal(size=(32, 16, 2))
+    codes, centre, q = rng.integers(0, 16, size=(20, 32)), rng.normal(size=64), rng.normal(size=64)
+    table = np.einsum("ms,mcs->mc", q.reshape(32, 2), words)
+    assert np.allclose(nb.decode(codes, centre, words) @ q, q @ centre + table[np.arange(32), codes].sum(1))
+
+
+def test_scan_rules_out_most_and_loses_little():
+    rng = np.random.default_rng(8)
+    x = np.array([v for _, v in clustered(3000, rng)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre = np.zeros(64)
+    words = nb.fit_words(x, x, rng)
+    coded = nb.decode(nb.assign_codes(x, x, words), centre, words)
+    i, j = nb.candidates(x[:200], x, coded, 5, np.arange(200)[:, None] == np.arange(3000))
+    exact = x[:200] @ x.T
+    exact[np.arange(200), np.arange(200)] = -4
+    want = {(a, b) for a in range(200) for b in np.argsort(-exact[a])[:5]}
+    assert len(want & set(zip(i.tolist(), j.tolist(), strict=True))) >= 0.97 * len(want)
+    assert len(i) < 0.3 * exact.size
+
+
+def test_cells_grow_with_the_collection():
+    assert nb.cell_count(100, 64) == 1 and nb.cell_count(1_000_000, 64) == 6250 and nb.cell_count(40_000_000, 64) == 250_000
+    assert nb.cell_count(10**10, 64) * 64 * 4 == nb.CENTRE_BYTES
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert 350 <= len(nb.fit(x, 400)) <= 450 and len(nb.fit(x[:5], 400)) == 1
+
+
+def test_recall_row(spark):
+    rows = clustered(300, np.random.default_rng(9))
+    from pyspark.sql import functions as F
+
+    r = nb.recall(frame(spark, rows), "vec_id", "embedding", F.pmod("id", F.lit(50)) == 0).first()
+    assert (r.queries, r.wanted) == (6, 30) and r.found >= 29
+    exact = nb.exact_nearest(frame(spark, rows), "vec_id", "embedding", F.lit(True)).collect()
+    assert {(x.id, x.other) for x in exact} == brute(rows, 5)
 
 
 def test_codes_minimise_the_anisotropic_loss():
@@ -70,12 +106,13 @@ def test_codes_minimise_the_anisotropic_loss():
     x = rng.normal(size=(300, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     words = nb.fit_words(x, x, rng)
+    m = 64 // nb.SUB
 
     def loss(codes):
-        e = x - words[np.arange(16), codes].reshape(len(x), 64)
+        e = x - words[np.arange(m), codes].reshape(len(x), 64)
         return (e**2).sum() + (nb.ETA - 1) * ((e * x).sum(1) ** 2).sum()
 
-    near = np.stack([((x.reshape(-1, 16, 4)[:, j, None] - words[j]) ** 2).sum(2).argmin(1) for j in range(16)], 1)
+    near = np.stack([((x.reshape(-1, m, nb.SUB)[:, j, None] - words[j]) ** 2).sum(2).argmin(1) for j in range(m)], 1)
     assert loss(nb.assign_codes(x, x, words)) <= loss(near)
     assert loss(near) < (x**2).sum()
 
