@@ -11,7 +11,9 @@ sum of its sizes does.
 
 Every shard is left with a few containers that are not full.  Their items move up
 to a next, far smaller round of shards, until a single shard is left; so the
-unused space does not grow with the number of shards.
+unused space does not grow with the number of shards.  What counts as full is a share
+of the capacity, or less where the items do not fill containers that far: at least
+half of a round's containers stay.
 
 Only items longer than the capacity are split: into full pieces, which fill a
 container each, and one remainder.  Populations travel as arrays of container
@@ -34,7 +36,7 @@ from schemaloom.materialize import materialize
 
 SHARD = 1000
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 5, 12, 2
-#: Containers filled to less than this share move up to the next round.
+#: Containers filled to less than this share, and less than the round's median, move up to the next round.
 FULL = 0.98
 _STATE = "shard bigint, island int, rows array<bigint>, sizes array<int>, packings array<array<int>>, done boolean"
 
@@ -187,14 +189,12 @@ def pack(items: DataFrame, capacity: int, *, shard: int = SHARD) -> DataFrame:
         shards = max(1, -(-n // shard))
         solved = materialize(_solve(items, capacity, shards), "packed")
         numbered = solved.select("row", "size", (F.lit(level << 56) + F.col("shard") * (1 << 20) + F.col("bin")).cast("bigint").alias("container_id"), "fill")
-        full = F.lit(shards == 1) | (F.col("fill") >= FULL * capacity)
+        median = solved.groupBy("shard", "bin").agg(F.first("fill").alias("fill")).agg(F.percentile_approx("fill", 0.5)).first()[0]
+        full = F.lit(shards == 1) | (F.col("fill") >= min(FULL * capacity, median))
         kept = numbered.filter(full)
         done = kept if done is None else done.unionByName(kept)
         items = numbered.filter(~full).select("row", "size")
-        before, n, level = n, items.count(), level + 1
-        if n > before // 2:
-            rest = materialize(_solve(items, capacity, max(1, -(-n // shard))), "packed")
-            return done.unionByName(rest.select("row", "size", (F.lit(level << 56) + F.col("shard") * (1 << 20) + F.col("bin")).cast("bigint").alias("container_id"), "fill"))
+        n, level = items.count(), level + 1
     return items.sparkSession.createDataFrame([], "row bigint, size int, container_id bigint, fill bigint") if done is None else done
 
 

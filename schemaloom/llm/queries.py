@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from schemaloom import ids
 from schemaloom.llm.cooccurrence import cooccurrence
-from schemaloom.llm.mixing import mix, shares
+from schemaloom.llm.mixing import BLOCK_TOKENS, mix, shares
 from schemaloom.llm.neighbours import nearest, recall
 from schemaloom.llm.normal_form import Leaf, Record, collapse, hidden_copies, word_multiset
 from schemaloom.llm.packing import container_report, pack_documents
 from schemaloom.llm.spans import repeated_lines, shared_characters
+from schemaloom.materialize import materialize
 
 CAPACITY = 2048
 
@@ -76,6 +77,11 @@ def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
 
 
+def _beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the values of a frame of one row."""
+    return df.withColumns({k: F.lit(v) for k, v in one_row.first().asDict().items()})
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """The container of each text or piece, and the unused space of that container."""
     return pack_documents(_read(spark, sf, "documents").select("doc_id", "text"), capacity=CAPACITY)
@@ -85,6 +91,16 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return container_report(p8_pack(spark, sf), CAPACITY)
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents packed, and how often a packing breaks its rules."""
+    packed = materialize(p8_pack(spark, sf).filter("container_id is not null"), "packed")
+    used = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.min("unused_tokens").alias("least"), F.max("unused_tokens").alias("most"))
+    boxes = used.agg(F.count_if(F.col("used") > CAPACITY).alias("over_capacity"), F.count_if((F.col("least") != F.col("most")) | (F.col("used") + F.col("most") != CAPACITY)).alias("wrong_unused"))
+    whole = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_distinct("piece").alias("kinds"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("stop"))
+    docs = whole.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("needless_splits"), F.count_if((F.col("pieces") != F.col("kinds")) | (F.col("n") != F.col("stop"))).alias("torn_documents"))
+    return _beside(docs, boxes)
+
+
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The drawn documents with their repeats, in the order of slots."""
     return mix(_read(spark, sf, "documents").select("doc_id", "source", "text"), _read(spark, sf, "mix_targets"))
@@ -94,6 +110,18 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(_read(spark, sf, "documents").select("doc_id", "source", "text"), _read(spark, sf, "mix_targets"))
 
 
+def p9_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources drawn, and how often the draws break a rule: repeats within the cap, none drawn twice under one number, shares within a block and a document."""
+    drawn = materialize(p9_mix(spark, sf), "drawn")
+    caps = _read(spark, sf, "mix_targets").groupBy("source").agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("cap"))
+    per_doc = drawn.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.count_distinct("repeat_no").alias("numbers"))
+    repeats = per_doc.join(F.broadcast(caps), "source").agg(F.count_if(F.col("times") > F.col("cap")).alias("over_cap"), F.count_if(F.col("times") != F.col("numbers")).alias("drawn_twice"))
+    sums = drawn.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("longest")).join(F.broadcast(caps), "source")
+    total = sums.agg(F.sum("n").alias("total"), F.sum("share").alias("shares"), F.max("longest").alias("slack"))
+    off = F.abs(F.col("n") - F.col("share") / F.col("shares") * F.col("total")) > BLOCK_TOKENS + F.col("slack")
+    return _beside(_beside(sums, total).agg(F.count("*").alias("sources"), F.count_if(off).alias("off_share")), repeats)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_characters(_read(spark, sf, "documents").select("doc_id", "text"))
 
@@ -133,6 +161,11 @@ WITH v AS (SELECT vec_id, embedding FROM tag_keys UNION ALL SELECT vec_id, embed
 u AS (SELECT vec_id FROM v WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT count(*) AS queries, count(*) * least(5, (SELECT count(*) - 1 FROM u)) AS wanted, true AS enough FROM u WHERE vec_id % 50 = 0
 """
+_P8_INVARIANTS = "SELECT count(*) AS documents, 0 AS needless_splits, 0 AS torn_documents, 0 AS over_capacity, 0 AS wrong_unused FROM documents WHERE text <> ''"
+_P9_INVARIANTS = """
+SELECT count(*) AS sources, 0 AS off_share, 0 AS over_cap, 0 AS drawn_twice
+FROM (SELECT source FROM mix_targets GROUP BY source HAVING sum(target_share) > 0 AND min(max_repeats) > 0) WHERE source IN (SELECT source FROM documents WHERE text <> '')
+"""
 _P10_LINES = """
 WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cut),
@@ -143,8 +176,8 @@ SELECT doc_id, line_no, start, start + length(line) AS stop, kept_doc_id, kept_l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p2_pairs, p2_counts, p5_found, p5_recall, p7_found, p7_collapsed, p8_pack, p8_report, p9_mix, p9_shares, p10_found, p10_repeated_lines)}
+    return {q.__name__: q for q in (p2_found, p2_pairs, p2_counts, p5_found, p5_recall, p7_found, p7_collapsed, p8_pack, p8_report, p8_invariants, p9_mix, p9_shares, p9_invariants, p10_found, p10_repeated_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": f"SELECT column_a, column_b FROM ({_P2})", "p2_pairs": _P2, "p5_recall": _P5_RECALL, "p7_found": _P7, "p7_collapsed": _P7_COLLAPSED, "p10_repeated_lines": _P10_LINES}
+    return {"p2_found": f"SELECT column_a, column_b FROM ({_P2})", "p2_pairs": _P2, "p5_recall": _P5_RECALL, "p7_found": _P7, "p7_collapsed": _P7_COLLAPSED, "p8_invariants": _P8_INVARIANTS, "p9_invariants": _P9_INVARIANTS, "p10_repeated_lines": _P10_LINES}

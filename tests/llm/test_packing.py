@@ -70,3 +70,14 @@ def test_documents(spark, shard, monkeypatch):
 def test_empty(spark):
     assert pk.pack_documents(spark.createDataFrame([], COLS)).count() == 0
     assert pk.pack_documents(spark.createDataFrame([(1, None, "", 0)], COLS)).first().container_id is None
+
+
+def test_items_that_never_fill_a_container(spark):
+    items = spark.range(4000).selectExpr("id as row", "300 as size")
+    rows = pk.pack(items, 1000, shard=250).collect()
+    assert len({r.row for r in rows}) == len(rows) == 4000
+    fill = {}
+    for r in rows:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.size
+    assert max(fill.values()) <= 1000 and len(fill) <= 1334 + 1
+    assert all(fill[r.container_id] == r.fill for r in rows)
