@@ -84,6 +84,11 @@ def jdbc_catalog(spark: SparkSession, path: str, *, url: str | None = None, data
     return Connector(lambda schemas=None: catalog_json.relational_catalog(spark, path, name, schemas=schemas, platform=platform, service=service))
 
 
+def jdbc_schema(read: warehouses.Read, database: str, *, table=None, value_sample_limit: int = 10, platform: str | None = None, service: str | None = None) -> Connector:
+    """A database's own information schema; ``ingest(schemas=)``."""
+    return Connector(lambda schemas=None: warehouses.jdbc(read, database, schemas, table=table, n=value_sample_limit, platform=platform, service=service))
+
+
 def unity_catalog(pages: DataFrame) -> Connector:
     return Connector(lambda: catalog_json.unity_pages(pages))
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.errors import ConfigError
 from schemaloom.store import GraphStore
 
 Provider = Callable[[list[str]], list[list[float] | None]]
@@ -42,6 +43,25 @@ def candidates(nodes: DataFrame, *, min_length: int = 1) -> DataFrame:
     return nodes.filter(F.col("description").isNotNull() & F.col("embedding").isNull() & (F.length("description") >= min_length))
 
 
+def _vectors(provider: Provider, texts: list[str]) -> list[list[float] | None]:
+    """One request for all texts; if it fails, one for each, so that a bad text costs no other its vector."""
+    try:
+        vectors = provider(texts)
+    except Exception:
+        return [None] if len(texts) == 1 else [v for t in texts for v in _vectors(provider, [t])]
+    if len(vectors) != len(texts):
+        raise ValueError(f"the provider gave {len(vectors)} vectors for {len(texts)} texts")
+    return vectors
+
+
+def dimensions(provider: Provider) -> int:
+    """Length of the provider's vectors, asked with one short text."""
+    vector = provider(["probe"])[0]
+    if vector is None:
+        raise ConfigError("the provider gave no vector")
+    return len(vector)
+
+
 def embedded(rows: DataFrame, provider: Provider, *, text: str = "description", batch_size: int = 100) -> DataFrame:
     """(id, embedding), in batches on the executors; a provider's failure leaves NULL."""
 
@@ -49,10 +69,7 @@ def embedded(rows: DataFrame, provider: Provider, *, text: str = "description",
         for pdf in parts:
             for s in range(0, len(pdf), batch_size):
                 some = pdf.iloc[s : s + batch_size]
-                try:
-                    vectors = provider(some["text"].tolist())
-                except Exception:
-                    vectors = [None] * len(some)
+                vectors = _vectors(provider, some["text"].tolist())
                 yield pd.DataFrame({"id": some["id"], "embedding": vectors})
 
     return rows.select("id", F.col(text).alias("text")).mapInPandas(run, "id string, embedding array<float>")

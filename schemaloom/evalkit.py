@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from schemaloom import ids
 from schemaloom.lineage import can_be_analysed, parse
+from schemaloom.materialize import materialize
 
 # The gates of the report.
 TOKEN_REDUCTION, RECALL_FLOOR, ACCURACY_DELTA = 0.50, 0.90, 0.05
+# The kinds of questions a bank may hold.
+ARCHETYPES = ("simple_lookup", "implicit_join", "business_term", "ambiguous_column", "cross_domain", "negative_space")
+
+
+def question_bank(questions: DataFrame) -> DataFrame:
+    """``questions`` (question, sql, archetype, ...) with their question_id; a row of an unknown kind is an error when read."""
+    known = F.col("archetype").isin(*ARCHETYPES)
+    checked = F.when(F.coalesce(known, F.lit(False)), F.col("archetype")).otherwise(F.raise_error(F.concat(F.lit("unknown archetype: "), F.coalesce("archetype", F.lit("NULL")))).cast("string"))
+    return questions.withColumns({"question_id": ids.question_id("question", "sql"), "archetype": checked})
 
 
 def required_objects(spark: SparkSession, sql: str) -> dict:
@@ -55,6 +67,24 @@ def retrieval_scores(samples: DataFrame, *, required: str = "required", retrieve
     return samples.withColumns({f"{prefix}recall": ratio(both, need), f"{prefix}precision": ratio(both, got), f"{prefix}missing": F.array_sort(F.array_except(need, got)), f"{prefix}extra": F.array_sort(F.array_except(got, need))})
 
 
+def object_scores(samples: DataFrame, *, compat: bool = False) -> DataFrame:
+    """Adds object_recall and object_precision over tables and columns together.
+
+    ``samples`` has the name arrays required_tables, required_columns, retrieved_columns and retrieved (array of
+    ``schema.table`` names).  A table counts by its short name if that is what is required; with ``compat`` each retrieved
+    table counts under both its names, as it once did, so that a perfect hit has a table precision of one half.
+    """
+    need, need_columns, columns = _lower("required_tables"), _lower("required_columns"), _lower("retrieved_columns")
+    short = _lower(F.transform("retrieved", lambda x: F.element_at(F.split(x, r"\."), -1)))
+    both = F.array_distinct(F.concat(_lower("retrieved"), short))
+    # the name a required object is known by, once per retrieved table
+    one = F.array_distinct(F.transform(_lower("retrieved"), lambda x: F.when(F.array_contains(need, x), x).otherwise(F.element_at(F.split(x, r"\."), -1))))
+    tables = both if compat else one
+    hits = F.size(F.array_intersect(need, tables)) + F.size(F.array_intersect(need_columns, columns))
+    most = lambda a, b: F.greatest(F.size(a) + F.size(b), F.lit(1))
+    return samples.withColumns({"object_recall": hits / most(need, need_columns), "object_precision": hits / most(tables, columns)})
+
+
 def faithfulness(samples: DataFrame, *, used: str = "used", context: str = "context") -> DataFrame:
     """Adds the share of used names that occur in the context text, and the ones that do not."""
     grounded = F.filter(F.col(used), lambda x: F.contains(F.lower(F.col(context)), F.lower(x)))
@@ -99,6 +129,21 @@ def is_valid(spark: SparkSession, sql: str) -> bool:
     return can_be_analysed(spark, sql)
 
 
+def token_counts(samples: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """Adds the token counts of samples (chunks array<string>, full_schema, examples array<string>).
+
+    ``count`` gives the tokens of a text as a column: any tokenizer, for instance a pandas UDF.  Chunks and examples
+    are exploded, so that it is asked once per text.
+    """
+    keyed = materialize(samples.withColumn("sample_", F.monotonically_increasing_id()), "samples")
+    counted = lambda c, name: keyed.select("sample_", F.explode(c).alias("t_")).filter("t_ is not null").select("sample_", count(F.col("t_")).alias("n_")).groupBy("sample_").agg(F.sum("n_").alias(name))
+    out = keyed.withColumn("full_schema_tokens", F.coalesce(count(F.coalesce("full_schema", F.lit(""))), F.lit(0)))
+    for c, name in (("chunks", "mcp_schema_tokens"), ("examples", "few_shot_tokens")):
+        out = out.join(counted(c, name), "sample_", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    part, few, full = F.col("mcp_schema_tokens"), F.col("few_shot_tokens"), F.col("full_schema_tokens")
+    return out.withColumns({"mcp_total_context_tokens": part + few, "full_schema_total_tokens": full + few, "token_reduction_absolute": full - part, "token_reduction_pct": token_reduction(part, full)}).drop("sample_")
+
+
 def token_reduction(context: Column, full: Column) -> Column:
     return F.lit(1.0) - context / F.greatest(full, F.lit(1))
 
@@ -120,7 +165,11 @@ def report(samples: DataFrame, *by: str) -> DataFrame:
 
 
 def table_text(tables: DataFrame) -> DataFrame:
-    """(table_id, text): table contexts as text, up to three examples per column."""
+    """(table_id, text): table contexts as text, up to three examples per column.
+
+    With a column ``joins`` (array<struct<table_name,column_names array<string>>>) these follow the columns.
+    """
+    # The words and marks of the text.
     def line(c: Column) -> Column:
         none = F.lit("")
         few = F.slice(c["examples"], 1, 3)
@@ -134,4 +183,8 @@ def table_text(tables: DataFrame) -> DataFrame:
         )
 
     head = F.concat(F.lit("Table: "), "schema_name", F.lit("."), "table_name", F.lit("\nDescription: "), F.coalesce("table_description", F.lit("None")), F.lit("\nColumns:\n"))
-    return tables.select("table_id", F.concat(head, F.array_join(F.transform("columns", line), "\n")).alias("text"))
+    body = F.concat(head, F.array_join(F.transform("columns", line), "\n"))
+    if "joins" in tables.columns:
+        lines = F.array_join(F.transform("joins", lambda j: F.concat(F.lit("\n  - "), j["table_name"], F.lit(" on "), F.array_join(j["column_names"], ", "))), "")
+        body = F.concat(body, F.when(F.size("joins") > 0, F.concat(F.lit("\nJoins:"), lines)).otherwise(""))
+    return tables.select("table_id", body.alias("text"))

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from schemaloom.materialize import materialize
+
 # The characters that query syntax reserves; each becomes a blank.
 RESERVED = '+-&|!(){}[]^"~*?:\\'
 K1, B = 1.2, 0.75
@@ -42,39 +44,39 @@ def query_words(query: str) -> list[str]:
 def bm25(nodes: DataFrame, node_id: str, fields: list[str], query: str, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """(node_id, *keep, score) of the nodes that have a query word.
 
-    Statistics are one aggregate of a row (documents, mean length, frequency per word),
-    read by the driver; the scores are a projection of a single scan.
+    One pass over the texts: it counts words, writes the rows that have a query word, and
+    its statistics (documents, mean length, frequency per word) are observed on the way.
+    The scores are a projection of the written rows.
     """
     words = query_words(query)
     if not words:
         return nodes.select(node_id, *keep, F.lit(0.0).alias("score")).limit(0)
-    # counts by pattern, so that no array of words is ever built; a word must occur as a text before it is counted
-    lower = [F.lower(F.col(f)) for f in fields]
+    # a word must occur as a text before it is counted as a word
+    lower = [F.col(f"x_{i}") for i in range(len(fields))]
     whole = lambda i, w: F.when(F.contains(lower[i], F.lit(w)), F.regexp_count(lower[i], F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0)
-    count = lambda rows: rows.select(
+    counted = nodes.select(node_id, *keep, *[F.lower(F.col(f)).alias(f"x_{i}") for i, f in enumerate(fields)]).select(
         node_id, *keep,
         *[F.regexp_count(x, F.lit(_WORD)).alias(f"l_{i}") for i, x in enumerate(lower)],
         *[F.when(lower[i].isNotNull(), whole(i, w)).alias(f"tf_{i}_{k}") for i in range(len(fields)) for k, w in enumerate(words)],
     )
-    stats = count(nodes).agg(
+    every = [(i, k) for i in range(len(fields)) for k in range(len(words))]
+    seen = Observation()
+    observed = counted.observe(
+        seen,
         *[F.count(f"l_{i}").alias(f"n_{i}") for i in range(len(fields))],
         *[F.avg(f"l_{i}").alias(f"dl_{i}") for i in range(len(fields))],
-        *[F.count_if(F.col(f"tf_{i}_{k}") > 0).alias(f"df_{i}_{k}") for i in range(len(fields)) for k in range(len(words))],
-    ).first()
+        *[F.count_if(F.col(f"tf_{i}_{k}") > 0).alias(f"df_{i}_{k}") for i, k in every],
+    )
+    hits = materialize(observed.filter(F.greatest(F.lit(0), *[F.col(f"tf_{i}_{k}") for i, k in every]) > 0), "text-hits")
+    stats = seen.get
     score = F.lit(0.0)
-    for i in range(len(fields)):
-        n, mean = stats[f"n_{i}"], stats[f"dl_{i}"] or 1.0
+    for i, k in every:
+        n, mean, df = stats[f"n_{i}"], stats[f"dl_{i}"] or 1.0, stats[f"df_{i}_{k}"]
         long = F.lit(1 - B) + F.col(f"l_{i}") * F.lit(B / mean)
-        for k in range(len(words)):
-            df = stats[f"df_{i}_{k}"]
-            idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
-            c = F.col(f"tf_{i}_{k}")
-            score = score + F.coalesce(F.when(c > 0, idf * c * (K1 + 1) / (c + F.lit(K1) * long)), F.lit(0.0))
-    possible = F.lit(False)
-    for x in lower:
-        for w in words:
-            possible = possible | F.coalesce(F.contains(x, F.lit(w)), F.lit(False))
-    return count(nodes.filter(possible)).select(node_id, *keep, score.alias("score")).filter("score > 0")
+        idf = F.log(F.lit(1 + (n - df + 0.5) / (df + 0.5)))
+        c = F.col(f"tf_{i}_{k}")
+        score = score + F.coalesce(F.when(c > 0, idf * c * (K1 + 1) / (c + F.lit(K1) * long)), F.lit(0.0))
+    return hits.select(node_id, *keep, score.alias("score"))
 
 
 def postings(nodes: DataFrame, node_id: str, fields: list[str]) -> DataFrame:

@@ -107,6 +107,12 @@ def custom_extension_id(owner, vendor, data) -> Column:
     return F.concat(_s(owner), F.lit("."), F.md5(F.concat(_s(vendor), F.lit("::"), _s(data))))
 
 
+def question_id(question, sql) -> Column:
+    """A question with its gold query; outer white space of either does not count."""
+    plain = lambda c: F.regexp_replace(_s(c), r"^\s+|\s+$", "")
+    return F.sha2(F.concat(plain(question), F.lit("\n"), plain(sql)), 256)
+
+
 def query_column_id(query, column) -> Column:
     """A column owned by a query rather than by a table."""
     return F.concat(_s(query), F.lit("."), normalize(column))

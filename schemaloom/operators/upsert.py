@@ -11,7 +11,7 @@ lacks are never touched; an empty batch or an empty store is fine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,8 +26,8 @@ def first_per_key(batch: DataFrame, keys: list[str], order: list[str] | None = N
     return known.groupBy(*keys).agg(row.alias("r_")).select(*keys, *[F.col(f"r_.{c}").alias(c) for c in rest])
 
 
-def merge(stored: DataFrame, batch: DataFrame, keys: list[str], *, overwrite: bool = False, order: list[str] | None = None) -> DataFrame:
-    """``stored`` after the batch; the columns of ``stored``."""
+def merge(stored: DataFrame, batch: DataFrame, keys: list[str], *, overwrite: bool = False, order: list[str] | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``stored`` after the batch; the columns of ``stored``.  ``kept`` columns are set on create only, whatever ``overwrite`` says."""
     order_only = [c for c in order or [] if c not in stored.columns]
     new = first_per_key(batch, keys, order).drop(*order_only).withColumn("new_", F.lit(True))
     old = stored.withColumn("old_", F.lit(True))
@@ -40,7 +40,7 @@ def merge(stored: DataFrame, batch: DataFrame, keys: list[str], *, overwrite: bo
             out.append(F.coalesce(f"o.{c}", f"n.{c}").alias(c))
         elif c not in new.columns:
             out.append(F.col(f"o.{c}").alias(c))
-        elif overwrite:
+        elif overwrite and c not in kept:
             out.append(F.when(F.col("new_"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         else:
             out.append(F.when(F.col("old_"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
@@ -57,7 +57,7 @@ def merge_labels(stored: DataFrame, batch: DataFrame, key: str, labels: str = "l
 
 def existing_endpoints(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, source_key: str = "id", target_key: str = "id") -> DataFrame:
     """Edges whose two ends exist; the others are dropped."""
-    s, t = sources.select(F.col(source_key).alias("s_")).distinct(), targets.select(F.col(target_key).alias("t_")).distinct()
+    s, t = sources.select(F.col(source_key).alias("s_")), targets.select(F.col(target_key).alias("t_"))
     return edges.join(s, F.col("src_id") == F.col("s_"), "left_semi").join(t, F.col("dst_id") == F.col("t_"), "left_semi")
 
 
@@ -72,9 +72,3 @@ def dangling(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFr
 def id_collisions(df: DataFrame, node_id: str, *raw: str) -> DataFrame:
     """Ids that stand for more than one raw name, since the id rule loses case, blanks and hyphens."""
     return df.groupBy(node_id).agg(F.count_distinct(F.struct(*raw)).alias("raw_names")).filter("raw_names > 1")
-
-
-def last_state(df: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """The latest row per key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(time))
-    return df.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")

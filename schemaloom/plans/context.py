@@ -30,18 +30,35 @@ def aspect_type(labels: Column | str) -> Column:
     return F.when(F.array_contains(labels, "AiContext"), "ai_context").when(F.array_contains(labels, "CustomExtensions"), "custom_extensions").otherwise("unknown")
 
 
+def _of(edges: DataFrame, wanted: DataFrame | None, end: str = "src_id") -> DataFrame:
+    """The edges whose end is among the wanted ids; all if none are named."""
+    return edges if wanted is None else edges.join(wanted.select(F.col("id").alias(end)), end, "left_semi")
+
+
+def paired(left: Column | str, right: Column | str, names: tuple[str, str]) -> Column:
+    """The entries of two arrays side by side; an error when read if they differ in length."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (left, right))
+    pairs = F.arrays_zip(a.alias(names[0]), b.alias(names[1]))
+    return F.when(F.size(a) == F.size(b), pairs).otherwise(F.raise_error(F.lit("paired lists differ in length")))
+
+
+def collected_if(condition: Column, value: Column) -> Column:
+    """Aggregate: the sorted distinct values of the rows that meet the condition."""
+    return F.sort_array(F.collect_set(F.when(condition, value)))
+
+
 def collected(edges: DataFrame, items: DataFrame, value: Column, name: str, *, distinct: bool = False) -> DataFrame:
     """(id, name): for every source of the edges the sorted values of its targets."""
     gather = F.collect_set if distinct else F.collect_list
     return edges.join(items, F.col("dst_id") == F.col("id")).groupBy("src_id").agg(F.sort_array(gather(value)).alias(name)).withColumnRenamed("src_id", "id")
 
 
-def expressions(store: GraphStore, label: str) -> DataFrame:
-    return collected(store.edges(f"{label}-HAS_EXPRESSION-Expression"), store.nodes("Expression"), F.struct("dialect", "expression"), "expressions")
+def expressions(store: GraphStore, label: str, wanted: DataFrame | None = None) -> DataFrame:
+    return collected(_of(store.edges(f"{label}-HAS_EXPRESSION-Expression"), wanted), store.nodes("Expression"), F.struct("dialect", "expression"), "expressions")
 
 
-def aspects(store: GraphStore, label: str) -> DataFrame:
-    return collected(store.edges(f"{label}-HAS_ASPECT-Aspect"), store.nodes("Aspect"), F.struct(aspect_type("labels").alias("aspect_type"), "data", "vendor_name"), "aspects")
+def aspects(store: GraphStore, label: str, wanted: DataFrame | None = None) -> DataFrame:
+    return collected(_of(store.edges(f"{label}-HAS_ASPECT-Aspect"), wanted), store.nodes("Aspect"), F.struct(aspect_type("labels").alias("aspect_type"), "data", "vendor_name"), "aspects")
 
 
 def examples(values: DataFrame, n: int = 5) -> DataFrame:
@@ -52,11 +69,11 @@ def examples(values: DataFrame, n: int = 5) -> DataFrame:
     return small.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("examples"))
 
 
-def references(edges: DataFrame, columns: DataFrame, tables: DataFrame, has_column: DataFrame, *, directed: bool = False) -> DataFrame:
+def references(edges: DataFrame, columns: DataFrame, tables: DataFrame, has_column: DataFrame, *, directed: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """(id, references): ``table.column`` names that a column refers to; without direction also those that refer to it, distinct."""
-    both = edges.select("src_id", "dst_id")
+    both = _of(edges.select("src_id", "dst_id"), wanted)
     if not directed:
-        both = both.unionByName(edges.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")))
+        both = both.unionByName(_of(edges.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id")), wanted))
     owner = has_column.select(F.col("src_id").alias("table_id"), F.col("dst_id").alias("column_id"))
     named = owner.join(columns.select(F.col("id").alias("column_id"), F.col("name").alias("c_")), "column_id").join(tables.select(F.col("id").alias("table_id"), F.col("name").alias("t_")), "table_id")
     text = F.concat("t_", F.lit("."), "c_")
@@ -64,13 +81,18 @@ def references(edges: DataFrame, columns: DataFrame, tables: DataFrame, has_colu
     return both.join(named, F.col("dst_id") == F.col("column_id")).groupBy("src_id").agg(F.sort_array(gather(text)).alias("references")).withColumnRenamed("src_id", "id")
 
 
-def column_context(store: GraphStore, owned: DataFrame, *, directed: bool = False) -> DataFrame:
-    """(owner_id, columns) of ``owned`` (owner_id, id): the nested column records of each owner."""
-    wanted = owned.select("id").distinct()
-    cols = store.nodes("Column").join(wanted, "id", "left_semi")
-    values = store.edges("Column-HAS_VALUE-Value").join(store.nodes("Value").withColumnRenamed("id", "dst_id"), "dst_id").select(F.col("src_id").alias("id"), "value")
-    refs = references(store.edges("Column-REFERENCES-Column"), store.nodes("Column"), store.nodes("Table"), store.edges("Table-HAS_COLUMN-Column"), directed=directed)
-    full = cols.join(refs, "id", "left").join(examples(values), "id", "left").join(expressions(store, "Column"), "id", "left").join(aspects(store, "Column"), "id", "left")
+def column_context(store: GraphStore, owned: DataFrame, *, directed: bool = False, some: bool = True) -> DataFrame:
+    """(owner_id, columns) of ``owned`` (owner_id, id): the nested column records of each owner.
+
+    ``some`` says that ``owned`` names a part of the columns, which then restricts every join before it aggregates.
+    """
+    wanted = owned.select("id").distinct() if some else None
+    cols = store.nodes("Column") if wanted is None else store.nodes("Column").join(wanted, "id", "left_semi")
+    values = _of(store.edges("Column-HAS_VALUE-Value"), wanted).join(store.nodes("Value").withColumnRenamed("id", "dst_id"), "dst_id").select(F.col("src_id").alias("id"), "value")
+    refs = references(store.edges("Column-REFERENCES-Column"), store.nodes("Column"), store.nodes("Table"), store.edges("Table-HAS_COLUMN-Column"), directed=directed, wanted=wanted)
+    full = cols.join(refs, "id", "left").join(examples(values), "id", "left")
+    for part in (expressions(store, "Column", wanted), aspects(store, "Column", wanted)):
+        full = full.join(part, "id", "left")
     record = F.struct(
         F.col("name").alias("column_name"), F.col("description").alias("column_description"), F.col("type").alias("data_type"), "nullable", _empty("examples", "array<string>"),
         key_type().alias("key_type"), "label", "is_time_dimension", _empty("references", "array<string>"), _empty("expressions", _EXPRESSION), _empty("aspects", _ASPECT),
@@ -87,15 +109,18 @@ def placed_tables(store: GraphStore, wanted: DataFrame | None = None) -> DataFra
     return tables.join(names, "id").select(F.col("id").alias("table_id"), F.col("name").alias("table_name"), F.col("description").alias("table_description"), "database_name", "schema_name", _empty("primary_key", "array<string>"))
 
 
-def table_context(store: GraphStore, scores: DataFrame, columns: DataFrame | None = None) -> DataFrame:
-    """Full context of the tables in ``scores`` (id, …); ``columns`` (id) restricts to the columns found."""
+def table_context(store: GraphStore, scores: DataFrame | None, columns: DataFrame | None = None) -> DataFrame:
+    """Full context of the tables in ``scores`` (id, …), or of all; ``columns`` (id) restricts to the columns found."""
+    everything = scores is None
+    scores = store.nodes("Table").select("id") if everything else scores
     owned = store.edges("Table-HAS_COLUMN-Column").select(F.col("src_id").alias("owner_id"), F.col("dst_id").alias("id"))
-    owned = owned.join(scores.select(F.col("id").alias("owner_id")).distinct(), "owner_id", "left_semi")
+    if not everything:
+        owned = owned.join(scores.select(F.col("id").alias("owner_id")), "owner_id", "left_semi")
     if columns is not None:
-        owned = owned.join(columns.select("id").distinct(), "id", "left_semi")
-    cols = column_context(store, owned)
-    about = aspects(store, "Table").withColumnRenamed("id", "table_id")
-    whole = placed_tables(store, scores).join(cols.withColumnRenamed("owner_id", "table_id"), "table_id").join(about, "table_id", "left").join(scores.withColumnRenamed("id", "table_id"), "table_id")
+        owned = owned.join(columns.select("id"), "id", "left_semi")
+    cols = column_context(store, owned, some=not everything)
+    about = aspects(store, "Table", None if everything else scores).withColumnRenamed("id", "table_id")
+    whole = placed_tables(store, None if everything else scores).join(cols.withColumnRenamed("owner_id", "table_id"), "table_id").join(about, "table_id", "left").join(scores.withColumnRenamed("id", "table_id"), "table_id")
     return whole.withColumn("aspects", F.coalesce("aspects", F.array().cast(_ASPECT))).withColumn("num_columns", F.size("columns"))
 
 
@@ -114,8 +139,7 @@ def list_tables_by_schema(store: GraphStore, schema_name: str) -> DataFrame:
 
 def full_metadata(store: GraphStore) -> DataFrame:
     """Every table with all its columns, by name."""
-    everything = store.nodes("Table").select("id")
-    return table_context(store, everything).orderBy("table_name", "table_id")
+    return table_context(store, None).orderBy("table_name", "table_id")
 
 
 def _datasets(store: GraphStore) -> DataFrame:
@@ -159,9 +183,9 @@ def metric_context(store: GraphStore, scores: DataFrame, *, domain: str | None =
     if domain is not None:
         owner = owner.filter(F.col("src_id") == ids.model_id(F.lit(domain)))
     owner = owner.select(F.col("dst_id").alias("id"), "domain_name")
-    synonyms = collected(store.edges("Metric-TAGGED_WITH-BusinessTerm"), store.nodes("BusinessTerm"), F.col("name"), "synonyms")
+    synonyms = collected(_of(store.edges("Metric-TAGGED_WITH-BusinessTerm"), scores), store.nodes("BusinessTerm"), F.col("name"), "synonyms")
     found = scores.join(store.nodes("Metric").select("id", F.col("name").alias("metric_name"), F.col("description").alias("metric_description")), "id").join(owner, "id")
-    for part in (expressions(store, "Metric"), synonyms, aspects(store, "Metric")):
+    for part in (expressions(store, "Metric", scores), synonyms, aspects(store, "Metric", scores)):
         found = found.join(part, "id", "left")
     rest = [c for c in scores.columns if c != "id"]
     return found.select(F.col("id").alias("metric_id"), "metric_name", "metric_description", "domain_name", _empty("expressions", _EXPRESSION), _empty("synonyms", "array<string>"), _empty("aspects", _ASPECT), *rest)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaloom.errors import ConfigError
-from schemaloom.functions.text import bm25, sanitize_text
+from schemaloom.functions.text import bm25, bm25_from_postings, sanitize_text
 from schemaloom.functions.vector import cosine_to, unit_score
 from schemaloom.plans import context
 from schemaloom.store import GraphStore
@@ -26,6 +26,11 @@ def top(hits: DataFrame, n: int, *, score: str = "score", node: str = "id") -> D
     return hits.orderBy(F.desc(score), node).limit(n)
 
 
+def held(hits: DataFrame) -> DataFrame:
+    """Hits as a local table: a search is cut to some candidates, and what follows names them several times."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
 def vector_hits(nodes: DataFrame, query: list[float], k: int, *, node: str = "id", vector: str = "embedding", threshold: float = THRESHOLD, scale: str = "unit") -> DataFrame:
     """The k nearest, and of these the ones above the threshold (the cut comes first)."""
     similarity = cosine_to(vector, query)
@@ -107,20 +112,24 @@ class GraphSearch:
         return vector_hits(self.store.nodes(label), r.vector, k, scale=self.scale)
 
     def _text(self, label: str, r: Request, k: int) -> DataFrame:
-        return text_hits(self.store.nodes(label), r.text, k)
+        """By the stored index if the label has one, else by a pass over its texts."""
+        index = self.store.text_index(label)
+        if index is None:
+            return text_hits(self.store.nodes(label), r.text, k)
+        return top(bm25_from_postings(*index, sanitize_text(r.text) or "").withColumnRenamed("node", "id"), k)
 
     def hits(self, label: str, way: str, r: Request, k: int) -> DataFrame:
-        """(id, score) of nodes of the label by one of the four ways."""
+        """(id, score) of nodes of the label by one of the four ways; at most 2 k rows, found at once."""
         if way == "vector":
-            return self._vector(label, r, k)
+            return held(self._vector(label, r, k))
         if way == "text":
-            return self._text(label, r, k)
+            return held(self._text(label, r, k))
         if way == "hybrid":
-            return merged(by_maximum(self._vector(label, r, k)), by_maximum(self._text(label, r, k)))
+            return held(merged(by_maximum(self._vector(label, r, k)), by_maximum(self._text(label, r, k))))
         if way == "terms":
             tags = self.store.edges(f"{label}-TAGGED_WITH-BusinessTerm")
-            through = bridged(self._text(label, r, k), text_hits(self.store.nodes("BusinessTerm"), r.text, k), tags)
-            return merged(by_maximum(self._vector(label, r, k)), through)
+            through = bridged(held(self._text(label, r, k)), held(self._text("BusinessTerm", r, k)), tags)
+            return held(merged(by_maximum(self._vector(label, r, k)), through))
         raise ConfigError(f"unknown way of search {way!r}")
 
     def tables(self, way: str, r: Request) -> DataFrame:
@@ -136,7 +145,7 @@ class GraphSearch:
         """Tables of the columns found, by mean score, with the found columns only."""
         limit, k = self._sizes("Column", way, r)
         hits = self.hits("Column", way, r, k)
-        scores = rolled_up(hits, self.store.edges("Table-HAS_COLUMN-Column")).withColumnRenamed("score", "column_avg_score")
+        scores = held(rolled_up(hits, self.store.edges("Table-HAS_COLUMN-Column"))).withColumnRenamed("score", "column_avg_score")
         found = context.table_context(self.store, scores, columns=hits.select("id"))
         return found.orderBy(F.desc("column_avg_score"), "table_id").limit(limit)
 
@@ -145,7 +154,7 @@ class GraphSearch:
         limit, k = self._sizes("Schema", "vector", r)
         similarity = cosine_to("embedding", r.vector)
         score = unit_score(similarity) if self.scale == "unit" else similarity
-        near = within_parent(self._vector("Schema", r, k), self.store.edges("Schema-HAS_TABLE-Table"), self.store.nodes("Table"), score)
+        near = within_parent(held(self._vector("Schema", r, k)), self.store.edges("Schema-HAS_TABLE-Table"), self.store.nodes("Table"), score)
         found = context.table_context(self.store, near.select("id", F.col("score").alias("table_score"), F.col("parent_score").alias("schema_score")))
         return found.orderBy(F.desc("schema_score"), F.desc("table_score"), "table_id").limit(limit)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from schemaloom import evalkit, ids
 from schemaloom.functions import text as tx
+from schemaloom.materialize import shared_dir
 from schemaloom.operators import upsert
 from schemaloom.plans import context as cx
 from schemaloom.plans import search as se
@@ -202,7 +204,7 @@ def joblog_window_topn_then_drop_failed(spark, sf):
 
 @_query(f"SELECT table_id, count(*) AS n FROM ({_JOBS}) GROUP BY table_id")
 def joblog_unnest(spark, sf):
-    return _jobs(spark, sf).select(F.explode("referenced_tables").alias("t")).filter("t.dataset_id = 'main'").groupBy("t.table_id").agg(F.count("*").alias("n"))
+    return ql.referenced_tables(_jobs(spark, sf), "main").groupBy("t.table_id").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- catalogue and context
@@ -295,15 +297,14 @@ def metric_expression_filter(spark, sf):
 @_query("SELECT l_orderkey, unnest(list(l_partkey ORDER BY l_linenumber)) AS from_column, unnest(list(l_suppkey ORDER BY l_linenumber)) AS to_column FROM lineitem GROUP BY l_orderkey")
 def zip_join_columns(spark, sf):
     rows = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
-    pairs = F.arrays_zip(F.col("x.l_partkey").alias("from_column"), F.col("x.l_suppkey").alias("to_column"))
-    same = F.assert_true(F.size("x.l_partkey") == F.size("x.l_suppkey"))
-    return rows.select("l_orderkey", F.explode(pairs).alias("p"), same.alias("ok")).select("l_orderkey", "p.from_column", "p.to_column")
+    pairs = cx.paired("x.l_partkey", "x.l_suppkey", ("from_column", "to_column"))
+    return rows.select("l_orderkey", F.explode(pairs).alias("p")).select("l_orderkey", "p.from_column", "p.to_column")
 
 
 @_query("SELECT o_orderstatus, string_agg(DISTINCT CASE WHEN o_totalprice > 100000 THEN o_orderpriority END, ',' ORDER BY CASE WHEN o_totalprice > 100000 THEN o_orderpriority END) AS priorities FROM orders GROUP BY o_orderstatus")
 def collect_case_distinct(spark, sf):
-    some = F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority"))
-    return read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.nullif(F.array_join(F.sort_array(F.collect_set(some)), ","), F.lit("")).alias("priorities"))
+    some = cx.collected_if(F.col("o_totalprice") > 100000, F.col("o_orderpriority"))
+    return read(spark, sf, "orders").groupBy("o_orderstatus").agg(F.nullif(F.array_join(some, ","), F.lit("")).alias("priorities"))
 
 
 # ---------------------------------------------------------------- search
@@ -394,11 +395,11 @@ _PART_TEXT = "(SELECT p_partkey, p_name, p_type FROM part)"
 _ASK = "(SELECT list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+')) FROM part WHERE p_partkey = 1)"
 
 
-def _bm25_asked(table: str, key: str, fields: list[str]) -> str:
+def _bm25_asked(table: str, key: str, fields: list[str], ask: str = _ASK) -> str:
     """The same for a query that is itself a table's row: postings joined with the asked words."""
     post = " UNION ALL ".join(f"SELECT {key} AS id, {i} AS f, unnest({_words(f)}) AS w, len({_words(f)}) AS l FROM {table}" for i, f in enumerate(fields))
     stat = " UNION ALL ".join(f"SELECT {i} AS f, count({f}) AS n, avg(len({_words(f)})) AS m FROM {table}" for i, f in enumerate(fields))
-    return f"""(WITH post AS ({post}), tf AS (SELECT id, f, w, any_value(l) AS l, count(*) AS tf FROM post WHERE list_contains({_ASK}, w) GROUP BY id, f, w), df AS (SELECT f, w, count(*) AS df FROM tf GROUP BY f, w), st AS ({stat})
+    return f"""(WITH post AS ({post}), tf AS (SELECT id, f, w, any_value(l) AS l, count(*) AS tf FROM post WHERE list_contains({ask}, w) GROUP BY id, f, w), df AS (SELECT f, w, count(*) AS df FROM tf GROUP BY f, w), st AS ({stat})
 SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score FROM tf JOIN df USING (f, w) JOIN st USING (f) GROUP BY id)"""
 
 
@@ -443,6 +444,54 @@ def hybrid_term_bridge_rollup(spark, sf):
     return _flat(se.GraphSearch(catalog_graph(spark, sf)).tables_by_columns("terms", r), "column_avg_score")
 
 
+def _supplier_words(spark, sf) -> str:
+    """Words of the first supplier's name and the first part's type."""
+    return f"{read(spark, sf, 'supplier').filter('s_suppkey = 1').first().s_name} {read(spark, sf, 'part').filter('p_partkey = 1').first().p_type}"
+
+
+_ASK_TABLE = "(SELECT list_distinct(regexp_extract_all(lower(s_name || ' ' || p_type), '[a-z0-9]+')) FROM supplier, part WHERE s_suppkey = 1 AND p_partkey = 1)"
+_TABLE_TEXT = f"(SELECT id AS s, score FROM {_bm25_asked('(SELECT s_suppkey, s_name FROM supplier)', 's_suppkey', ['s_name'], _ASK_TABLE)} ORDER BY round(score, 9) DESC, 't' || id LIMIT 10)"
+_TABLE_VEC = f"(SELECT * FROM (SELECT s_suppkey AS s, score FROM ({_VEC}) JOIN supplier ON vec_id = s_suppkey ORDER BY score DESC, 't' || s_suppkey LIMIT 10) WHERE score > 0.5)"
+_TABLE_HYBRID = f"(SELECT s, max(score) AS score FROM (SELECT s, score / max(score) OVER () AS score FROM {_TABLE_VEC} UNION ALL SELECT s, score / max(score) OVER () FROM {_TABLE_TEXT}) GROUP BY s)"
+_TABLE_TERMS = f"(SELECT id AS b, score AS t FROM {_bm25_asked('(SELECT DISTINCT p_type FROM part)', 'p_type', ['p_type'], _ASK_TABLE)} ORDER BY round(score, 9) DESC, 'b' || id LIMIT 10)"
+_TABLE_BRIDGE = f"(SELECT s, max(score) AS score FROM (SELECT s, (score / max(score) OVER () + t / max(t) OVER ()) / 2 AS score FROM {_TABLE_TEXT} JOIN part ON s = p_partkey JOIN {_TABLE_TERMS} ON b = p_type) GROUP BY s)"
+_TABLE_BRIDGED = f"(SELECT s, max(score) AS score FROM (SELECT s, score / max(score) OVER () AS score FROM {_TABLE_VEC} UNION ALL SELECT s, score FROM {_TABLE_BRIDGE}) GROUP BY s)"
+
+
+def _tables_found(hits: str, cut: int) -> str:
+    """Tables found by themselves: the hits are cut before expansion, which drops tables without columns."""
+    return f"""WITH {_COLS}, h AS (SELECT * FROM {hits} ORDER BY score DESC, 't' || s LIMIT {cut})
+SELECT {_FLAT}, round(max(h.score), 6) AS table_score FROM h JOIN cols USING (s) JOIN tabs USING (s) GROUP BY s, s_name, n_name, r_name"""
+
+
+def _table_search(spark, sf, way: str) -> DataFrame:
+    r = se.Request(text=_supplier_words(spark, sf), vector=_probe(spark, sf))
+    return _flat(se.GraphSearch(catalog_graph(spark, sf)).tables(way, r), "table_score")
+
+
+@_query(_tables_found(_TABLE_TEXT, 10))
+def text_table(spark, sf):
+    return _table_search(spark, sf, "text")
+
+
+@_query(_tables_found(_TABLE_HYBRID, 5))
+def hybrid_table(spark, sf):
+    return _table_search(spark, sf, "hybrid")
+
+
+@_query(_tables_found(_TABLE_BRIDGED, 5))
+def hybrid_term_bridge_table(spark, sf):
+    return _table_search(spark, sf, "terms")
+
+
+@_query(_rolled(_COLUMN_TEXT))
+def text_index_rollup(spark, sf):
+    """The text search of a stored snapshot, which reads the postings of its words only."""
+    g = catalog_graph(spark, sf, path=f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}")
+    g.save()
+    return _flat(se.GraphSearch(g).tables_by_columns("text", se.Request(text=_part_words(spark, sf))), "column_avg_score")
+
+
 _METRIC = f"(SELECT c_custkey AS m, score FROM ({_VEC}) JOIN customer ON vec_id = c_custkey ORDER BY score DESC, 'm' || c_custkey LIMIT 40)"
 _OWNED = "JOIN customer ON m = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _METRIC_OUT = f"SELECT c_name AS metric_name, r_name AS domain_name, c_mktsegment AS synonyms, 'SUM(' || c_mktsegment || ')' AS expressions, round(score, 6) AS metric_score FROM {{0}} {_OWNED} WHERE r_name = 'ASIA' ORDER BY score DESC, 'm' || m LIMIT 10"

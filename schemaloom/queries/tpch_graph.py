@@ -1,7 +1,8 @@
 """The driver's tables read as a metadata graph.
 
 Regions are databases, nations schemas, suppliers tables, parts columns (each of its
-smallest supplier), quantities example values, part types business terms.  Two
+smallest supplier), quantities example values, part types business terms.  A table has
+the term of the part with its own key.  Two
 parts refer to each other as the smallest and largest part of an order.
 Embeddings belong to the nation, supplier or part whose key is the vector's id.
 """
@@ -22,11 +23,11 @@ def _key(prefix: str, c: str):
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-def catalog_graph(spark: SparkSession, sf: str) -> GraphStore:
+def catalog_graph(spark: SparkSession, sf: str, path: str | None = None) -> GraphStore:
     region, nation, supplier, part, lineitem = (read(spark, sf, t) for t in ("region", "nation", "supplier", "part", "lineitem"))
     vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
     with_vector = lambda df, key: df.join(vectors, F.col(key) == F.col("vec_id"), "left")
-    g = GraphStore(spark)
+    g = GraphStore(spark, path)
     g.upsert_nodes("Database", region.select(_key("d", "r_regionkey").alias("id"), F.col("r_name").alias("name")))
     g.upsert_nodes("Schema", with_vector(nation, "n_nationkey").select(_key("s", "n_nationkey").alias("id"), F.col("n_name").alias("name"), "embedding"))
     g.upsert_nodes("Table", with_vector(supplier, "s_suppkey").select(_key("t", "s_suppkey").alias("id"), F.col("s_name").alias("name"), "embedding"))
@@ -45,6 +46,8 @@ def catalog_graph(spark: SparkSession, sf: str) -> GraphStore:
     g.upsert_edges("Column-REFERENCES-Column", ends.select(_key("c", "a").alias("src_id"), _key("c", "b").alias("dst_id")).distinct())
     g.upsert_edges("Column-HAS_VALUE-Value", lineitem.select(_key("c", "l_partkey").alias("src_id"), F.concat(F.lit("v"), quantity).alias("dst_id")).distinct())
     g.upsert_edges("Column-TAGGED_WITH-BusinessTerm", part.select(_key("c", "p_partkey").alias("src_id"), F.concat(F.lit("b"), F.col("p_type")).alias("dst_id")))
+    first = supplier.join(part, F.col("s_suppkey") == F.col("p_partkey"))
+    g.upsert_edges("Table-TAGGED_WITH-BusinessTerm", first.select(_key("t", "s_suppkey").alias("src_id"), F.concat(F.lit("b"), F.col("p_type")).alias("dst_id")))
     return g
 
 

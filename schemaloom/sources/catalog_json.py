@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.errors import ConfigError
@@ -30,6 +30,12 @@ def database_of_url(url: str) -> str:
     return name
 
 
+def url_database(url: Column | str) -> Column:
+    """The same as a column; NULL where the URL names no database."""
+    c = F.col(url) if isinstance(url, str) else url
+    return F.nullif(F.regexp_extract(c, r"^[^?;]*/([^/?;:]+)/*(?:[?;].*)?$", 1), F.lit(""))
+
+
 def relational_catalog(spark: SparkSession, path: str, database: str, *, schemas: list[str] | None = None, platform: str | None = None, service: str | None = None) -> GraphBatch:
     """A crawled relational catalogue (one JSON document)."""
     doc = spark.read.schema(_RELATIONAL).option("multiLine", True).json(path)
@@ -53,20 +59,40 @@ def unity_pages(pages: DataFrame, page_id: str = "page_id", payload: str = "payl
     levels = flatten(pages, page_id, payload, wanted={"tables.columns"})
     if "tables" not in levels:
         return GraphBatch()
-    tables = levels["tables"].table(members={"database": "$.catalog_name", "schema": "$.schema_name", "table": "$.name", "description": "$.comment"}).filter("database is not null and schema is not null and table is not null")
+    tables = levels["tables"].table(members={"database": ("catalog_name",), "schema": ("schema_name",), "table": ("name",), "description": ("comment",)}).filter("database is not null and schema is not null and table is not null")
     frames = {"database": tables.select("database").distinct(), "schema": tables.select("database", "schema").distinct(), "table": tables}
     if "tables.columns" in levels:
-        members = {"column": "$.name", "type": "$.type_text", "nullable": "$.nullable", "description": "$.comment"}
+        members = {"column": ("name",), "type": ("type_text",), "nullable": ("nullable",), "description": ("comment",)}
         cols = levels["tables.columns"].table(members=members).filter("column <> ''")
-        frames["column"] = cols.join(tables.select(page_id, "pos_0", "database", "schema", "table"), [page_id, "pos_0"]).withColumn("nullable", F.col("nullable").cast("boolean"))
+        frames["column"] = cols.drop(page_id).join(tables.select("row_key", "pos_0", "database", "schema", "table"), ["row_key", "pos_0"]).withColumn("nullable", F.col("nullable").cast("boolean"))
     return hierarchy_batch(frames)
 
 
+def aspect_entries(entries: DataFrame) -> DataFrame:
+    """Rows for :func:`entry_catalog` of catalogue entries with their aspects.
+
+    ``entries`` has (project_id, dataset_id, table_id, description, system, platform, aspects map<string,string>),
+    the aspects as JSON texts by key.  Keys are matched by the part that names the kind: the fields come from
+    the aspects whose key holds ``schema``, in order of key, the resource name from the last whose key holds ``storage``.
+    """
+    of = lambda kind: F.array_sort(F.filter(F.map_entries("aspects"), lambda e: F.contains(e["key"], F.lit(kind)) & e["value"].isNotNull()))
+    field = "array<struct<name:string,dataType:string,metadataType:string,mode:string,description:string>>"
+    fields = F.flatten(F.transform(of("schema"), lambda e: F.coalesce(F.from_json(e["value"], f"struct<fields:{field}>")["fields"], F.array().cast(field))))
+    storage = F.transform(of("storage"), lambda e: F.get_json_object(e["value"], "$.resourceName"))
+    return entries.select(
+        F.col("project_id").alias("database"), F.col("dataset_id").alias("schema"), F.col("table_id").alias("table"), "description",
+        F.transform(fields, lambda f: F.struct(f["name"].alias("name"), f["dataType"].alias("type"), f["mode"].alias("mode"), f["description"].alias("description"))).alias("fields"),
+        F.upper("platform").alias("platform"), F.upper("system").alias("service"), F.coalesce(F.try_element_at(storage, F.lit(-1)), F.lit("")).alias("resource_name"),
+    )
+
+
 def entry_catalog(entries: DataFrame) -> GraphBatch:
     """One row per table with its fields: (database, schema, table, description, fields array<struct<name,type,mode,description>>).
 
-    A field is nullable only if its mode says so.
+    A field is nullable only if its mode says so.  Entries with columns platform and service name these themselves.
     """
+    placed = ["platform", "service"] if {"platform", "service"} <= set(entries.columns) else []
+    fixed = {} if placed else {"platform": "GCP", "service": "BIGQUERY"}
     rows = entries.select("database", "schema", "table", "description", F.explode_outer("fields").alias("f"))
     cols = rows.filter("f.name is not null").select("database", "schema", "table", F.col("f.name").alias("column"), F.col("f.type").alias("type"), (F.upper("f.mode") == "NULLABLE").alias("nullable"), F.col("f.description").alias("description"))
-    return hierarchy_batch({"database": entries.select("database").distinct(), "schema": entries.select("database", "schema").distinct(), "table": entries.select("database", "schema", "table", "description").dropDuplicates(["database", "schema", "table"]), "column": cols}, platform="GCP", service="BIGQUERY")
+    return hierarchy_batch({"database": entries.select("database", *placed).distinct(), "schema": entries.select("database", "schema").distinct(), "table": entries.select("database", "schema", "table", "description").dropDuplicates(["database", "schema", "table"]), "column": cols}, **fixed)

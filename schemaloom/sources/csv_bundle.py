@@ -53,7 +53,8 @@ class CsvBundle:
     def _exists(self, path: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(p) and fs.getFileStatus(p).getLen() > 0
+        # an entity may also be a folder of part files
+        return fs.exists(p) and (fs.getFileStatus(p).isDirectory() or fs.getFileStatus(p).getLen() > 0)
 
     def frame(self, entity: str) -> DataFrame | None:
         """The file's rows; None if it is missing or empty; an error if a required column is."""

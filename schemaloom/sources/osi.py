@@ -15,21 +15,22 @@ from collections import defaultdict
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import ids
 from schemaloom.errors import ConfigError, ExtractionError, SchemaloomWarning
+from schemaloom.materialize import discard, materialize
 from schemaloom.operators.upsert import first_per_key
 from schemaloom.plans.context import aspect_type
 from schemaloom.schemas import EDGES, NODES
 from schemaloom.store import GraphBatch, GraphStore
 
-# Glossary and category of synonyms, labels that synonyms may tag, versions known.
+# Glossary and category of synonyms, labels that synonyms may tag, versions known, what a name in a source may be.
 SYNONYMS = ("osi", "synonyms")
 TAGGED = ("Schema", "Table", "Column", "Metric")
 VERSIONS = ("0.1.1", "0.2.0", "0.2.0.dev0")
-_NAME = re.compile(r"^[A-Za-z_][\w$-]*$")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 def _n(name: str) -> str:
@@ -64,11 +65,11 @@ def check_version(doc: dict[str, Any], wanted: str | None = None) -> None:
 
 
 def classify(source: str) -> tuple[str, str, str] | None:
-    """(database, schema, table) of a table source, None for a query; shorter names are an error."""
+    """(database, schema, table) of a table source, None for a query; names of one or two parts are an error."""
     if not source:
         raise ConfigError("a dataset has no source")
     parts = source.split(".")
-    if all(_NAME.match(p) for p in parts):
+    if all(_NAME.fullmatch(p) for p in parts):
         if len(parts) == 3:
             return parts[0], parts[1], parts[2]
         if len(parts) < 3:
@@ -76,6 +77,14 @@ def classify(source: str) -> tuple[str, str, str] | None:
     return None
 
 
+def source_kind(source: Column | str) -> Column:
+    """``table``, ``query`` or ``error`` as :func:`classify` decides, for many sources at once."""
+    c = F.col(source) if isinstance(source, str) else source
+    names = c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$") & ~F.contains(c, F.lit("\n"))
+    parts = F.size(F.split(c, r"\."))
+    return F.when(c.isNull() | (c == "") | (names & (parts < 3)), "error").when(names & (parts == 3), "table").otherwise("query")
+
+
 class _Rows:
     """Collects the rows of a document by label and edge kind."""
 
@@ -186,7 +195,7 @@ def model_batch(spark: SparkSession, doc: dict[str, Any]) -> GraphBatch:
     rows = _Rows()
     for model in doc.get("semantic_model") or []:
         _model_rows(rows, model, str(doc.get("version", "")))
-    batch = GraphBatch()
+    batch = GraphBatch(keys={"BusinessTerm": "name"})
     for label, found in rows.nodes.items():
         schema = NODES[label].schema
         df = spark.createDataFrame([tuple(f.get(c) for c in schema.names) for f in found], schema).withColumn("seq_", F.monotonically_increasing_id())
@@ -197,10 +206,23 @@ def model_batch(spark: SparkSession, doc: dict[str, Any]) -> GraphBatch:
     return batch
 
 
-def _by_source(store: GraphStore, kinds: list[str], label: str, record) -> dict[str, list]:
+def _members(store: GraphStore, model_id: str) -> DataFrame:
+    """(id) of everything that belongs to a model: itself, its datasets, their columns, its metrics and joins."""
+    of = lambda kind, src, as_: store.edges(kind).join(src.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias(as_))
+    me = store.nodes("Domain").filter(F.col("id") == model_id).select("id")
+    sets = of("Domain-HAS_TABLE-Table", me, "id").unionByName(of("Domain-HAS_QUERY-Query", me, "id"))
+    columns = of("Table-HAS_COLUMN-Column", sets, "id").unionByName(of("Query-USES_COLUMN-Column", sets, "id"))
+    ends = store.edges("Join-HAS_SOURCE_TABLE-Table").unionByName(store.edges("Join-HAS_SOURCE_TABLE-Query"))
+    joins = ends.join(sets.select(F.col("id").alias("dst_id")), "dst_id", "left_semi").select(F.col("src_id").alias("id"))
+    whole = reduce(lambda a, b: a.unionByName(b), [me, sets, columns, of("Domain-HAS_METRIC-Metric", me, "id"), joins]).distinct()
+    return materialize(whole, "members")
+
+
+def _by_source(store: GraphStore, members: DataFrame, kinds: list[str], label: str, record) -> dict[str, list]:
     """Children of a model's nodes on the driver; a model is a document's size."""
     out: dict[str, list] = defaultdict(list)
     edges = reduce(lambda a, b: a.unionByName(b), [store.edges(k).select("src_id", "dst_id") for k in kinds])
+    edges = edges.join(members.select(F.col("id").alias("src_id")), "src_id", "left_semi")
     for r in edges.join(store.nodes(label), F.col("dst_id") == F.col("id")).select("src_id", "id", *record).collect():
         out[r.src_id].append(r)
     return {k: sorted(v, key=lambda r: r.id) for k, v in out.items()}
@@ -211,9 +233,10 @@ def export(store: GraphStore, model: str) -> dict[str, Any]:
     d = store.nodes("Domain").filter(F.col("id") == ids.model_id(F.lit(model))).first()
     if d is None:
         raise ConfigError(f"no model {model!r}")
-    aspect = _by_source(store, [k for k in EDGES if k.endswith("HAS_ASPECT-Aspect")], "Aspect", [aspect_type("labels").alias("kind"), "data", "vendor_name"])
-    spoken = _by_source(store, ["Column-HAS_EXPRESSION-Expression", "Metric-HAS_EXPRESSION-Expression"], "Expression", ["dialect", "expression"])
-    fields = _by_source(store, ["Table-HAS_COLUMN-Column", "Query-USES_COLUMN-Column"], "Column", ["name", "description", "label", "is_time_dimension"])
+    members = _members(store, d.id)
+    aspect = _by_source(store, members, [k for k in EDGES if k.endswith("HAS_ASPECT-Aspect")], "Aspect", [aspect_type("labels").alias("kind"), "data", "vendor_name"])
+    spoken = _by_source(store, members, ["Column-HAS_EXPRESSION-Expression", "Metric-HAS_EXPRESSION-Expression"], "Expression", ["dialect", "expression"])
+    fields = _by_source(store, members, ["Table-HAS_COLUMN-Column", "Query-USES_COLUMN-Column"], "Column", ["name", "description", "label", "is_time_dimension"])
 
     def put(out: dict[str, Any], key: str, value: Any) -> None:
         if value not in (None, "", [], {}):
@@ -237,8 +260,8 @@ def export(store: GraphStore, model: str) -> dict[str, Any]:
     m: dict[str, Any] = {"name": d.name}
     put(m, "description", d.description)
     context_of(m, d.id)
-    t = _by_source(store, ["Domain-HAS_TABLE-Table"], "Table", ["name", "description", "source", "primary_key", "unique_keys"]).get(d.id, [])
-    q = _by_source(store, ["Domain-HAS_QUERY-Query"], "Query", ["name", "description", F.col("content").alias("source"), F.lit(None).alias("primary_key"), F.lit(None).alias("unique_keys")]).get(d.id, [])
+    t = _by_source(store, members, ["Domain-HAS_TABLE-Table"], "Table", ["name", "description", "source", "primary_key", "unique_keys"]).get(d.id, [])
+    q = _by_source(store, members, ["Domain-HAS_QUERY-Query"], "Query", ["name", "description", F.col("content").alias("source"), F.lit(None).alias("primary_key"), F.lit(None).alias("unique_keys")]).get(d.id, [])
     m["datasets"] = []
     names = {}
     for s in sorted([*t, *q], key=lambda r: r.name):
@@ -265,10 +288,10 @@ def export(store: GraphStore, model: str) -> dict[str, Any]:
         m["datasets"].append(out)
     both = reduce(lambda a, b: a.unionByName(b), [store.edges(f"Join-{k}-{t}").withColumn("kind", F.lit(k)) for k in ("HAS_SOURCE_TABLE", "HAS_TARGET_TABLE") for t in ("Table", "Query")])
     ends: dict[str, dict[str, str]] = {"HAS_SOURCE_TABLE": {}, "HAS_TARGET_TABLE": {}}
-    for r in both.collect():
+    for r in both.join(members.select(F.col("id").alias("src_id")), "src_id", "left_semi").collect():
         ends[r.kind][r.src_id] = r.dst_id
     rels = []
-    for j in store.nodes("Join").orderBy("id").collect():
+    for j in store.nodes("Join").join(members, "id", "left_semi").orderBy("id").collect():
         if ends["HAS_SOURCE_TABLE"].get(j.id) in names:
             o = {"name": j.name, "from": names[ends["HAS_SOURCE_TABLE"][j.id]], "to": names.get(ends["HAS_TARGET_TABLE"].get(j.id)), "from_columns": j.from_columns or [], "to_columns": j.to_columns or []}
             context_of(o, j.id)
@@ -276,7 +299,7 @@ def export(store: GraphStore, model: str) -> dict[str, Any]:
             rels.append(o)
     put(m, "relationships", rels)
     metrics = []
-    for x in _by_source(store, ["Domain-HAS_METRIC-Metric"], "Metric", ["name", "description"]).get(d.id, []):
+    for x in _by_source(store, members, ["Domain-HAS_METRIC-Metric"], "Metric", ["name", "description"]).get(d.id, []):
         o = {"name": x.name}
         said(o, x.id)
         put(o, "description", x.description)
@@ -285,6 +308,7 @@ def export(store: GraphStore, model: str) -> dict[str, Any]:
         metrics.append(o)
     put(m, "metrics", metrics)
     extensions_of(m, d.id)
+    discard(members)
     return {"version": d.osi_version, "semantic_model": [m]} if d.osi_version else {"semantic_model": [m]}
 
 

@@ -15,12 +15,15 @@ jobQueryResponse:struct<job:struct<jobStatistics:struct<referencedTables:array<s
 QUERY_TYPES = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "CREATE_TABLE_AS_SELECT")
 
 
-def audit_file(spark: SparkSession, path: str, *, source: str = "bigquery") -> DataFrame:
-    """(project, query, tables) of a file of audit entries; entries without a query request are skipped."""
+def audit_file(spark: SparkSession, path: str, *, source: str = "bigquery", lines: bool = False) -> DataFrame:
+    """(project, query, tables) of a file of audit entries; entries without a query request are skipped.
+
+    A file is one JSON list, which one task reads; with ``lines`` it has an entry per line and is split.
+    """
     if source != "bigquery":
         raise ConfigError(f"unknown log source {source!r}")
     service = "protoPayload.serviceData"
-    rows = spark.read.schema(_ENTRY).option("multiLine", True).json(path).filter(F.col(f"{service}.jobQueryRequest").isNotNull())
+    rows = spark.read.schema(_ENTRY).option("multiLine", not lines).json(path).filter(F.col(f"{service}.jobQueryRequest").isNotNull())
     return rows.select(F.col(f"{service}.jobQueryRequest.projectId").alias("project"), F.col(f"{service}.jobQueryRequest.query").alias("query"), F.col(f"{service}.jobQueryResponse.job.jobStatistics.referencedTables").alias("tables"))
 
 
@@ -31,12 +34,17 @@ def time_range(column: str, start: dt.datetime | None, end: dt.datetime | None,
     return cond & (F.col(column) < F.lit(end)) if end is not None else cond
 
 
+def referenced_tables(jobs: DataFrame, dataset: str) -> DataFrame:
+    """One row per job and referenced table (``t``) of a dataset, its information schema apart."""
+    return jobs.withColumn("t", F.explode("referenced_tables")).filter((F.col("t.dataset_id") == dataset) & ~F.col("t.table_id").like("INFORMATION_SCHEMA.%"))
+
+
 def recent_jobs(jobs: DataFrame, *, dataset: str, time: str = "creation_time", start=None, end=None, now=None, limit: int = 100, drop_failed: bool = True) -> DataFrame:
     """One row per job and referenced table, the latest ``limit`` of them, failed jobs removed after the cut.
 
     ``jobs`` has (job_id, query, error, referenced_tables array<struct<dataset_id,table_id>>, time).
     """
-    rows = jobs.filter(time_range(time, start, end, now=now)).withColumn("t", F.explode("referenced_tables")).filter((F.col("t.dataset_id") == dataset) & ~F.col("t.table_id").like("INFORMATION_SCHEMA.%"))
+    rows = referenced_tables(jobs.filter(time_range(time, start, end, now=now)), dataset)
     cut = rows.orderBy(F.desc(time), "job_id", "t.table_id").limit(limit)
     return cut.filter(F.col("error").isNull()) if drop_failed else cut
 

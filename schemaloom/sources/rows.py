@@ -17,6 +17,11 @@ from schemaloom.store import GraphBatch
 LEVELS = (("Database", "database"), ("Schema", "schema"), ("Table", "table"), ("Column", "column"))
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """Numbers that are NaN become NULL, as missing values of frames that know no NULL."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+
+
 def level_id(df: DataFrame, depth: int) -> Column:
     """Id of the node at a depth: the frame's own ``*_id`` column, else from the names."""
     own = f"{LEVELS[depth][1]}_id"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.sources import infoschema as info
-from schemaloom.sources.rows import hierarchy_batch
+from schemaloom.sources.rows import hierarchy_batch, reference_edges, value_nodes
 from schemaloom.store import GraphBatch
 
 Read = Callable[[str], DataFrame]
@@ -25,7 +25,7 @@ def _samples(columns: DataFrame, service: str, table: Callable[[str], DataFrame]
     if table is None:
         return None
     by_table: dict[tuple, list[str]] = {}
-    for r in info.sampleable(columns, service, "type").select("database", "schema", "table", "column").collect():
+    for r in (info.sampleable(columns, service, "type") if service else columns).select("database", "schema", "table", "column").collect():
         by_table.setdefault((r.database, r.schema, r.table), []).append(r["column"])
     out = None
     for (db, schema, name), cols in by_table.items():
@@ -85,10 +85,26 @@ def databricks(read: Read, catalog: str, schema: str, *, table: Callable[[str],
     return info.schema_batch(schemas, tables, columns, refs, _samples(columns, "databricks", table, n), platform="DATABRICKS", service="UNITY_CATALOG")
 
 
-def jdbc(read: Read, database: str, schemas: list[str] | None = None, *, platform: str | None = None, service: str | None = None) -> GraphBatch:
-    """The plain information schema of any database."""
+def jdbc(read: Read, database: str, schemas: list[str] | None = None, *, table: Callable[[str], DataFrame] | None = None, n: int = 10, platform: str | None = None, service: str | None = None) -> GraphBatch:
+    """The standard information schema of any database: keys from constraint types, references paired by position."""
     keep = (lambda df: df if schemas is None else df.filter(F.col("table_schema").isin(schemas)))
     name = [F.lit(database).alias("database"), F.col("table_schema").alias("schema"), F.col("table_name").alias("table")]
     tables = keep(read("tables")).select(*name)
-    columns = keep(read("columns")).select(*name, F.col("column_name").alias("column"), F.col("data_type").alias("type"), info.nullable_flag().alias("nullable"))
-    return hierarchy_batch({"database": tables.select("database").distinct(), "schema": tables.select("database", "schema").distinct(), "table": tables, "column": columns}, platform=platform, service=service)
+    at = ["table_schema", "table_name", "column_name"]
+    usage = keep(read("key_column_usage"))
+    constraints = read("table_constraints").select("constraint_schema", "constraint_name", "constraint_type")
+    cols = info.typed_flags(keep(read("columns")), usage, constraints, at, ["constraint_schema", "constraint_name"])
+    columns = cols.select(*name, F.col("column_name").alias("column"), F.col("data_type").alias("type"), info.nullable_flag().alias("nullable"), "is_primary_key", "is_foreign_key")
+    end = lambda s: [F.lit(database).alias(f"{s}_database"), *[F.col(c).alias(f"{s}_{p}") for p, c in zip(("schema", "table", "column"), at, strict=True)]]
+    key = F.concat_ws(".", "constraint_schema", "constraint_name")
+    fk = usage.filter("position_in_unique_constraint is not null").select(key.alias("constraint_name"), F.col("position_in_unique_constraint").alias("position"), *end("source"))
+    pk = usage.select(key.alias("constraint_name"), F.col("ordinal_position").alias("position"), *end("target"))
+    unique = F.concat_ws(".", "unique_constraint_schema", "unique_constraint_name")
+    refs, _ = info.references_by_position(read("referential_constraints").select(key.alias("constraint_name"), unique.alias("unique_constraint_name")), fk, pk)
+    named = tables.select("database", "schema").distinct()
+    batch = hierarchy_batch({"database": tables.select("database").distinct(), "schema": named, "table": tables, "column": columns}, platform=platform, service=service)
+    batch.edges["Column-REFERENCES-Column"] = reference_edges(refs, criteria=False)
+    samples = _samples(columns, "", table, n)
+    if samples is not None:
+        batch.nodes["Value"], batch.edges["Column-HAS_VALUE-Value"] = value_nodes(samples)
+    return batch
