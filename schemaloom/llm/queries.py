@@ -168,7 +168,7 @@ FROM (SELECT source FROM mix_targets GROUP BY source HAVING sum(target_share) >
 """
 _P10_LINES = """
 WITH cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM cut),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM cut),
 units AS (SELECT *, trim(regexp_replace(lower(line), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS unit FROM placed),
 ranked AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(line_no) OVER w AS kept_line_no, row_number() OVER w AS k FROM units WHERE length(unit) >= 40 WINDOW w AS (PARTITION BY unit ORDER BY doc_id, line_no))
 SELECT doc_id, line_no, start, start + length(line) AS stop, kept_doc_id, kept_line_no FROM ranked WHERE k > 1
