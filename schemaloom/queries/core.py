@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested_rows(_read(spark, sf, "audit_log"), _read(spark, sf, "unity_pages"))
 
 
+def p1_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of :func:`p1_found` that SQL can check: types nest without bound, lists do not."""
+    return p1_found(spark, sf).filter("record_kind <> 'field'")
+
+
 def _references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """References and parents of both kinds under one key; a tag keeps columns and terms apart.
 
@@ -68,6 +73,24 @@ def p6_accepted(spark: SparkSession, sf: str) -> DataFrame:
     return accepted_messages(_read(spark, sf, "audit_log"))
 
 
+def _opened(text: str) -> str:
+    """JSON of a text, or of the text that it encodes."""
+    inner = f"json_extract_string({text}::JSON, '$')"
+    return f"(CASE WHEN NOT coalesce(json_valid({text}), false) THEN NULL WHEN json_type({text}::JSON) <> 'VARCHAR' THEN {text}::JSON WHEN json_valid({inner}) THEN {inner}::JSON END)"
+
+
+def _listed(source: str, keep: str, json: str) -> str:
+    """(keep, pos, e): the entries of the list, object or text ``json`` of every row of ``source``."""
+    text = "json_extract_string(j, '$')"
+    return f"""(SELECT {keep}, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT {keep}, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_type(j) = 'OBJECT' THEN [j] END AS l
+FROM (SELECT {keep}, CASE WHEN json_type(j) = 'VARCHAR' THEN {_opened(text)} ELSE j END AS j FROM (SELECT {keep}, {json} AS j FROM {source}))))"""
+
+
+_PAGES = _listed(f"(SELECT page_id, {_opened('payload')} AS p FROM unity_pages)", "page_id", "json_extract(p, '$.tables')")
+_PAGE_COLUMNS = _listed(f"(SELECT page_id, pos AS parent, e AS p FROM {_PAGES})", "page_id, parent", "json_extract(p, '$.columns')")
+_GRANTS = _listed(f"(SELECT delivery_id, {_opened('proto_payload')} AS p FROM audit_log)", "delivery_id", "json_extract(p, '$.authorizationInfo')")
+_P1_LISTS = f"""SELECT 'permission' AS record_kind, delivery_id AS record_id, -1 AS parent_pos, pos AS child_pos, json_extract_string(e, '$.permission') AS child_path FROM {_GRANTS} WHERE json_extract_string(e, '$.permission') <> ''
+UNION ALL SELECT 'column', page_id, parent, pos, json_extract_string(e, '$.name') FROM {_PAGE_COLUMNS} WHERE json_extract_string(e, '$.name') <> ''"""
 _NORM = "replace(replace(lower({0}), ' ', '_'), '-', '_')"
 _full = lambda side: " || '.' || ".join(_NORM.format(f"{side}{x}_name") for x in ("database", "schema", "table", "column"))
 _TERM = "to_json([glossary_name, category_name, array_to_string(list_sort(regexp_extract_all(lower(term_name), '[\\p{L}\\p{N}]+')), ' ')])"
@@ -106,13 +129,14 @@ SELECT link.id AS department_id, coalesce(e.root, t.root) AS root_department_id,
        CASE WHEN e.id IS NULL THEN t.path ELSE '' END AS full_path, counts.n AS n_descendants
 FROM link JOIN counts USING (id) LEFT JOIN endless e ON e.id = link.id LEFT JOIN tops t ON t.id = link.id
 """
+_P4_DESCENDANTS = _P4[: _P4.index("endless AS")].rstrip().rstrip(",").replace("met AS (SELECT DISTINCT id, node FROM climb)", "met AS (SELECT id, node, min(d) AS d FROM climb GROUP BY id, node)") + " SELECT node AS department_id, id AS descendant_id, d::INT AS distance FROM met WHERE id <> node"
 _KEPT = "SELECT log_name, insert_id, min(delivery_id) AS kept_id, count(*) AS copies FROM audit_log WHERE insert_id IS NOT NULL AND log_name IS NOT NULL GROUP BY ALL"
 _P6 = f"SELECT kept_id, delivery_id AS dropped_id FROM audit_log JOIN ({_KEPT}) USING (log_name, insert_id) WHERE delivery_id > kept_id"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p3_found, p3_counts, p4_found, p4_descendants, p6_found, p6_accepted)}
+    return {q.__name__: q for q in (p1_found, p1_lists, p3_found, p3_counts, p4_found, p4_descendants, p6_found, p6_accepted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p3_counts": _P3_COUNTS, "p4_found": _P4, "p6_found": _P6, "p6_accepted": _KEPT}
+    return {"p1_lists": _P1_LISTS, "p3_found": _P3, "p3_counts": _P3_COUNTS, "p4_found": _P4, "p4_descendants": _P4_DESCENDANTS, "p6_found": _P6, "p6_accepted": _KEPT}
