@@ -32,7 +32,7 @@ from schemaloom.materialize import discard, materialize
 MAX_DIGITS = 18
 BUCKET = 1 << 16
 #: Steps in which a whole table is walked.
-STEPS = 6
+STEPS = 3
 _SEQUENCE = rf"^((?s:.*?))([0-9]{{1,{MAX_DIGITS}}})$"
 RANGES = "log_name string, producer string, bucket bigint, lo bigint, hi bigint"
 SEEN = "log_name string, insert_id string"
@@ -108,8 +108,18 @@ class Acceptance:
     def __init__(self, spark: SparkSession):
         self._spark = spark
         self.decided: list[DataFrame] = []
-        self.ranges = spark.createDataFrame([], RANGES)
-        self._stored = False
+        self._ranges = spark.createDataFrame([], RANGES)
+        self._stored, self._new = False, None
+
+    @property
+    def ranges(self) -> DataFrame:
+        """The stored ranges, after merging in the numbers of the last batch."""
+        if self._new is not None:
+            merged = materialize(merge_ranges(self._ranges, self._new), "ranges")
+            if self._stored:
+                discard(self._ranges)
+            self._ranges, self._stored, self._new = merged, True, None
+        return self._ranges
 
     @property
     def seen(self) -> DataFrame:
@@ -122,10 +132,7 @@ class Acceptance:
     def accept(self, batch: DataFrame) -> DataFrame:
         """Decide one batch and store what it adds; its row of ``decided``."""
         decided = materialize(_known(_bucketed(batch), self.ranges, self.seen), "decided")
-        merged = materialize(merge_ranges(self.ranges, decided.filter("producer is not null and not known")), "ranges")
-        if self._stored:
-            discard(self.ranges)
-        self.ranges, self._stored = merged, True
+        self._new = decided.filter("producer is not null and not known")
         self.decided.append(decided)
         return decided
 
