@@ -43,7 +43,7 @@ LEAST_SAMPLE, SAMPLE, PER_CENTRE = 20_000, 400_000, 8
 CELL_ROWS = 160
 #: Bytes of all centres together.
 CENTRE_BYTES = 1 << 26
-PROBES = 32
+PROBES = 24
 BLOCK = 4096
 ETA = 3.0
 #: Numbers that share one code of four bits.
