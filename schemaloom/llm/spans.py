@@ -28,6 +28,8 @@ points; rows with equal document ids are one document; empty tables give no rows
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,39 +59,46 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _gram_hashes(points: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` characters from each place on (size a power of two); the last places are void."""
-    h = _mix((points.astype(np.uint64) + np.uint64(1)) * _M1)
-    m = 1
-    while m < size:
-        joined = _mix(h[:-m] * _M3 + h[m:])
-        h = np.concatenate([joined, h[len(joined) :]])
-        m *= 2
-    return h
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2**64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)]), np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)])
 
 
 def _prefix(points: np.ndarray, base: np.uint64 = _M1) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial sums and inverse powers, for digests of any stretch in two steps."""
     n = len(points)
-    power = np.cumprod(np.full(n + 1, base, np.uint64))
-    inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+    power, inverse = _powers(int(base), 1 << max(16, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_mix((points.astype(np.uint64) + np.uint64(7)) * _M3) * power[:n], out=sums[1:])
     return sums, inverse
 
 
+def _gram_hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` characters from each place on; the last places are void."""
+    sums, inverse = _prefix(points)
+    n = max(0, len(points) - size + 1)
+    out = np.full(len(points), ~np.uint64(0))
+    out[:n] = _mix((sums[size:] - sums[:n]) * inverse[:n])
+    return out
+
+
 def _digest(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     sums, inverse = prefix
     return _mix((sums[end] - sums[start]) * inverse[start]).view(np.int64)
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    s = 1
+    """Least of the ``w`` values from each place on; the last places are void."""
+    least, s = v[: len(v)], 1
     while 2 * s <= w:
-        v = np.concatenate([np.minimum(v[:-s], v[s:]), v[len(v) - s :]])
+        least = np.minimum(least[:-s], least[s:])
         s *= 2
-    r = w - s
-    return np.concatenate([np.minimum(v[:-r], v[r:]), v[len(v) - r :]]) if r else v
+    if r := w - s:
+        least = np.minimum(least[:-r], least[r:])
+    out = v.copy()
+    out[: len(least)] = least
+    return out
 
 
 def stretches(lengths: np.ndarray, length: int) -> list[list[tuple[int, int, int]]]:
