@@ -21,10 +21,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from schemaloom.materialize import materialize
+from schemaloom.materialize import counted, materialize
 
 #: Most items of a basket row; wider baskets become several pieces.
 PIECE = 256
@@ -33,12 +32,24 @@ BLOCK_PAIRS = 1_500_000
 
 
 def baskets(df: DataFrame, record: str, item: str) -> DataFrame:
-    """(record, pieces, piece, items): each record's distinct items as sorted hashes, cut into pieces."""
-    rows = df.select(F.col(record).cast("string").alias("record"), F.xxhash64(F.col(item)).alias("h"), F.col(item).isNotNull().alias("ok"))
-    pairs = rows.filter("ok and record is not null").select("record", "h").distinct()
-    width = F.count("*").over(Window.partitionBy("record"))
-    cut = pairs.withColumn("pieces", F.ceil(width / PIECE).cast("int")).withColumn("piece", F.pmod("h", "pieces").cast("int"))
-    return cut.groupBy("record", "pieces", "piece").agg(F.array_sort(F.collect_list("h")).alias("items"))
+    """(record, pieces, piece, items): each record's distinct items as sorted hashes, cut into pieces.
+
+    Records of more than ``PIECE`` rows are set apart first, by counts that aggregate before their shuffle; the
+    others are then gathered with one shuffle, and no task holds a wide one whole.
+    """
+    rows = df.filter(F.col(item).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("string").alias("record"), F.xxhash64(F.col(item)).alias("h"))
+    wide, n = counted(rows.groupBy("record").count().filter(F.col("count") > PIECE).select("record"), "wide")
+    narrow = rows if not n else rows.join(wide, "record", "left_anti")
+    items = F.array_sort(F.collect_list("h")).alias("items")
+    whole = narrow.repartition("record").distinct().groupBy("record").agg(items)
+    out = whole.select("record", F.lit(1).alias("pieces"), F.lit(0).alias("piece"), "items")
+    if not n:
+        return out
+    # both sides of either join lie in files or are plain shuffles, so a record with a third of all rows is split
+    pairs = materialize(rows.join(wide, "record", "left_semi").distinct(), "wide-pairs")
+    widths = materialize(pairs.groupBy("record").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")), "widths")
+    cut = pairs.join(widths, "record").withColumn("piece", F.pmod("h", "pieces").cast("int"))
+    return out.unionByName(cut.groupBy("record", "pieces", "piece").agg(items))
 
 
 def _sum_block(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
