@@ -28,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.materialize import discard, materialize
+from schemaloom.materialize import counted, discard, materialize
 
 #: A round of peeling that takes less than this share of the nodes left is the last.
-LEAST_SHARE = 0.25
+LEAST_SHARE = 0.4
 _PLACED = "id string, parent string, root string, depth int, path string, size bigint"
 _PAIRS = "ancestor string, descendant string, distance int"
 
@@ -45,15 +45,30 @@ def latest_links(df: DataFrame, node: str, parent: str, time: str) -> DataFrame:
     return best.join(known, F.col("p") == F.col("k"), "left").select("id", F.col("k").alias("parent"))
 
 
-def _leaves(rest: DataFrame, left: int, least_share: float) -> DataFrame | None:
-    """The nodes without remaining children, or None if they are too few for another round."""
+def _leaves(rest: DataFrame, left: int, least_share: float) -> tuple[DataFrame | None, int]:
+    """The nodes without remaining children and how many are left then; None if they are too few for another round."""
     parents = rest.select(F.col("parent").alias("id")).filter("id is not null").distinct()
-    leaves = materialize(rest.join(parents, "id", "left_anti"), "leaves")
-    n = leaves.count()
+    leaves, n = counted(rest.join(parents, "id", "left_anti"), "leaves")
     if n and n >= least_share * left:
-        return leaves
+        return leaves, left - n
     discard(leaves)
-    return None
+    return None, left
+
+
+def _doubled_climb(step: DataFrame) -> DataFrame:
+    """Twice as far a look of every node of ``step`` (id, far, low); those whose climb ends on the way fall out."""
+    other = step.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("low").alias("low2"))
+    return step.join(other, F.col("far") == F.col("k")).select("id", F.col("far2").alias("far"), F.least("low", "low2").alias("low"))
+
+
+def _doubled_forest(node: DataFrame) -> DataFrame:
+    """Twice as far a look of every node that has not seen its root; each adds what it holds to the node it saw."""
+    sums = node.filter("far is not null").groupBy(F.col("far").alias("s")).agg(F.sum("size").alias("more"))
+    other = node.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+    seen = node.join(other, F.col("far") == F.col("k"), "left").join(sums, F.col("id") == F.col("s"), "left")
+    return seen.select(
+        "id", "parent", F.col("far2").alias("far"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.concat_ws("/", "path2", "path").alias("path"), F.coalesce("top", "top2").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
+    )
 
 
 def _circles(rest: DataFrame) -> DataFrame | None:
@@ -62,18 +77,19 @@ def _circles(rest: DataFrame) -> DataFrame | None:
     While any climb that ends has not ended, a round loses rows; afterwards the nodes seen
     are a shrinking set, which stays the same once only members are left in it.
     """
-    step = materialize(rest.filter("parent is not null").select("id", F.col("parent").alias("far"), F.least("id", "parent").alias("low")), "climb")
-    before = None
-    while True:
-        now = tuple(step.agg(F.count("*"), F.count_distinct("far"), F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first())
-        if not now[0]:
-            return None
-        if now == before:
-            break
-        before = now
-        other = step.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("low").alias("low2"))
-        old, step = step, materialize(step.join(other, F.col("far") == F.col("k")).select("id", F.col("far2").alias("far"), F.least("low", "low2").alias("low")), "climb")
+    step, left = counted(_doubled_climb(rest.filter("parent is not null").select("id", F.col("parent").alias("far"), F.least("id", "parent").alias("low"))), "climb")
+    count, before = None, None
+    while left:
+        if left == count:
+            now = tuple(step.agg(F.count_distinct("far"), F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        old, count = step, left
+        step, left = counted(_doubled_climb(_doubled_climb(step)), "climb")
         discard(old)
+    if not left:
+        return None
     members = step.select(F.col("far").alias("id")).distinct()
     return materialize(step.select("id", "low").join(members, "id", "left_semi"), "circles")
 
@@ -88,18 +104,12 @@ def _place_rest(rest: DataFrame) -> DataFrame:
     node = rest.select("id", "parent", far.alias("far"), "size", F.col("id").alias("path")).withColumns({"top": F.when(F.col("far").isNull(), F.col("id")), "depth": F.col("far").isNotNull().cast("int")})
     node = materialize(node, "forest")
     while not node.filter("far is not null").isEmpty():
-        sums = node.filter("far is not null").groupBy(F.col("far").alias("s")).agg(F.sum("size").alias("more"))
-        other = node.select(F.col("id").alias("k"), F.col("far").alias("far2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
-        seen = node.join(other, F.col("far") == F.col("k"), "left").join(sums, F.col("id") == F.col("s"), "left")
-        further = seen.select(
-            "id", "parent", F.col("far2").alias("far"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.concat_ws("/", "path2", "path").alias("path"), F.coalesce("top", "top2").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-        )
-        old, node = node, materialize(further, "forest")
+        old, node = node, materialize(_doubled_forest(node), "forest")
         discard(old)
     if circles is None:
         return node.select("id", "parent", F.col("top").alias("root"), "depth", "path", "size")
     whole = circles.join(node.select("id", "size"), "id").groupBy("low").agg(F.sum("size").alias("all"))
-    ends = materialize(circles.join(whole, "low").select(F.col("id").alias("end"), "low", "all"), "circles")
+    ends = circles.join(whole, "low").select(F.col("id").alias("end"), "low", "all")
     endless = F.col("end").isNotNull()
     return node.join(ends, F.col("top") == F.col("end"), "left").select(
         "id",
@@ -113,16 +123,17 @@ def _place_rest(rest: DataFrame) -> DataFrame:
 
 def hierarchy(links: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per node of ``links`` (id, parent): id, parent, root, depth, path, size (itself included)."""
-    rest = materialize(links.select("id", "parent", F.lit(1).cast("bigint").alias("size")), "links")
+    rest, left = counted(links.select("id", "parent", F.lit(1).cast("bigint").alias("size")), "links")
     peeled: list[DataFrame] = []
-    left = rest.count()
-    while left and (leaves := _leaves(rest, left, least_share)) is not None:
+    while left:
+        leaves, left = _leaves(rest, left, least_share)
+        if leaves is None:
+            break
         sums = leaves.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("more"))
         smaller = rest.join(leaves.select("id"), "id", "left_anti").join(sums, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         old, rest = rest, materialize(smaller, "rest")
         discard(old)
         peeled.append(leaves)
-        left = rest.count()
     placed = materialize(_place_rest(rest), "placed") if left else links.sparkSession.createDataFrame([], _PLACED)
     for leaves in reversed(peeled):
         above = placed.select(F.col("id").alias("k"), "root", "depth", "path")
@@ -143,16 +154,17 @@ def hierarchy(links: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFram
 def _pairs_of_rest(rest: DataFrame) -> DataFrame:
     """The pairs among all nodes of ``rest`` (id, parent), circles included, by doubling how far each looks."""
     step = materialize(rest.filter("parent is not null").select("id", F.col("parent").alias("far")), "climb")
-    met = materialize(rest.select("id", F.col("id").alias("other"), F.lit(0).alias("distance")), "met")
-    length, before, count = 1, None, met.count()
+    met, count = counted(rest.select("id", F.col("id").alias("other"), F.lit(0).alias("distance")), "met")
+    length, before = 1, None
     while count != before:
         further = step.join(met.withColumnRenamed("id", "far"), "far").select("id", "other", (F.col("distance") + length).alias("distance"))
         # a climb through a circle meets a node again, the shortest way counts
-        old, met = met, materialize(met.unionByName(further).groupBy("id", "other").agg(F.min("distance").alias("distance")), "met")
+        old, before = met, count
+        met, count = counted(met.unionByName(further).groupBy("id", "other").agg(F.min("distance").alias("distance")), "met")
         discard(old)
         old, step = step, materialize(step.join(step.select(F.col("id").alias("far"), F.col("far").alias("far2")), "far").select("id", F.col("far2").alias("far")), "climb")
         discard(old)
-        before, count, length = count, met.count(), length * 2
+        length *= 2
     return met.filter("id <> other").select(F.col("other").alias("ancestor"), F.col("id").alias("descendant"), F.col("distance").cast("int").alias("distance"))
 
 
@@ -163,11 +175,13 @@ def descendants(links: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFr
     are each other's, and what hangs below a circle is below each of its members.  Each
     round the leaves, whose pairs are then complete, send them to their parents.
     """
-    rest = materialize(links.select("id", "parent"), "links")
+    rest, left = counted(links.select("id", "parent"), "links")
     known = materialize(links.sparkSession.createDataFrame([], _PAIRS), "pairs")
     whole: list[DataFrame] = []
-    left = rest.count()
-    while left and (leaves := _leaves(rest, left, least_share)) is not None:
+    while left:
+        leaves, left = _leaves(rest, left, least_share)
+        if leaves is None:
+            break
         done = materialize(known.join(leaves.select(F.col("id").alias("ancestor"), "parent"), "ancestor"), "pairs")
         whole.append(done.drop("parent"))
         sent = done.select(F.col("parent").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
@@ -175,9 +189,8 @@ def descendants(links: DataFrame, *, least_share: float = LEAST_SHARE) -> DataFr
         open_ = known.join(leaves.select(F.col("id").alias("ancestor")), "ancestor", "left_anti")
         old, known = known, materialize(open_.unionByName(sent.filter("ancestor is not null")), "pairs")
         discard(old)
-        old, rest = rest, materialize(rest.join(leaves, "id", "left_anti"), "rest")
+        old, rest = rest, materialize(rest.join(leaves.select("id"), "id", "left_anti"), "rest")
         discard(old)
-        left = rest.count()
     inner = materialize(_pairs_of_rest(rest), "pairs")
     via = known.select(F.col("ancestor").alias("via"), F.col("descendant").alias("below"), F.col("distance").alias("first"))
     further = inner.join(via, F.col("descendant") == F.col("via")).select("ancestor", F.col("below").alias("descendant"), (F.col("distance") + F.col("first")).alias("distance"))
