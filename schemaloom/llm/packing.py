@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm.tokens import VOCABULARY, token_count
-from schemaloom.materialize import materialize
+from schemaloom.materialize import discard, materialize
 
 SHARD = 1000
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3, 5, 12, 2
@@ -160,15 +160,19 @@ def _islands(capacity: int, epoch: int):
 
 
 def _solve(items: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """Best packing per shard: (row, size, shard, bin, fill) of ``items`` (row, size)."""
+    """Best packing per shard, written: (row, size, shard, bin, fill) of ``items`` (row, size)."""
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)))
     whole = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("row", "size"))).alias("items"))
     state = whole.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.row").alias("rows"), F.col("items.size").cast("array<int>").alias("sizes"), F.array().cast("array<array<int>>").alias("packings"), F.lit(False).alias("done"))
     # a number of its own, since the rows are small and adaptive execution would put all islands into one task
     islands = shards * ISLANDS
     tasks = min(islands, max(items.sparkSession.sparkContext.defaultParallelism, islands // 40))
+    stored = None
     for epoch in range(EPOCHS):
-        state = materialize(state.repartition(tasks, "shard", "island").mapInPandas(_islands(capacity, epoch), _STATE), "islands")
+        before, stored = stored, materialize(state.repartition(tasks, "shard", "island").mapInPandas(_islands(capacity, epoch), _STATE), "islands")
+        if before is not None:
+            discard(before)
+        state = stored
         if epoch < EPOCHS - 1:
             elites = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.element_at("packings", 1).alias("elite"))
             settled = state.groupBy("shard").agg(F.max("done").alias("settled"))
@@ -179,7 +183,9 @@ def _solve(items: DataFrame, capacity: int, shards: int) -> DataFrame:
     chosen = state.groupBy("shard").agg(F.min_by(F.struct("rows", "sizes", best.alias("best")), rank).alias("b"))
     flat = chosen.select("shard", F.explode(F.arrays_zip(F.col("b.rows").alias("row"), F.col("b.sizes").alias("size"), F.col("b.best").alias("bin"))).alias("x")).select("shard", "x.row", "x.size", "x.bin")
     fills = flat.groupBy("shard", "bin").agg(F.sum("size").alias("fill"))
-    return flat.join(fills, ["shard", "bin"])
+    solved = materialize(flat.join(fills, ["shard", "bin"]), "packed")
+    discard(stored)
+    return solved
 
 
 def pack(items: DataFrame, capacity: int, *, shard: int = SHARD) -> DataFrame:
@@ -187,7 +193,7 @@ def pack(items: DataFrame, capacity: int, *, shard: int = SHARD) -> DataFrame:
     n, level, done = items.count(), 0, None
     while n:
         shards = max(1, -(-n // shard))
-        solved = materialize(_solve(items, capacity, shards), "packed")
+        solved = _solve(items, capacity, shards)
         numbered = solved.select("row", "size", (F.lit(level << 56) + F.col("shard") * (1 << 20) + F.col("bin")).cast("bigint").alias("container_id"), "fill")
         median = solved.groupBy("shard", "bin").agg(F.first("fill").alias("fill")).agg(F.percentile_approx("fill", 0.5)).first()[0]
         full = F.lit(shards == 1) | (F.col("fill") >= min(FULL * capacity, median))

@@ -317,6 +317,7 @@ def shared_ranges(documents: DataFrame, *, length: int = 160, doc_id: str = "doc
     per_doc = listed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "unit")).alias("units"))
     texts = only_listed(docs, listed.select("doc"), "doc").join(per_doc, "doc").select("doc", "text", "units")
     found = materialize(texts.mapInPandas(_segments(length), "anchor bigint, seg bigint, doc bigint, start bigint, n int, off int, text string"), "segments")
+    discard(listed)
     # grouped by the text itself, so that units are one kind only if they are equal
     kinds = found.groupBy("anchor", "seg", "n", "off", "text").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     found, kinds = _told_apart(found, materialize(kinds, "kinds"))
