@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import ids
@@ -113,13 +113,24 @@ def execution_match(a: DataFrame, b: DataFrame) -> DataFrame:
     return per.agg(F.coalesce(F.bool_and(F.col("x") == F.col("y")), F.lit(True)).alias("execution_match"), total("x").alias("generated_rows"), total("y").alias("gold_rows"), total(F.least("x", "y")).alias("shared_rows"))
 
 
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with the place ``n`` of each row in the order: places within a partition plus the rows of those before it."""
+    inner = F.monotonically_increasing_id()
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(inner, 33).alias("p_"), inner.bitwiseAND(F.lit((1 << 33) - 1)).alias("i_")), "ranged")
+    before, total = {}, 0
+    for r in ranged.groupBy("p_").count().orderBy("p_").collect():  # a row per partition
+        before[r["p_"]], total = total, total + r["count"]
+    starts = df.sparkSession.createDataFrame(list(before.items()), "p_ bigint, before_ bigint")
+    return ranged.join(F.broadcast(starts), "p_").withColumn("n", F.col("before_") + F.col("i_")).drop("p_", "i_", "before_")
+
+
 def positional_match(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
     """One row: the share of gold rows (``b``) equal to the row in the same place of ``a``.
 
-    Places are by the given order; a window over everything, for results of a size to look at.
+    Places are by the given order, in which both results are sorted over many tasks.
     """
-    place = lambda d, o: d.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*o)).alias("n"), F.array(*[F.col(f"`{c}`").cast("string") for c in d.columns]).alias("r"))
-    x, y = place(a, order_a), place(b, order_b).withColumnRenamed("r", "g")
+    row = lambda d: F.array(*[F.col(f"`{c}`").cast("string") for c in d.columns])
+    x, y = (_placed(d, o).select("n", row(d).alias(name)) for d, o, name in ((a, order_a, "r"), (b, order_b, "g")))
     hit = F.col("r").eqNullSafe(F.col("g"))
     return y.join(x, "n", "left").agg(F.count("*").alias("gold_rows"), F.count_if(hit).alias("matching_rows"), F.when(F.count("*") == 0, F.lit(1.0)).otherwise(F.count_if(hit) / F.count("*")).alias("row_match_pct"))
 

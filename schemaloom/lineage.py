@@ -65,14 +65,42 @@ def _seq(s) -> list:
     return [s.apply(i) for i in range(s.size())]
 
 
+class _Text:
+    """A text, the form of it that the parser reads, and the way back from places in that form."""
+
+    def __init__(self, text: str):
+        self.text = self.plain = text
+        # by character of the plain form, the characters of the text it stands for; None while they are the same
+        first: list[int] | None = None
+        last: list[int] | None = None
+        for pattern, put in _REWRITES:
+            if not (found := list(re.finditer(pattern, self.plain, flags=re.IGNORECASE))):
+                continue
+            if first is None:
+                first, last = list(range(len(text))), list(range(len(text)))
+            out, f, e, at = [], [], [], 0
+            for m in found:
+                a, b = m.span()
+                out += [self.plain[at:a], put]
+                f += first[at:a] + [first[a]] * len(put)
+                e += last[at:a] + [last[b - 1]] * len(put)
+                at = b
+            self.plain, first, last = "".join([*out, self.plain[at:]]), f + first[at:], e + last[at:]
+        self._first, self._last = first, last
+
+    def source(self, start: int, stop: int) -> str:
+        """The text behind the characters ``start`` to ``stop`` (inclusive) of the plain form; the parser counts code points."""
+        return self.text[start : stop + 1] if self._first is None else self.text[self._first[start] : self._last[stop] + 1]
+
+
 class _Walker:
-    def __init__(self, text: str, parsed: Parsed):
+    def __init__(self, text: _Text, parsed: Parsed):
         self.text, self.out = text, parsed
 
     def source(self, node) -> str:
         o = node.origin()
         if o.startIndex().isDefined() and o.stopIndex().isDefined():
-            return self.text[o.startIndex().get() : o.stopIndex().get() + 1]
+            return self.text.source(o.startIndex().get(), o.stopIndex().get())
         return ""
 
     def expression(self, e) -> None:
@@ -209,18 +237,16 @@ def _read_json(plan, walker: _Walker) -> None:
 
 def parse(spark: SparkSession, text: str, *, walk: bool = False) -> Parsed:
     """Raises what the parser raises.  ``walk`` reads every plan node by node, which is slower and gives the same."""
-    plain = text
-    for pattern, put in _REWRITES:
-        plain = re.sub(pattern, put, plain, flags=re.IGNORECASE)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(plain)
+    known = _Text(text)
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(known.plain)
     parsed = Parsed()
     try:
         if walk:
             raise _Unclear
-        _read_json(plan, _Walker(plain, parsed))
+        _read_json(plan, _Walker(known, parsed))
     except (_Unclear, KeyError, TypeError):
         parsed = Parsed()
-        _Walker(plain, parsed).plan(plan)
+        _Walker(known, parsed).plan(plan)
     return parsed
 
 

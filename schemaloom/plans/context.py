@@ -7,7 +7,7 @@ deterministic.  Ids of the wanted nodes restrict every join from the start.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemaloom import ids
@@ -62,11 +62,9 @@ def aspects(store: GraphStore, label: str, wanted: DataFrame | None = None) -> D
 
 
 def examples(values: DataFrame, n: int = 5) -> DataFrame:
-    """(id, examples): per column the n smallest distinct values; at most n rows per column are gathered."""
-    from pyspark.sql import Window
-
-    small = values.distinct().withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("value"))).filter(F.col("rn") <= n)
-    return small.groupBy("id").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+    """(id, examples): per column the n smallest distinct values; at most n of a column are gathered, and ranks are cut before the shuffle."""
+    small = values.select("id", "value").withColumn("rn", F.dense_rank().over(Window.partitionBy("id").orderBy("value"))).filter(F.col("rn") <= n)
+    return small.groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("examples"))
 
 
 def references(edges: DataFrame, columns: DataFrame, tables: DataFrame, has_column: DataFrame, *, directed: bool = False, wanted: DataFrame | None = None) -> DataFrame:

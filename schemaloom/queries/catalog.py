@@ -217,6 +217,16 @@ def tag_assignments(spark, sf):
     return governance.assignment_batch(links, "src", "Column").nodes["GovernanceTag"].select(F.col("id").alias("tag_id"))
 
 
+@_query(f"""WITH l AS (SELECT link_id, {_id()} AS c, {_id(depth=3)} AS t, column_name FROM column_term_info WHERE {_id()} IS NOT NULL)
+SELECT link_id, CASE WHEN link_id % 3 = 0 THEN t ELSE c END AS entity_id, CASE WHEN link_id % 3 = 0 THEN 'TABLE' ELSE 'COLUMN' END AS entity_type FROM l""")
+def glossary_links(spark, sf):
+    links = read(spark, sf, "column_term_info").filter(ids.column_id(*[f"{p}_name" for p in _PATH]).isNotNull())
+    entry = F.concat(F.lit("projects/1/locations/us/entryGroups/@bigquery/entries/bigquery.googleapis.com/projects/"), "database_name", F.lit("/datasets/"), "schema_name", F.lit("/tables/"), "table_name")
+    path = F.when(F.col("link_id") % 3 != 0, F.concat(F.lit("Schema."), "column_name"))
+    rows_ = governance.link_rows(links.select(entry.alias("entry_name"), path.alias("path"), F.col("link_id").alias("term_id")))
+    return rows_.withColumnRenamed("term_id", "link_id")
+
+
 @_query("SELECT 'p' || user_id AS project, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def audit_entries(spark, sf):
     request = F.when(F.col("event_type") != "error", F.struct(F.concat(F.lit("p"), "user_id").alias("projectId"), F.lit("SELECT 1").alias("query")))

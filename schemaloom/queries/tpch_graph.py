@@ -43,8 +43,8 @@ def catalog_graph(spark: SparkSession, sf: str, path: str | None = None) -> Grap
     owner = lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
     g.upsert_edges("Table-HAS_COLUMN-Column", owner.select(_key("t", "l_suppkey").alias("src_id"), _key("c", "l_partkey").alias("dst_id")))
     ends = lineitem.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).filter("a <> b")
-    g.upsert_edges("Column-REFERENCES-Column", ends.select(_key("c", "a").alias("src_id"), _key("c", "b").alias("dst_id")).distinct())
-    g.upsert_edges("Column-HAS_VALUE-Value", lineitem.select(_key("c", "l_partkey").alias("src_id"), F.concat(F.lit("v"), quantity).alias("dst_id")).distinct())
+    g.upsert_edges("Column-REFERENCES-Column", ends.select(_key("c", "a").alias("src_id"), _key("c", "b").alias("dst_id")))
+    g.upsert_edges("Column-HAS_VALUE-Value", lineitem.select(_key("c", "l_partkey").alias("src_id"), F.concat(F.lit("v"), quantity).alias("dst_id")))
     g.upsert_edges("Column-TAGGED_WITH-BusinessTerm", part.select(_key("c", "p_partkey").alias("src_id"), F.concat(F.lit("b"), F.col("p_type")).alias("dst_id")))
     first = supplier.join(part, F.col("s_suppkey") == F.col("p_partkey"))
     g.upsert_edges("Table-TAGGED_WITH-BusinessTerm", first.select(_key("t", "s_suppkey").alias("src_id"), F.concat(F.lit("b"), F.col("p_type")).alias("dst_id")))

@@ -89,6 +89,12 @@ def glossary_batch(terms: DataFrame, links: DataFrame | None = None) -> GraphBat
     return batch
 
 
+def link_rows(references: DataFrame) -> DataFrame:
+    """(entity_id, entity_type, term_id), as :func:`glossary_batch` takes them, of references (entry_name, path, term_id)."""
+    entity, kind = linked_entity("entry_name", "path")
+    return references.select(entity.alias("entity_id"), kind.alias("entity_type"), "term_id")
+
+
 def linked_entity(name: Column | str, path: Column | str) -> tuple[Column, Column]:
     """(entity_id, entity_type) of an entry reference; a path names a column, no path a table."""
     n, p = (F.col(c) if isinstance(c, str) else c for c in (name, path))

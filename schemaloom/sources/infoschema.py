@@ -30,12 +30,10 @@ def described(options: DataFrame, *, key: str, value: str, name: str = "option_n
 
 
 def with_default_row(df: DataFrame, default: dict[str, str | None]) -> DataFrame:
-    """The rows, or one default row where there are none; a left join of the default decides, no action runs."""
-    one = df.sparkSession.createDataFrame([(1,)], "one int")
-    some = df.withColumn("one", F.lit(1))
-    joined = one.join(some, "one", "left")
-    there = F.coalesce(*[F.col(c) for c in df.columns]).isNotNull()
-    return joined.select(*[F.when(there, F.col(c)).otherwise(F.lit(default.get(c))).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    """The rows, or one default row where there are none; an anti-join of the default with one row decides, no action runs."""
+    some = df.select(F.lit(1).alias("one")).limit(1)
+    none = df.sparkSession.createDataFrame([(1,)], "one int").join(some, "one", "left_anti")
+    return df.unionByName(none.select(*[F.lit(default.get(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
 
 
 def left_described(base: DataFrame, options: DataFrame, keys: list[str], *, option: str = "description", value: str = "option_value") -> DataFrame:
