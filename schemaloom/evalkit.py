@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import ids
+from schemaloom.errors import ConfigError
 from schemaloom.lineage import can_be_analysed, parse
 from schemaloom.materialize import materialize
 
@@ -25,6 +26,13 @@ def question_bank(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"question_id": ids.question_id("question", "sql"), "archetype": checked})
 
 
+def answer(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A gold query over the given frames; it names them in braces, and nothing is registered."""
+    if unknown := set(re.findall(r"\{(\w+)\}", sql)) - set(tables):
+        raise ConfigError(f"the query names tables that are not given: {sorted(unknown)}")
+    return spark.sql(sql, **{t: df for t, df in tables.items() if "{" + t + "}" in sql})
+
+
 def required_objects(spark: SparkSession, sql: str) -> dict:
     """Table, column, join and alias names of a query; CTE names count as tables here."""
     try:

@@ -601,8 +601,7 @@ def _gold(name: str, sql: str, **kinds: str) -> None:
     """A gold question in SQL that both engines read; Spark plans it over views of the files."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        tables = {t: read(spark, sf, t) for t in ("customer", "orders", "lineitem", "part", "nation") if t in sql}
-        return spark.sql(sql.format(**{t: "{" + t + "}" for t in tables}), **tables)
+        return evalkit.answer(spark, sql, {t: read(spark, sf, t) for t in ("customer", "orders", "lineitem", "part", "nation") if t in sql})
 
     run.__name__ = name
     _QUERIES[name] = run
