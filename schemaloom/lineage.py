@@ -1,39 +1,40 @@
 """SQL lineage from Spark's own parser.
 
 The only module that reaches into the session's JVM objects.  A query text is
-parsed to an unresolved plan (no catalogue is needed) and walked once on the
-driver.  A text may hold several statements; each counts by itself, and equal
-statements are parsed once.  What the parser cannot read is skipped with a warning
-that names the error's type and nothing of the text.
+parsed to an unresolved plan (no catalogue is needed) and walked once, by
+``PlanReader.java``, which Spark's own Janino compiles: frames of texts are parsed
+in the executors' JVMs, single texts in the driver's.  A text may hold several
+statements; each counts by itself, and equal ones of a text, like equal texts, are
+parsed once.  What the parser cannot read is skipped with a warning that names the
+error's type and nothing of the text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
-import uuid
+import tempfile
 import warnings
+import zipfile
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom import ids
 from schemaloom.errors import ConfigError, SchemaloomWarning
-from schemaloom.materialize import materialize, shared_dir
+from schemaloom.materialize import materialize
 from schemaloom.sources.rows import edges_of, nodes_of
 from schemaloom.store import GraphBatch
 
 # Platform and service by dialect.
 DIALECTS = {"bigquery": ("GCP", "BIGQUERY"), "snowflake": ("SNOWFLAKE", "SNOWFLAKE")}
 _REWRITES = [(r"\bSAFE_CAST\s*\(", "TRY_CAST("), (r"\bINT64\b", "BIGINT"), (r"\bFLOAT64\b", "DOUBLE"), (r"\bBYTES\b", "BINARY"), (r"\bNUMBER\b(?=\s*[),])", "DECIMAL"), (r"::\s*NUMBER\b", "::DECIMAL")]
+_REWRITTEN = ("SAFE_CAST", "INT64", "FLOAT64", "BYTES", "NUMBER")
 
-
-#: Parsed rows of one kind that the driver holds before it writes them out.
+#: Statements in one batch of a task.
 BATCH_ROWS = 20_000
 _PIECES = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;", re.DOTALL)
 _LEADING = re.compile(r"(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*", re.DOTALL)
@@ -73,7 +74,8 @@ class _Text:
         # by character of the plain form, the characters of the text it stands for; None while they are the same
         first: list[int] | None = None
         last: list[int] | None = None
-        for pattern, put in _REWRITES:
+        upper = text.upper()
+        for pattern, put in _REWRITES if not text.isascii() or any(word in upper for word in _REWRITTEN) else ():
             if not (found := list(re.finditer(pattern, self.plain, flags=re.IGNORECASE))):
                 continue
             if first is None:
@@ -163,90 +165,54 @@ class _Walker:
         return ".".join(parts[-2:])
 
 
-#: Kinds of plans that only the walker reads, and names that stand in JSON as they are.
-_NESTED = re.compile(r"\.(?:UnresolvedWith|Exists|ListQuery|\w*Subquery)\"")
-_NAMES = re.compile(r"\[[\w$]+(?:, [\w$]+)*\]")
-
-
-class _Unclear(Exception):
-    pass
-
-
-def _kind(node: dict) -> str:
-    return node["class"].rsplit(".", 1)[-1]
-
-
-def _names(listed: str) -> list[str]:
-    if not _NAMES.fullmatch(listed):
-        raise _Unclear
-    return listed[1:-1].split(", ")
-
-
-def _read_json(plan, walker: _Walker) -> None:
-    """What the walker would find, from one JSON text of the plan; conditions alone are fetched for their source."""
-    text = plan.toJSON()
-    if _NESTED.search(text):
-        raise _Unclear
-    nodes, out = json.loads(text), walker.out
-    place = 0
-
-    def attributes(value) -> None:
-        for x in value if isinstance(value, list) else ():
-            if isinstance(x, list):
-                attributes(x)
-            elif isinstance(x, dict) and x.get("class", "").endswith(".UnresolvedAttribute"):
-                parts = _names(x["nameParts"])
-                out.columns.append((parts[-2] if len(parts) > 1 else None, parts[-1]))
-
-    def leaf(at: int) -> str:
-        while _kind(nodes[at]) == "SubqueryAlias":
-            at += 1
-        return ".".join(_names(nodes[at]["multipartIdentifier"])[-2:]) if _kind(nodes[at]) == "UnresolvedRelation" else ""
-
-    def after(at: int) -> int:
-        end = at + 1
-        for _ in range(nodes[at]["num-children"]):
-            end = after(end)
-        return end
-
-    def visit(alias: str | None) -> None:
-        nonlocal place
-        at, node = place, nodes[place]
-        kind = _kind(node)
-        if kind == "UnresolvedRelation":
-            out.tables.append((_names(node["multipartIdentifier"]), alias))
-        elif kind == "Join" and node.get("condition"):
-            c = plan.apply(at).condition().get()
-            source = walker.source(c)
-            out.joins.append((leaf(after(at + 1)), source or c.sql()))
-            flat = node["condition"]
-            if [_kind(x) for x in flat] == ["EqualTo", "UnresolvedAttribute", "UnresolvedAttribute"]:
-                a, b = (_names(x["nameParts"]) for x in flat[1:])
-                out.equalities.append(((a[-2] if len(a) > 1 else None, a[-1]), (b[-2] if len(b) > 1 else None, b[-1]), source, True))
-            else:
-                walker.conjuncts(c, source, True)
-        for k, value in node.items():
-            if k not in ("class", "num-children"):
-                attributes(value)
-        place += 1
-        for _ in range(node["num-children"]):
-            visit(node["identifier"]["name"] if kind == "SubqueryAlias" else None)
-
-    visit(None)
+_READERS: dict[str, object] = {}
+
+
+def _reader(spark: SparkSession):
+    """The session's plan reader, compiled once for an application and known to its executors."""
+    context = spark.sparkContext
+    if context.applicationId not in _READERS:
+        jvm, new = context._jvm, context._gateway.new_array
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        with open(os.path.join(os.path.dirname(__file__), "PlanReader.java")) as source:
+            compiler.cook(source.read())
+        jar = os.path.join(tempfile.mkdtemp(dir=context._temp_dir), "schemaloom-plan-reader.jar")
+        with zipfile.ZipFile(jar, "w") as z:
+            for name, code in compiler.getBytecodes().items():
+                z.writestr(name.replace(".", "/") + ".class", bytes(code))
+        context._jsc.addJar(jar)
+        made = compiler.getClassLoader().loadClass("schemaloom.PlanReader").getDeclaredConstructor(new(jvm.java.lang.Class, 0))
+        _READERS[context.applicationId] = made.newInstance(new(jvm.java.lang.Object, 0))
+    return _READERS[context.applicationId]
+
+
+def _plan_json(spark: SparkSession, statement: Column) -> Column:
+    """What the plan of each statement names, or the error's type."""
+    kind = spark.sparkContext._jvm.org.apache.spark.sql.types.DataType.fromDDL("string")
+    spark._jsparkSession.udf().register("schemaloom_plan_json", _reader(spark), kind)
+    return F.call_udf("schemaloom_plan_json", statement)
+
+
+def _parsed(known: _Text, found: dict) -> Parsed:
+    source = lambda at: known.source(*at) if at else ""
+    return Parsed(
+        tables=[(parts, alias) for parts, alias in found["tables"]],
+        columns=[(q, c) for q, c in found["columns"]],
+        equalities=[((*a,), (*b,), source(at), single) for a, b, at, single in found["equalities"]],
+        joins=[(right, source(at) or sql) for right, at, sql in found["joins"]],
+        ctes=[(name, source(at)) for name, at in found["ctes"]],
+    )
 
 
 def parse(spark: SparkSession, text: str, *, walk: bool = False) -> Parsed:
-    """Raises what the parser raises.  ``walk`` reads every plan node by node, which is slower and gives the same."""
+    """Raises what the parser raises.  ``walk`` reads the plan node by node from Python, which is slower and gives the same."""
     known = _Text(text)
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(known.plain)
+    if not walk:
+        return _parsed(known, json.loads(_reader(spark).read(plan)))
     parsed = Parsed()
-    try:
-        if walk:
-            raise _Unclear
-        _read_json(plan, _Walker(known, parsed))
-    except (_Unclear, KeyError, TypeError):
-        parsed = Parsed()
-        _Walker(known, parsed).plan(plan)
+    _Walker(known, parsed).plan(plan)
     return parsed
 
 
@@ -268,52 +234,59 @@ def lineage(spark: SparkSession, text: str, query_id: str, *, dialect: str = "bi
     own qualifier.  ``compat`` takes only conditions of a single predicate and gives both
     sides the way older graphs have them: the joined table with the predicate's right side.
     """
+    _check(dialect, mode)
+    try:
+        return _named(parse(spark, text), query_id, dialect, default_database, default_schema, mode)
+    except Exception as e:
+        warnings.warn(f"a query text could not be read ({type(e).__name__}); it is skipped", SchemaloomWarning, stacklevel=2)
+        return None
+
+
+def _check(dialect: str, mode: str) -> None:
     if dialect not in DIALECTS:
         raise ConfigError(f"unsupported dialect {dialect!r}")
     if mode not in ("resolved", "compat"):
         raise ConfigError(f"unknown mode {mode!r}")
+
+
+def _named(p: Parsed, query_id: str, dialect: str, default_database: str | None, default_schema: str | None, mode: str) -> dict[str, list[dict]]:
     platform, service = DIALECTS[dialect]
-    try:
-        p = parse(spark, text)
-        ctes = {name for name, _ in p.ctes}
-        by_name: dict[str, str] = {}
-        tables, names = [], {}
-        for parts, alias in p.tables:
-            name = parts[-1]
-            if (len(parts) == 1 and name in ctes) or (name.startswith("__") and name.endswith("__")):
-                continue
-            database = parts[-3] if len(parts) > 2 else default_database
-            schema = parts[-2] if len(parts) > 1 else default_schema
-            if not database or not schema:
-                raise ConfigError("a table has neither its own nor a default database and schema")
-            table_id = ".".join(map(_norm, (database, schema, name)))
-            by_name[name] = table_id
-            names[table_id] = name
-            if alias:
-                by_name[alias] = table_id
-            tables.append({"platform": platform, "service": service, "table_id": table_id, "table_name": name, "schema_id": ".".join(map(_norm, (database, schema))), "schema_name": schema, "database_name": database, "table_alias": alias or "", "query_id": query_id})
-        column = lambda t, c: f"{t}.{_norm(c)}"
-        columns = [{"table_id": by_name[q], "table_alias": q, "column_name": c, "column_id": column(by_name[q], c), "query_id": query_id} for q, c in p.columns if q in by_name and c != "*"]
-        refs = []
-        aliased = {a for _, a in p.tables if a}
-        for (qa, ca), (qb, cb), text_, single in p.equalities:
-            if mode == "compat":
-                joined = [t for t in p.joins if t[1] == text_ and single]
-                right = by_name.get(joined[0][0].split(".")[-1]) if joined else None
-                if not right or qa not in by_name or not aliased:
-                    continue
-                left_id, right_id = column(right, cb), column(by_name[qa], ca)
-            elif qa in by_name and qb in by_name:
-                left_id, right_id = column(by_name[qb], cb), column(by_name[qa], ca)
-            else:
+    ctes = {name for name, _ in p.ctes}
+    by_name: dict[str, str] = {}
+    tables, names = [], {}
+    for parts, alias in p.tables:
+        name = parts[-1]
+        if (len(parts) == 1 and name in ctes) or (name.startswith("__") and name.endswith("__")):
+            continue
+        database = parts[-3] if len(parts) > 2 else default_database
+        schema = parts[-2] if len(parts) > 1 else default_schema
+        if not database or not schema:
+            raise ConfigError("a table has neither its own nor a default database and schema")
+        table_id = ".".join(map(_norm, (database, schema, name)))
+        by_name[name] = table_id
+        names[table_id] = name
+        if alias:
+            by_name[alias] = table_id
+        tables.append({"platform": platform, "service": service, "table_id": table_id, "table_name": name, "schema_id": ".".join(map(_norm, (database, schema))), "schema_name": schema, "database_name": database, "table_alias": alias or "", "query_id": query_id})
+    column = lambda t, c: f"{t}.{_norm(c)}"
+    columns = [{"table_id": by_name[q], "table_alias": q, "column_name": c, "column_id": column(by_name[q], c), "query_id": query_id} for q, c in p.columns if q in by_name and c != "*"]
+    refs = []
+    aliased = {a for _, a in p.tables if a}
+    for (qa, ca), (qb, cb), text_, single in p.equalities:
+        if mode == "compat":
+            joined = [t for t in p.joins if t[1] == text_ and single]
+            right = by_name.get(joined[0][0].split(".")[-1]) if joined else None
+            if not right or qa not in by_name or not aliased:
                 continue
-            if left_id != right_id:
-                refs.append({"left_column_id": left_id, "right_column_id": right_id, "criteria": text_, "query_id": query_id})
-        made = [{"cte_id": f"{query_id}.{_norm(n)}", "cte_name": n, "definition": d, "query_id": query_id} for n, d in p.ctes]
-        return {"table_info": tables, "column_info": columns, "references_info": refs, "cte_info": made}
-    except Exception as e:
-        warnings.warn(f"a query text could not be read ({type(e).__name__}); it is skipped", SchemaloomWarning, stacklevel=2)
-        return None
+            left_id, right_id = column(right, cb), column(by_name[qa], ca)
+        elif qa in by_name and qb in by_name:
+            left_id, right_id = column(by_name[qb], cb), column(by_name[qa], ca)
+        else:
+            continue
+        if left_id != right_id:
+            refs.append({"left_column_id": left_id, "right_column_id": right_id, "criteria": text_, "query_id": query_id})
+    made = [{"cte_id": f"{query_id}.{_norm(n)}", "cte_name": n, "definition": d, "query_id": query_id} for n, d in p.ctes]
+    return {"table_info": tables, "column_info": columns, "references_info": refs, "cte_info": made}
 
 
 _SHAPES = {
@@ -324,47 +297,52 @@ _SHAPES = {
 }
 
 
-def _split(parts):
-    for pdf in parts:
-        rows = [(q, hashlib.sha256(x.encode()).hexdigest(), x) for q, t in zip(pdf["query_id"], pdf["text"]) for x in dict.fromkeys(statements(t))]
-        yield pd.DataFrame(rows, columns=["query_id", "statement_id", "text"])
+def _columns(kind: str) -> list[str]:
+    return [c.split()[0] for c in _SHAPES[kind].split(", ")]
 
 
 def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved") -> dict[str, DataFrame]:
-    """Frames of all statements of all distinct texts.
+    """Frames of all statements of all distinct texts; tasks cut, parse and read them."""
+    _check(dialect, mode)
+    spark, most = queries.sparkSession, BATCH_ROWS
+    # what every row has, or the statement has, is no part of the lists
+    fields = {k: [c for c in _columns(k) if c not in ("platform", "service", "query_id")] for k in _SHAPES}
+
+    def cut(batches):
+        for b in batches:
+            known = [(q, _Text(x)) for q, t in zip(*(c.to_pylist() for c in b.columns)) for x in dict.fromkeys(statements(t))]
+            for k in range(0, len(known), most):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*((q, x.text, x.plain) for q, x in known[k : k + most]))], ["query_id", "text", "plain"])
+
+    def named(batches):
+        for b in batches:
+            errors: list[str | None] = []
+            rows: dict[str, list[dict]] = {k: [] for k in fields}
+            ends = {k: [0] for k in fields}
+            for q, x, found in zip(*(c.to_pylist() for c in b.columns)):
+                got, error = {}, None
+                try:
+                    found = json.loads(found)
+                    error = found.get("error")
+                    if not error:
+                        got = _named(_parsed(_Text(x), found), q, dialect, default_database, default_schema, mode)
+                except Exception as e:
+                    error = type(e).__name__
+                errors.append(error)
+                for k in fields:
+                    rows[k] += got.get(k, ())
+                    ends[k].append(len(rows[k]))
+            lists = [pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.StructArray.from_arrays([pa.array([r[c] for r in rows[k]], pa.string()) for c in cs], cs)) for k, cs in fields.items()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(errors, pa.string()), *lists], ["query_id", "error", *fields])
 
-    Parsing is the driver's: distinct statements stream to it one partition at a time, and
-    what they name goes out in files of at most about ``BATCH_ROWS`` rows.
-    """
-    spark = queries.sparkSession
     distinct = queries.filter(F.col(text).isNotNull()).select(ids.query_id(F.col(text)).alias("query_id"), F.col(text).alias("text")).dropDuplicates(["query_id"])
-    said = materialize(distinct.mapInPandas(_split, "query_id string, statement_id string, text string"), "statements")
-    once = materialize(said.select("statement_id", "text").dropDuplicates(["statement_id"]), "once")
-    folder = os.path.join(shared_dir(spark), f"lineage-{uuid.uuid4().hex}")
-    rows: dict[str, list[dict]] = {k: [] for k in _SHAPES}
-
-    def write(kind: str) -> None:
-        names = [c.split()[0] for c in _SHAPES[kind].split(", ")]
-        table = pa.table({c: pa.array([r[c] for r in rows[kind]], pa.string()) for c in names})
-        spark.createDataFrame(table).coalesce(1).write.mode("append").parquet(f"{folder}/{kind}")
-        rows[kind] = []
-
-    for r in once.toLocalIterator():
-        got = lineage(spark, r.text, r.statement_id, dialect=dialect, default_database=default_database, default_schema=default_schema, mode=mode)
-        for k, v in (got or {}).items():
-            rows[k] += v
-            if len(rows[k]) >= BATCH_ROWS:
-                write(k)
-    for k in _SHAPES:
-        write(k)
-    users = said.select("query_id", "statement_id")
-    frames = {}
-    for k, shape in _SHAPES.items():
-        found = spark.read.schema(shape).parquet(f"{folder}/{k}").withColumnRenamed("query_id", "statement_id").join(users, "statement_id")
-        if k == "cte_info":
-            # the id begins with the statement's 64 digits
-            found = found.withColumn("cte_id", F.concat("query_id", F.expr("substr(cte_id, 65)")))
-        frames[k] = found.select(*[c.split()[0] for c in shape.split(", ")])
+    plans = distinct.mapInArrow(cut, "query_id string, text string, plain string").select("query_id", "text", _plan_json(spark, F.col("plain")).alias("found"))
+    lists = ", ".join(f"{k} array<struct<{', '.join(f'{c}: string' for c in cs)}>>" for k, cs in fields.items())
+    read = materialize(plans.mapInArrow(named, f"query_id string, error string, {lists}"), "lineage")
+    for error, n in read.filter(F.col("error").isNotNull()).groupBy("error").count().collect():
+        warnings.warn(f"{n} statements could not be read ({error}); they are skipped", SchemaloomWarning, stacklevel=2)
+    same = dict(zip(("platform", "service"), map(F.lit, DIALECTS[dialect])))
+    frames = {k: read.select("query_id", F.inline(k)).select(*[same[c].alias(c) if c in same else c for c in _columns(k)]) for k in _SHAPES}
     return frames | {"query_info": distinct.withColumnRenamed("text", "content")}
 
 

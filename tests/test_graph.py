@@ -348,3 +348,30 @@ def test_both_ways_to_read_a_plan_agree(spark, sf):
         assert lineage.parse(spark, one) == walked
         read += 1
     assert read > 20
+
+
+@pytest.mark.parametrize("name", ["tables"])
+def test_tasks_parse_documents(spark, tmp_path, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    one = "WITH w AS (SELECT c.z::INT64 AS z, '\U0001f600;' AS s FROM core.`v w` AS c), x AS (SELECT w.z FROM w) SELECT a.k FROM core.t AS a JOIN ops.u b ON a.k = b.k AND SAFE_CAST(a.n AS INT64) = b.n LEFT JOIN x ON x.z = a.k"
+    two = "SELECT d.y FROM ops.u AS d WHERE d.y IN (SELECT e.y FROM core.t e) AND EXISTS (SELECT f.q FROM f) UNION ALL SELECT max(g.r) FROM lake.core.t g JOIN (SELECT h.i FROM ops.u h) j ON g.i = j.i"
+    rows = [(1, f"{one};\n{two};{two}", "query_history"), (2, f"{two}; not SQL;", "wiki"), (3, "please select one", "tickets")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(lineage, "parse", None)  # the driver parses nothing
+    want = {
+        "tables": [("lake.core.t", "t", 2), ("warehouse.core.t", "t", 2), ("warehouse.core.v_w", "v w", 1), ("warehouse.main.f", "f", 2), ("warehouse.ops.u", "u", 2)],
+        "columns": [(c,) for c in ("lake.core.t.i", "lake.core.t.r", "warehouse.core.t.k", "warehouse.core.t.n", "warehouse.core.t.y", "warehouse.core.v_w.z", "warehouse.main.f.q", "warehouse.ops.u.i", "warehouse.ops.u.k", "warehouse.ops.u.n", "warehouse.ops.u.y")],
+        "joins": [("warehouse.ops.u.k", "warehouse.core.t.k", 1)],
+        "ctes": [("w", "SELECT c.z::INT64 AS z, '\U0001f600;' AS s FROM core.`v w` AS c"), ("x", "SELECT w.z FROM w")],
+    }
+    got = [tuple(r) for r in entry.queries()[f"lineage_document_{name}"](spark, str(tmp_path)).collect()]
+    assert sorted(r[-2:] if name == "ctes" else r for r in got) == want[name]
+
+
+def test_unread_statements_are_counted(spark):
+    texts = spark.createDataFrame([("SELECT a.x FROM d.t a; SELEC b",), ("SELEC c",), ("SELECT x FROM u",)], "query string")
+    with pytest.warns(UserWarning) as said:
+        got = lineage.lineage_frames(texts, default_database="p")
+    assert sorted(str(w.message) for w in said if "could not be read" in str(w.message)) == ["1 statements could not be read (ConfigError); they are skipped", "2 statements could not be read (ParseException); they are skipped"]
+    assert [tuple(r) for r in got["table_info"].collect()] == [("GCP", "BIGQUERY", "p.d.t", "t", "p.d", "d", "p", "a", got["query_info"].filter("content LIKE 'SELECT a%'").first().query_id)]
