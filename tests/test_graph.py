@@ -350,7 +350,7 @@ def test_both_ways_to_read_a_plan_agree(spark, sf):
     assert read > 20
 
 
-@pytest.mark.parametrize("name", ["tables", "columns", "joins"])
+@pytest.mark.parametrize("name", ["tables", "columns", "joins", "ctes"])
 def test_tasks_parse_documents(spark, tmp_path, monkeypatch, name):
     import __spark_entry__ as entry
 
