@@ -5,7 +5,9 @@ parsed to an unresolved plan (no catalogue is needed) and walked once, by
 ``PlanReader.java``, which Spark's own Janino compiles: frames of texts are parsed
 in the executors' JVMs, single texts in the driver's.  A text may hold several
 statements; each counts by itself, and equal ones of a text, like equal texts, are
-parsed once.  What the parser cannot read is skipped with a warning that names the
+parsed once.  In tasks, statements that differ only in names and literals are parsed
+once too, if nothing in them makes the parser look at those (see ``PlanReader.java``).
+What the parser cannot read is skipped with a warning that names the
 error's type and nothing of the text.
 """
 
@@ -17,6 +19,7 @@ import re
 import tempfile
 import warnings
 import zipfile
+from collections.abc import Collection
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -66,16 +69,22 @@ def _seq(s) -> list:
     return [s.apply(i) for i in range(s.size())]
 
 
+def _rewritten(text: str) -> bool:
+    """Whether a text may differ from its plain form."""
+    upper = text.upper()
+    return not text.isascii() or any(word in upper for word in _REWRITTEN)
+
+
 class _Text:
     """A text, the form of it that the parser reads, and the way back from places in that form."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, *, same: bool = False):
+        """``same``: the text is known to be its plain form."""
         self.text = self.plain = text
         # by character of the plain form, the characters of the text it stands for; None while they are the same
         first: list[int] | None = None
         last: list[int] | None = None
-        upper = text.upper()
-        for pattern, put in _REWRITES if not text.isascii() or any(word in upper for word in _REWRITTEN) else ():
+        for pattern, put in _REWRITES if not same and _rewritten(text) else ():
             if not (found := list(re.finditer(pattern, self.plain, flags=re.IGNORECASE))):
                 continue
             if first is None:
@@ -187,10 +196,10 @@ def _reader(spark: SparkSession):
     return _READERS[context.applicationId]
 
 
-def _plan_json(spark: SparkSession, statement: Column) -> Column:
-    """What the plan of each statement names, or the error's type."""
+def _plan_json(spark: SparkSession, statement: Column, kinds: Collection[str]) -> Column:
+    """What the plan of each statement names, as far as the kinds of rows need it, or the error's type."""
     kind = spark.sparkContext._jvm.org.apache.spark.sql.types.DataType.fromDDL("string")
-    spark._jsparkSession.udf().register("schemaloom_plan_json", _reader(spark), kind)
+    spark._jsparkSession.udf().register("schemaloom_plan_json", _reader(spark).of("column_info" in kinds, "references_info" in kinds), kind)
     return F.call_udf("schemaloom_plan_json", statement)
 
 
@@ -198,9 +207,9 @@ def _parsed(known: _Text, found: dict) -> Parsed:
     source = lambda at: known.source(*at) if at else ""
     return Parsed(
         tables=[(parts, alias) for parts, alias in found["tables"]],
-        columns=[(q, c) for q, c in found["columns"]],
-        equalities=[((*a,), (*b,), source(at), single) for a, b, at, single in found["equalities"]],
-        joins=[(right, source(at) or sql) for right, at, sql in found["joins"]],
+        columns=[(q, c) for q, c in found.get("columns", ())],
+        equalities=[((*a,), (*b,), source(at), single) for a, b, at, single in found.get("equalities", ())],
+        joins=[(right, source(at) or sql) for right, at, sql in found.get("joins", ())],
         ctes=[(name, source(at)) for name, at in found["ctes"]],
     )
 
@@ -301,31 +310,39 @@ def _columns(kind: str) -> list[str]:
     return [c.split()[0] for c in _SHAPES[kind].split(", ")]
 
 
-def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved") -> dict[str, DataFrame]:
-    """Frames of all statements of all distinct texts; tasks cut, parse and read them."""
+def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved", kinds: Collection[str] = tuple(_SHAPES)) -> dict[str, DataFrame]:
+    """Frames of all statements of all distinct texts; tasks cut, parse and read them.
+
+    ``kinds``: the frames to make, all by default; every statement is read for any of them.
+    """
     _check(dialect, mode)
+    if unknown := set(kinds) - set(_SHAPES):
+        raise ConfigError(f"unknown kinds {sorted(unknown)}")
     spark, most = queries.sparkSession, BATCH_ROWS
     # what every row has, or the statement has, is no part of the lists
-    fields = {k: [c for c in _columns(k) if c not in ("platform", "service", "query_id")] for k in _SHAPES}
+    fields = {k: [c for c in _columns(k) if c not in ("platform", "service", "query_id")] for k in _SHAPES if k in kinds}
 
     def cut(batches):
         for b in batches:
-            known = [(q, _Text(x)) for q, t in zip(*(c.to_pylist() for c in b.columns)) for x in dict.fromkeys(statements(t))]
+            known = []
+            for q, t in zip(*(c.to_pylist() for c in b.columns)):
+                other = _rewritten(t)
+                known += [(q, x, plain if other and (plain := _Text(x).plain) != x else None) for x in dict.fromkeys(statements(t))]
             for k in range(0, len(known), most):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*((q, x.text, x.plain) for q, x in known[k : k + most]))], ["query_id", "text", "plain"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*known[k : k + most])], ["query_id", "text", "plain"])
 
     def named(batches):
         for b in batches:
             errors: list[str | None] = []
             rows: dict[str, list[dict]] = {k: [] for k in fields}
             ends = {k: [0] for k in fields}
-            for q, x, found in zip(*(c.to_pylist() for c in b.columns)):
+            for q, x, other, found in zip(*(c.to_pylist() for c in b.columns)):
                 got, error = {}, None
                 try:
                     found = json.loads(found)
                     error = found.get("error")
                     if not error:
-                        got = _named(_parsed(_Text(x), found), q, dialect, default_database, default_schema, mode)
+                        got = _named(_parsed(_Text(x, same=not other), found), q, dialect, default_database, default_schema, mode)
                 except Exception as e:
                     error = type(e).__name__
                 errors.append(error)
@@ -336,13 +353,14 @@ def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "b
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(errors, pa.string()), *lists], ["query_id", "error", *fields])
 
     distinct = queries.filter(F.col(text).isNotNull()).select(ids.query_id(F.col(text)).alias("query_id"), F.col(text).alias("text")).dropDuplicates(["query_id"])
-    plans = distinct.mapInArrow(cut, "query_id string, text string, plain string").select("query_id", "text", _plan_json(spark, F.col("plain")).alias("found"))
+    plans = distinct.mapInArrow(cut, "query_id string, text string, plain string")
+    plans = plans.select("query_id", "text", F.col("plain").isNotNull().alias("other"), _plan_json(spark, F.coalesce("plain", "text"), kinds).alias("found"))
     lists = ", ".join(f"{k} array<struct<{', '.join(f'{c}: string' for c in cs)}>>" for k, cs in fields.items())
     read = materialize(plans.mapInArrow(named, f"query_id string, error string, {lists}"), "lineage")
     for error, n in read.filter(F.col("error").isNotNull()).groupBy("error").count().collect():
         warnings.warn(f"{n} statements could not be read ({error}); they are skipped", SchemaloomWarning, stacklevel=2)
     same = dict(zip(("platform", "service"), map(F.lit, DIALECTS[dialect])))
-    frames = {k: read.select("query_id", F.inline(k)).select(*[same[c].alias(c) if c in same else c for c in _columns(k)]) for k in _SHAPES}
+    frames = {k: read.select("query_id", F.inline(k)).select(*[same[c].alias(c) if c in same else c for c in _columns(k)]) for k in fields}
     return frames | {"query_info": distinct.withColumnRenamed("text", "content")}
 
 

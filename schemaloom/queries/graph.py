@@ -669,7 +669,7 @@ def _document_lineage(spark, sf: str, which: str) -> DataFrame:
     texts = read(spark, sf, "documents").filter((F.col("source") == "query_history") | F.col("text").rlike(r"(?i)\bselect\b")).select(F.col("text").alias("query"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return lineage_frames(texts, default_database="warehouse", default_schema="main")[which]
+        return lineage_frames(texts, default_database="warehouse", default_schema="main", kinds=[which])[which]
 
 
 @_query()

@@ -375,3 +375,43 @@ def test_unread_statements_are_counted(spark):
         got = lineage.lineage_frames(texts, default_database="p")
     assert sorted(str(w.message) for w in said if "could not be read" in str(w.message)) == ["1 statements could not be read (ConfigError); they are skipped", "2 statements could not be read (ParseException); they are skipped"]
     assert [tuple(r) for r in got["table_info"].collect()] == [("GCP", "BIGQUERY", "p.d.t", "t", "p.d", "d", "p", "a", got["query_info"].filter("content LIKE 'SELECT a%'").first().query_id)]
+
+
+def test_only_the_wanted_kinds_are_read(spark):
+    one = "WITH w AS (SELECT c.z FROM core.v AS c) SELECT a.x FROM core.t AS a JOIN w ON w.z = a.k"
+    assert set(json.loads(lineage._reader(spark).of(False, False).call(one))) == {"tables", "ctes"}
+    texts = spark.createDataFrame([(f"{one}; SELECT b.y FROM core.u b",), ("SELECT d.q FROM e",)], "query string")
+    got = lineage.lineage_frames(texts, default_database="p", default_schema="m", kinds=["cte_info"])
+    assert set(got) == {"cte_info", "query_info"} and got["query_info"].count() == 2
+    assert [tuple(r)[1:3] for r in got["cte_info"].collect()] == [("w", "SELECT c.z FROM core.v AS c")]
+    with pytest.raises(ConfigError):
+        lineage.lineage_frames(texts, kinds=["ctes"])
+
+
+def test_statements_of_one_form_are_parsed_once(spark):
+    reader, parser = lineage._reader(spark).of(True, True), spark._jsparkSession.sessionState().sqlParser()
+    for i in range(40):
+        one = f"SELECT t{i}.a,\n  b.Col{i * 7} FROM core.t{i * i} AS t{i}\tLEFT JOIN ops.u{i} b ON t{i}.k{i} = b.k AND b.d >= '{'é;' * i}' WHERE b.n < {i * 99}"
+        assert json.loads(reader.call(one)) == json.loads(reader.read(parser.parsePlan(one)))
+    assert reader.parses() == 1
+
+
+def test_form_and_parser_agree(spark, sf):
+    texts = [
+        "SELECT x_3 FROM x_9 AS x_1 JOIN x_0 ON x_1.x_7 = x_0.x_3", "SELECT X_3(a) FROM x_3(1) x_5", "SELECT a.x FROM t AS a (b, c)", "SELECT s.f(a) FROM d.t", "SELECT f(DISTINCT a.x), count(*) FROM a GROUP BY ALL",
+        "SELECT DATE '2020-01-01', DATE 'no', x 'no' FROM t", "SELECT date'2020-01-01', r'a\\n', X'1F' FROM t", "SELECT 'a' 'b', 'a''b', 'it\\'s', '${x}', '\U0001f600' FROM t JOIN u ON t.a = u.b", "SELECT 'é', \"q\", `b``c`.d FROM t JOIN u ON t.a = u.b",
+        "SELECT 1.5, .5, 1., 1e5, 5L, 1a, t.1a, t.5 FROM t", "SELECT 12345678901234567890123456789012345678901234567890 FROM t", "SELECT a-b.c, -1 FROM t-x", "SELECT a FROM t WHERE a<=>b.c AND a==c.d OR a!=e.f AND NOT a<>g.h", "SELECT !a, !!b FROM t", "SELECT a /* c */ FROM t -- x", "SELECT /*+ BROADCAST(t) */ a FROM t", "SELECT */a FROM t",
+        "SELECT a.* FROM t a CROSS JOIN (SELECT b.x FROM u b) c", "SELECT a.x FROM (SELECT x FROM t) JOIN u ON u.x = a.x", "SELECT t.x FROM t JOIN u ON u.x = t.x JOIN c.v w ON (w.y = u.y AND w.z = t.z)", "SELECT x FROM a, b WHERE a.x IN (SELECT y FROM c JOIN d ON c.e = d.e) UNION ALL SELECT z FROM (f)", "SELECT x FROM t JOIN u USING (x)", "SELECT x FROM a.b.c.d e NATURAL JOIN f",
+        "SELECT w.x FROM w JOIN v ON sum(w.x) = v.y HAVING max(w.x) > 3 ORDER BY w.x DESC, 2 ASC", "SELECT a FROM t LEFT", "SELECT a AS int, b AS key FROM full JOIN left ON a = b", "SELECT select FROM from", "SELECT a b c FROM t", "SELECT", "(SELECT a FROM t)", "(SELECT a FROM t JOIN u ON t.a = u.a) UNION SELECT b FROM v", "SELECT a FROM schemas JOIN temp ON temp.a = schemas.regexp", "WITH a AS (SELECT 1), a AS (SELECT 2) SELECT * FROM a", "SELECT a FROM t WINDOW w AS (ORDER BY a), w AS (ORDER BY b)", "SELECT a FROM t", "SELECT a\fFROM t", "SELECT wıth FROM t", f"SELECT {'a' * 200} FROM t", "SELECT CAST(a AS foo) FROM t", "SELECT a FROM t LATERAL VIEW explode(b) c AS d", "SELECT a.b.c, a.b FROM d.e.f AS a", "SELECT x.y FROM t x WHERE EXISTS (SELECT z.q FROM z WHERE z.q = x.y)", "SELECT a FROM t WHERE b IN () AND c LIKE 'x' ESCAPE 'yy'", "SELECT a FROM t WHERE a BETWEEN 1 AND 2 OR b IS NOT NULL",
+    ]
+    texts += [s for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").collect() for s in lineage.statements(r.text) if "select" in s.lower()]
+    reader, parser = lineage._reader(spark).of(True, True), spark._jsparkSession.sessionState().sqlParser()
+    asked = 0
+    for one in [x for t in texts for x in (t, t.replace("a", "zz"), t.upper(), t + " ORDER")]:
+        try:
+            want = json.loads(reader.read(parser.parsePlan(one)))
+        except Exception:
+            want = None
+        got, asked = json.loads(reader.call(one)), asked + 1
+        assert (None if "error" in got else got) == want, one
+    assert reader.parses() < asked
