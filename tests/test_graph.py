@@ -415,3 +415,12 @@ def test_form_and_parser_agree(spark, sf):
         got, asked = json.loads(reader.call(one)), asked + 1
         assert (None if "error" in got else got) == want, one
     assert reader.parses() < asked
+
+
+def test_references_read_by_form(spark):
+    texts = spark.createDataFrame([(f"SELECT a.x{i} FROM core.t{i} AS a JOIN ops.u b ON a.k{i} =\n b.k{i * i} WHERE a.d >= 'é{i}'",) for i in range(30)], "query string")
+    reader = lineage._reader(spark).of(False, True)
+    found = [json.loads(reader.call(r["query"])) for r in texts.collect()]
+    assert reader.parses() == 1 and {*found[0]} == {"tables", "equalities", "joins", "ctes"}
+    got = lineage.lineage_frames(texts, default_database="p", kinds=["references_info"])["references_info"]
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted((f"p.ops.u.k{i * i}", f"p.core.t{i}.k{i}", f"a.k{i} =\n b.k{i * i}") for i in range(30))
