@@ -424,3 +424,12 @@ def test_references_read_by_form(spark):
     assert reader.parses() == 1 and {*found[0]} == {"tables", "equalities", "joins", "ctes"}
     got = lineage.lineage_frames(texts, default_database="p", kinds=["references_info"])["references_info"]
     assert sorted(tuple(r)[:3] for r in got.collect()) == sorted((f"p.ops.u.k{i * i}", f"p.core.t{i}.k{i}", f"a.k{i} =\n b.k{i * i}") for i in range(30))
+
+
+def test_tables_alone_are_those_of_all_kinds(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").filter("source = 'query_history'").select(F.col("text").alias("query"))
+    told = {"default_database": "p", "default_schema": "m"}
+    every, alone = lineage.lineage_frames(texts, **told), lineage.lineage_frames(texts, kinds=["table_info"], **told)
+    assert set(alone) == {"table_info", "query_info"}
+    got = sorted(map(tuple, alone["table_info"].collect()))
+    assert len(got) > 20 and got == sorted(map(tuple, every["table_info"].collect()))
