@@ -19,6 +19,7 @@ import re
 import tempfile
 import warnings
 import zipfile
+from collections import Counter
 from collections.abc import Collection
 from dataclasses import dataclass, field
 
@@ -203,6 +204,21 @@ def _plan_json(spark: SparkSession, statement: Column, kinds: Collection[str]) -
     return F.call_udf("schemaloom_plan_json", statement)
 
 
+def _rows_of(spark: SparkSession, kinds: Collection[str], shape: str, default_database: str | None, default_schema: str | None, mode: str) -> Column:
+    """The rows of all statements of a text, by kind, the errors' types, and the statements left to Python."""
+    reader = _reader(spark).rows(",".join(kinds), default_database, default_schema, mode == "compat")
+    kind = spark.sparkContext._jvm.org.apache.spark.sql.types.DataType.fromDDL(shape)
+    spark._jsparkSession.udf().register("schemaloom_lineage", reader, kind)
+    return F.call_udf("schemaloom_lineage", F.col("query_id"), F.col("text"))
+
+
+def may_select(spark: SparkSession, text: Column) -> Column:
+    """Whether a text may hold the word SELECT in any case, by its bytes; true for all that do."""
+    kind = spark.sparkContext._jvm.org.apache.spark.sql.types.DataType.fromDDL("boolean")
+    spark._jsparkSession.udf().register("schemaloom_may_select", _reader(spark).maySelect(), kind)
+    return F.call_udf("schemaloom_may_select", text.cast("binary"))
+
+
 def _parsed(known: _Text, found: dict) -> Parsed:
     source = lambda at: known.source(*at) if at else ""
     return Parsed(
@@ -310,17 +326,33 @@ def _columns(kind: str) -> list[str]:
     return [c.split()[0] for c in _SHAPES[kind].split(", ")]
 
 
-def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved", kinds: Collection[str] = tuple(_SHAPES)) -> dict[str, DataFrame]:
-    """Frames of all statements of all distinct texts; tasks cut, parse and read them.
+@dataclass
+class _Read:
+    """What has been read: the distinct texts, the rows of each text, and those of the statements that Python had to read."""
 
-    ``kinds``: the frames to make, all by default; every statement is read for any of them.
-    """
+    distinct: DataFrame
+    texts: DataFrame
+    rest: DataFrame | None
+
+    def rows(self, kind: str) -> DataFrame:
+        """Rows of a kind, without what all rows have."""
+        columns = ["query_id", *_own(kind)]
+        rows = self.texts.select("query_id", F.inline(f"found.{kind}")).select(columns)
+        return rows if self.rest is None else rows.unionAll(self.rest.select("query_id", F.inline(kind)).select(columns))
+
+
+def _own(kind: str) -> list[str]:
+    return [c for c in _columns(kind) if c not in ("platform", "service", "query_id")]
+
+
+def _read(queries: DataFrame, kinds: Collection[str], text: str, dialect: str, default_database: str | None, default_schema: str | None, mode: str) -> _Read:
+    """Reads all statements of all distinct texts in tasks, the texts' rows together."""
     _check(dialect, mode)
     if unknown := set(kinds) - set(_SHAPES):
         raise ConfigError(f"unknown kinds {sorted(unknown)}")
     spark, most = queries.sparkSession, BATCH_ROWS
     # what every row has, or the statement has, is no part of the lists
-    fields = {k: [c for c in _columns(k) if c not in ("platform", "service", "query_id")] for k in _SHAPES if k in kinds}
+    fields = {k: _own(k) for k in _SHAPES if k in kinds}
 
     def cut(batches):
         for b in batches:
@@ -352,16 +384,50 @@ def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "b
             lists = [pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.StructArray.from_arrays([pa.array([r[c] for r in rows[k]], pa.string()) for c in cs], cs)) for k, cs in fields.items()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(errors, pa.string()), *lists], ["query_id", "error", *fields])
 
-    distinct = queries.filter(F.col(text).isNotNull()).select(ids.query_id(F.col(text)).alias("query_id"), F.col(text).alias("text")).dropDuplicates(["query_id"])
-    plans = distinct.mapInArrow(cut, "query_id string, text string, plain string")
-    plans = plans.select("query_id", "text", F.col("plain").isNotNull().alias("other"), _plan_json(spark, F.coalesce("plain", "text"), kinds).alias("found"))
-    lists = ", ".join(f"{k} array<struct<{', '.join(f'{c}: string' for c in cs)}>>" for k, cs in fields.items())
-    read = materialize(plans.mapInArrow(named, f"query_id string, error string, {lists}"), "lineage")
-    for error, n in read.filter(F.col("error").isNotNull()).groupBy("error").count().collect():
-        warnings.warn(f"{n} statements could not be read ({error}); they are skipped", SchemaloomWarning, stacklevel=2)
+    # grouped by both: without the text as an aggregate the rows are hashed, not sorted
+    distinct = queries.filter(F.col(text).isNotNull()).select(ids.query_id(F.col(text)).alias("query_id"), F.col(text).alias("text")).distinct()
+    lists = {k: ", ".join(f"{c}: string" for c in cs) for k, cs in fields.items()}
+    of_text = _rows_of(spark, fields, f"struct<errors: array<string>, left: array<string>, {', '.join(f'{k}: array<struct<{x}, first: boolean>>' for k, x in lists.items())}>", default_database, default_schema, mode)
+    texts, rest = materialize(distinct.select("query_id", of_text.alias("found")), "lineage"), None
+    # null stands for a text with statements that are left
+    errors = texts.select(F.explode(F.expr("if(size(found.left) > 0, array_append(found.errors, null), found.errors)")).alias("error"))
+    counts = Counter(dict(map(tuple, errors.groupBy("error").count().collect())))
+    if counts.pop(None, 0):
+        plans = texts.select("query_id", F.explode("found.left").alias("text")).mapInArrow(cut, "query_id string, text string, plain string")
+        plans = plans.select("query_id", "text", F.col("plain").isNotNull().alias("other"), _plan_json(spark, F.coalesce("plain", "text"), kinds).alias("found"))
+        rest = materialize(plans.mapInArrow(named, f"query_id string, error string, {', '.join(f'{k} array<struct<{x}>>' for k, x in lists.items())}"), "lineage")
+        counts.update(dict(map(tuple, rest.filter(F.col("error").isNotNull()).groupBy("error").count().collect())))
+    for error, n in counts.items():
+        warnings.warn(f"{n} statements could not be read ({error}); they are skipped", SchemaloomWarning, stacklevel=3)
+    return _Read(distinct, texts, rest)
+
+
+def lineage_frames(queries: DataFrame, *, text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved", kinds: Collection[str] = tuple(_SHAPES)) -> dict[str, DataFrame]:
+    """Frames of all statements of all distinct texts; tasks cut, parse and read them.
+
+    ``kinds``: the frames to make, all by default; every statement is read for any of them.
+    """
+    read = _read(queries, kinds, text, dialect, default_database, default_schema, mode)
     same = dict(zip(("platform", "service"), map(F.lit, DIALECTS[dialect])))
-    frames = {k: read.select("query_id", F.inline(k)).select(*[same[c].alias(c) if c in same else c for c in _columns(k)]) for k in fields}
-    return frames | {"query_info": distinct.withColumnRenamed("text", "content")}
+    frames = {k: read.rows(k).select(*[same[c].alias(c) if c in same else c for c in _columns(k)]) for k in _SHAPES if k in kinds}
+    return frames | {"query_info": read.distinct.withColumnRenamed("text", "content")}
+
+
+_IDS = {"table_info": ["table_id"], "references_info": ["left_column_id", "right_column_id"]}
+
+
+def query_counts(queries: DataFrame, kind: str, *, least: Collection[str] = (), text: str = "query", dialect: str = "bigquery", default_database: str | None = None, default_schema: str | None = None, mode: str = "resolved") -> DataFrame:
+    """In how many distinct texts each table or reference is, by its ids; with the least value of the columns ``least``."""
+    if kind not in _IDS:
+        raise ConfigError(f"no counts of kind {kind!r}")
+    read, keys = _read(queries, [kind], text, dialect, default_database, default_schema, mode), _IDS[kind]
+    if read.rest is not None:
+        return read.rows(kind).groupBy(keys).agg(*[F.min(c).alias(c) for c in least], F.count_distinct("query_id").alias("n_queries"))
+    # a text's rows are together and its first of each is marked, so no pair of a text and an id is moved; texts as keys are hashed, a least text is not
+    counts = read.texts.select(F.inline(f"found.{kind}")).groupBy(*keys, *least).agg(F.count_if("first").alias("n_queries"))
+    if not least:
+        return counts
+    return counts.groupBy(keys).agg(*[F.min(c).alias(c) for c in least], F.coalesce(F.sum("n_queries"), F.lit(0)).alias("n_queries"))
 
 
 def lineage_batch(frames: dict[str, DataFrame]) -> GraphBatch:

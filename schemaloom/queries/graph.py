@@ -660,21 +660,38 @@ def lineage_ctes(spark, sf):
     return _lineage(spark, "cte_info").select("cte_name", "definition")
 
 
+def _document_queries(spark, sf: str) -> DataFrame:
+    """All texts of documents that are or hold queries."""
+    from schemaloom.lineage import may_select
+
+    holds = may_select(spark, F.col("text")) & F.col("text").rlike(r"(?i)\bselect\b")
+    return read(spark, sf, "documents").filter((F.col("source") == "query_history") | holds).select(F.col("text").alias("query"))
+
+
 def _document_lineage(spark, sf: str, which: str) -> DataFrame:
-    """Lineage of all texts of documents that are or hold queries; two-part names belong to one database."""
+    """Lineage of these texts; two-part names belong to one database."""
     import warnings
 
     from schemaloom.lineage import lineage_frames
 
-    texts = read(spark, sf, "documents").filter((F.col("source") == "query_history") | F.col("text").rlike(r"(?i)\bselect\b")).select(F.col("text").alias("query"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return lineage_frames(texts, default_database="warehouse", default_schema="main", kinds=[which])[which]
+        return lineage_frames(_document_queries(spark, sf), default_database="warehouse", default_schema="main", kinds=[which])[which]
+
+
+def _document_counts(spark, sf: str, which: str, *least: str) -> DataFrame:
+    import warnings
+
+    from schemaloom.lineage import query_counts
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return query_counts(_document_queries(spark, sf), which, least=least, default_database="warehouse", default_schema="main")
 
 
 @_query()
 def lineage_document_tables(spark, sf):
-    return _document_lineage(spark, sf, "table_info").groupBy("table_id").agg(F.min("table_name").alias("table_name"), F.count_distinct("query_id").alias("n_queries"))
+    return _document_counts(spark, sf, "table_info", "table_name")
 
 
 @_query()
@@ -684,7 +701,7 @@ def lineage_document_columns(spark, sf):
 
 @_query()
 def lineage_document_joins(spark, sf):
-    return _document_lineage(spark, sf, "references_info").groupBy("left_column_id", "right_column_id").agg(F.count_distinct("query_id").alias("n_queries"))
+    return _document_counts(spark, sf, "references_info")
 
 
 @_query()

@@ -433,3 +433,56 @@ def test_tables_alone_are_those_of_all_kinds(spark, sf):
     assert set(alone) == {"table_info", "query_info"}
     got = sorted(map(tuple, alone["table_info"].collect()))
     assert len(got) > 20 and got == sorted(map(tuple, every["table_info"].collect()))
+
+
+_ODD_TEXTS = [
+    "-- a; b\nSELECT a.x FROM core.t AS a JOIN ops.u b ON a.k = b.k AND b.n = a.n; SELECT a.x FROM core.t AS a JOIN ops.u b ON a.k = b.k AND b.n = a.n;;\x1f 　",
+    "SELECT a.s FROM core.t AS a JOIN ops.u AS b ON a.k = b.k WHERE a.s = 'it''s; \\'' AND b.s = 'x;'' /* ; */ ; SELEC \"a;\\\"b\" ; `;` ; /* open ; -- ; \n 'open '' ; x",
+    "select safe_cast(a.n as int64) from lake.core.t a join ops.u b on a.k::number = b.k and a.j::int64 = 1 and a.`x-Y z` = b.`Ünï` join v on v.i = b.i /* NUMBER */; SELECT float64 FROM bytes.x",
+    "SELECT é.x FROM core.`Straße` AS `é` JOIN ops.`ΟΔΟΣ` b ON `é`.`Σ` = b.k; SELECT a.x FROM d.`\U0001f600;t` a JOIN d.u ON u.x = a.x AND u.s = '\U0001f600' WHERE a.y = '\U0001f600'; SELECT 'é' AS int64, CAST(x.y AS INT64) FROM d.x JOIN d.y ON x.k = y.k",
+    "WITH w AS (SELECT c.z::INT64 FROM core.v c), t AS (SELECT 1) SELECT * FROM w JOIN t ON w.z = t.z JOIN __hidden__ h ON h.x = w.z JOIN q.`a.b` r ON r.z = w.z; SELECT a.x FROM t AS a JOIN t AS b ON a.x = b.x; SELECT x FROM ``",
+    "Refresh takes long. SELECT a.x FROM d.t a; Ticket, 3; deputy is (SELECT a.x FROM d.t a); * note; ) x; # y; label: BEGIN SELECT 1; END; a.b; zz; x 'y'; -; 12 SELECT; Was ${x} SELECT; /* ; only */ -- ;",
+]
+
+
+@pytest.mark.parametrize("mode", ["resolved", "compat"])
+def test_rows_of_texts_agree_with_statements(spark, sf, mode):
+    texts = _ODD_TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL AND source = 'query_history'").limit(40).collect()]
+    told = {"dialect": "bigquery", "default_database": "P x", "default_schema": None, "mode": mode}
+    frames = spark.createDataFrame([(t,) for t in texts], "query string")
+    with pytest.warns(UserWarning) as said:
+        got = lineage.lineage_frames(frames, **told)
+    want, errors = {k: [] for k in lineage._SHAPES}, {}
+    for t in texts:
+        q = frames.filter(F.col("query") == t).select(ids.query_id(F.col("query"))).first()[0]
+        for x in dict.fromkeys(lineage.statements(t)):
+            try:
+                rows = lineage._named(lineage.parse(spark, x), q, *told.values())
+            except Exception as e:
+                errors[type(e).__name__] = errors.get(type(e).__name__, 0) + 1
+                continue
+            for k in want:
+                want[k] += [tuple(r[c] for c in lineage._columns(k)) for r in rows[k]]
+    for k in want:
+        assert sorted(map(tuple, got[k].collect())) == sorted(want[k]), k
+    assert {str(w.message) for w in said if "could not be read" in str(w.message)} == {f"{n} statements could not be read ({e}); they are skipped" for e, n in errors.items()}
+    assert all(want.values()) and set(errors) == {"ParseException", "ConfigError"}
+
+
+def test_texts_are_cut_as_in_python(spark):
+    reader = lineage._reader(spark)
+    pieces = ["'", '"', "`", "--", "/*", "*/", ";", "\\", "\n", "''", " ", "\x85", "x", "é", "\U0001f600", "/", "-"]
+    texts = [*_ODD_TEXTS, "", ";", "".join(pieces)] + ["".join(pieces[(i * i * 7 + j * (i % 13 + 1) + j * j) % len(pieces)] for j in range(12)) for i in range(400)]
+    for t in texts:
+        assert list(reader.statements(t)) == list(dict.fromkeys(lineage.statements(t))), t
+
+
+def test_references_are_counted_by_text(spark):
+    one, other = "SELECT a.x FROM core.t AS a JOIN ops.u b ON a.k = b.k", "SELECT b.y FROM core.t AS b JOIN ops.u c ON b.k = c.k AND b.i = c.i"
+    texts = [(f"{one}; {other}",), (f"{one}; {other}",), (other,), (f"{one}; {one} ; SELEC",)]
+    counts = lambda rows: sorted(map(tuple, lineage.query_counts(spark.createDataFrame(rows, "query string"), "references_info", default_database="p").collect()))
+    assert counts(texts) == [("p.ops.u.i", "p.core.t.i", 2), ("p.ops.u.k", "p.core.t.k", 3)]
+    # a statement that Python reads
+    assert counts([*texts, (f"{one}; SELECT 'é', CAST(a.x AS INT64) FROM core.t a JOIN ops.u b ON a.k = b.k",)]) == [("p.ops.u.i", "p.core.t.i", 2), ("p.ops.u.k", "p.core.t.k", 4)]
+    with pytest.raises(ConfigError):
+        lineage.query_counts(spark.createDataFrame(texts, "query string"), "cte_info")
