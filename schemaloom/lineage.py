@@ -2,13 +2,14 @@
 
 The only module that reaches into the session's JVM objects.  A query text is
 parsed to an unresolved plan (no catalogue is needed) and walked once, by
-``PlanReader.java``, which Spark's own Janino compiles: frames of texts are parsed
-in the executors' JVMs, single texts in the driver's.  A text may hold several
-statements; each counts by itself, and equal ones of a text, like equal texts, are
-parsed once.  In tasks, statements that differ only in names and literals are parsed
-once too, if nothing in them makes the parser look at those (see ``PlanReader.java``).
-What the parser cannot read is skipped with a warning that names the
-error's type and nothing of the text.
+``PlanReader.java``, which Spark's own Janino compiles: frames of texts are cut, parsed
+and named in the executors' JVMs, single texts are parsed in the driver's.  A text may
+hold several statements; each counts by itself, and equal ones of a text, like equal
+texts, are parsed once.  In tasks, statements that differ only in names and literals are
+parsed once too, if nothing in them makes the parser look at those, and those that begin
+as no statement can are not parsed (see ``PlanReader.java``).  What Java might take
+otherwise than Python is left to Python.  What the parser cannot read is skipped with a
+warning that names the error's type and nothing of the text.
 """
 
 from __future__ import annotations

@@ -477,6 +477,22 @@ def test_texts_are_cut_as_in_python(spark):
         assert list(reader.statements(t)) == list(dict.fromkeys(lineage.statements(t))), t
 
 
+def test_statements_like_prose_are_not_parsed(spark, sf):
+    firsts = ["zz", "zz.a", "Für", "zz.select.x", "12", "2024", "*", ",", "#", "Ticket", "label", "TEMP", "set", "values", "1a"]
+    seconds = [" a", " select", "\n7", ", b", "(c", ") d", " = e", "-f", " - g", ".h", ": BEGIN SELECT 1; END", " as x", " table", " 'q'", ""]
+    rows, parser = lineage._reader(spark).rows("table_info", "p", "m", False), spark._jsparkSession.sessionState().sqlParser()
+    texts = [f + s + t for f in firsts for s in seconds for t in ("", " FROM x WHERE y", " TBLPROPERTIES") if ";" not in s]
+    texts += [s for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").limit(30).collect() for s in lineage.statements(r.text)]
+    for one in texts:
+        try:
+            parser.parsePlan(lineage._Text(one).plain)
+            want = []
+        except Exception as e:
+            want = [type(e).__name__]
+        got = rows.call("q", one)
+        assert list(got.get(0)) == want or list(got.get(1)), one
+
+
 def test_references_are_counted_by_text(spark):
     one, other = "SELECT a.x FROM core.t AS a JOIN ops.u b ON a.k = b.k", "SELECT b.y FROM core.t AS b JOIN ops.u c ON b.k = c.k AND b.i = c.i"
     texts = [(f"{one}; {other}",), (f"{one}; {other}",), (other,), (f"{one}; {one} ; SELEC",)]
@@ -486,3 +502,19 @@ def test_references_are_counted_by_text(spark):
     assert counts([*texts, (f"{one}; SELECT 'é', CAST(a.x AS INT64) FROM core.t a JOIN ops.u b ON a.k = b.k",)]) == [("p.ops.u.i", "p.core.t.i", 2), ("p.ops.u.k", "p.core.t.k", 4)]
     with pytest.raises(ConfigError):
         lineage.query_counts(spark.createDataFrame(texts, "query string"), "cte_info")
+
+
+def test_tables_are_counted_by_text(spark):
+    one = "SELECT a.x FROM core.`T u` AS a JOIN core.t_u b ON a.k = b.k; SELECT b.y FROM ops.v b"
+    texts = [(f"{one}; SELEC",), (f"{one}; SELECT c.z FROM ops.v c",), ("SELECT b.y FROM core.`t-u` b; please note",)]
+    counts = lambda rows: sorted(map(tuple, lineage.query_counts(spark.createDataFrame(rows, "query string"), "table_info", least=["table_name"], default_database="p").collect()))
+    assert counts(texts) == [("p.core.t_u", "T u", 3), ("p.ops.v", "v", 2)]
+    # statements that Python reads
+    assert counts([*texts, (f"{one}; SELECT 'é' AS int64 FROM core.t_u",), ("SELECT 'é', CAST(x AS INT64) FROM ops.V",)]) == [("p.core.t_u", "T u", 4), ("p.ops.v", "V", 4)]
+
+
+def test_documents_that_may_select(spark):
+    texts = ["", "selec", "select", "xSeLeCt", "sselect", "selecselect", "SELECtselec", "é select", "sele\u0441t", "s e l e c t", None, "\u017felect", "SELECSELECSELECT ", "selecT\n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.may for r in frame.select("text", lineage.may_select(spark, F.col("text")).alias("may")).collect()}
+    assert got == {t: t is not None and "select" in "".join(c.lower() if c.isascii() else c for c in t) for t in texts}
